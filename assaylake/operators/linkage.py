@@ -1,0 +1,116 @@
+"""Hierarchical merging of a bounded number of (weighted) points.
+
+The points are group means, variables or micro-cluster centres; their number is
+checked, and never depends on the rows behind them.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+MAX_LEAVES = 2000
+METHODS = ("ward", "single", "complete", "average")
+
+
+def linkage(x: np.ndarray, method: str = "ward", sizes: np.ndarray | None = None) -> np.ndarray:
+    """Merges (left, right, distance, size) in order of distance, by nearest-neighbour chains."""
+    n = len(x)
+    if n > MAX_LEAVES:
+        raise ValueError(f"at most {MAX_LEAVES} leaves")
+    if method not in METHODS:
+        raise ValueError(f"unknown linkage: {method}")
+    size = np.ones(n) if sizes is None else np.asarray(sizes, float)
+    size = size.copy()
+    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0.0))
+    if method == "ward":
+        d = d * np.sqrt(2.0 * np.outer(size, size) / np.add.outer(size, size))
+    np.fill_diagonal(d, np.inf)
+    alive = np.ones(n, dtype=bool)
+    chain: list[int] = []
+    merges = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        a = chain[-1]
+        row = np.where(alive, d[a], np.inf)
+        row[a] = np.inf
+        b = int(np.argmin(row))
+        if len(chain) > 1 and row[chain[-2]] <= row[b]:
+            b = chain[-2]
+        if len(chain) > 1 and b == chain[-2]:
+            chain = chain[:-2]
+            merges.append((min(a, b), max(a, b), d[a, b]))
+            d_new = _update(d, a, b, size, method)
+            size[b] += size[a]
+            alive[a] = False
+            d[b] = d[:, b] = d_new
+            d[b, b] = np.inf
+        else:
+            chain.append(b)
+    return _ordered(merges, n, np.ones(n) if sizes is None else np.asarray(sizes, float))
+
+
+def _update(d: np.ndarray, a: int, b: int, size: np.ndarray, method: str) -> np.ndarray:
+    """Distance of the union of a and b to all others (Lance-Williams)."""
+    if method == "single":
+        return np.minimum(d[a], d[b])
+    if method == "complete":
+        new = np.maximum(d[a], d[b])
+        new[np.isinf(d[a]) | np.isinf(d[b])] = np.inf
+        return new
+    if method == "average":
+        return (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+    total = size[a] + size[b] + size
+    with np.errstate(invalid="ignore"):
+        sq = ((size[a] + size) * d[a] ** 2 + (size[b] + size) * d[b] ** 2 - size * d[a, b] ** 2) / total
+    return np.sqrt(np.maximum(np.where(np.isnan(sq), np.inf, sq), 0.0))
+
+
+def _ordered(merges, n: int, weights: np.ndarray) -> np.ndarray:
+    """Sort merges by distance and number the clusters n, n + 1, ..."""
+    parent = list(range(n))
+    name = list(range(n))
+    total = list(weights)
+    out = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for step, (a, b, dist) in enumerate(sorted(merges, key=lambda t: t[2])):
+        ra, rb = root(a), root(b)
+        left, right = sorted((name[ra], name[rb]))
+        parent[ra] = rb
+        total[rb] += total[ra]
+        name[rb] = n + step
+        out.append((left, right, float(dist), float(total[rb])))
+    return np.array(out).reshape(-1, 4)
+
+
+def cut(z: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Cluster number per leaf after the first n - k merges, numbered by the first leaf."""
+    group = {i: [i] for i in range(n)}
+    for step in range(max(n - k, 0)):
+        a, b = int(z[step, 0]), int(z[step, 1])
+        group[n + step] = group.pop(a) + group.pop(b)
+    labels = np.zeros(n, dtype=int)
+    for number, members in enumerate(sorted(group.values(), key=min)):
+        labels[members] = number
+    return labels
+
+
+def leaf_order(z: np.ndarray, n: int) -> list[int]:
+    """Leaves from left to right in the merge tree."""
+    if n == 1:
+        return [0]
+    order: list[int] = []
+    stack = [n + len(z) - 1]
+    while stack:
+        node = stack.pop()
+        if node < n:
+            order.append(node)
+        else:
+            stack += [int(z[node - n, 1]), int(z[node - n, 0])]
+    return order
