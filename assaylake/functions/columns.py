@@ -62,3 +62,15 @@ def tidy(df: DataFrame, ids: Sequence[str] = (), name: str = "metric", value: st
     """One wide row (per id) to long (name, value) rows."""
     values = [c for c in df.columns if c not in ids]
     return df.select(*ids, *as_double(values)).unpivot(list(ids), values, name, value)
+
+
+def complete_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Rows without a null in ``cols``.
+
+    One predicate per column instead of ``na.drop``: its single many-column
+    predicate makes constraint inference exponential over aliased columns.
+    """
+    tests = [F.col(f"`{c}`").isNotNull() for c in (cols or df.columns)]
+    while len(tests) > 1:
+        tests = [tests[i] & tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return df.where(tests[0]) if tests else df

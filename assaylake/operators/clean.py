@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaylake.functions.columns import numeric_columns, safe_div, string_columns, sum_columns
+from assaylake.functions.columns import complete_rows, numeric_columns, safe_div, string_columns, sum_columns
 from assaylake.operators.gram import gram
 from assaylake.operators.quantiles import exact_quantiles, grouped_quantiles
 
@@ -36,7 +36,7 @@ def null_counts(df: DataFrame) -> dict[str, int]:
 
 
 def drop_rows_with_nulls(df: DataFrame) -> DataFrame:
-    return df.na.drop()
+    return complete_rows(df)
 
 
 def drop_columns_with_nulls(df: DataFrame) -> DataFrame:

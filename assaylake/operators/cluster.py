@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from assaylake.functions.columns import first_true, sum_columns
+from assaylake.functions.columns import complete_rows, first_true, sum_columns
 from assaylake.operators.linkage import MAX_LEAVES, cut, leaf_order, linkage
 from assaylake.operators.pca import PcaModel, project
 from assaylake.operators.profile import group_mode
@@ -121,7 +121,7 @@ def hierarchical(
     micro-clusters, weighted by their size, stand for the rows.
     """
     features = list(features)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features]).na.drop()
+    data = complete_rows(df.select(*[F.col(c).cast("double").alias(c) for c in features]))
     counted = data.groupBy(*features).agg(F.count(F.lit(1)).alias("n"))
     head = counted.limit(micro + 1).collect()
     if len(head) <= micro:
@@ -200,7 +200,7 @@ def two_way_table(
     aggregation is distributed; the group x variable matrix is bounded.
     """
     variables = list(variables)
-    means = df.select(by, *variables).na.drop().groupBy(F.col(by).cast("string").alias("group")).agg(*[F.avg(c).alias(c) for c in variables])
+    means = complete_rows(df.select(by, *variables)).groupBy(F.col(by).cast("string").alias("group")).agg(*[F.avg(c).alias(c) for c in variables])
     rows = means.orderBy("group").limit(MAX_LEAVES + 1).collect()
     if len(rows) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} groups")

@@ -17,6 +17,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.columns import complete_rows
+
 EXPRESSION_LIMIT = 12  # up to this many columns the pass is plain JVM sums
 
 
@@ -87,10 +89,11 @@ def gram_array(df: DataFrame, col: str, names: Sequence[str], by: str | None = N
 
 
 def _gram_by(df: DataFrame, cols: list[str], by: str | None) -> dict[object, Gram]:
-    data = df.select(*([by] if by else []), *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=cols)
     if len(cols) > EXPRESSION_LIMIT:
         key = F.col(by) if by else F.lit(None).cast("string")
-        return _arrow_pass(data.select(key.alias("k"), F.array(*cols).alias("x")), cols)
+        wide = F.array(*[F.col(c).cast("double") for c in cols])
+        return _arrow_pass(df.select(key.alias("k"), wide.alias("x")), cols)
+    data = complete_rows(df.select(*([by] if by else []), *[F.col(c).cast("double").alias(c) for c in cols]), cols)
     head = data.limit(1000).agg(*[F.avg(c).alias(c) for c in cols]).first()
     shift = [head[c] or 0.0 for c in cols]
     x = [F.col(c) - F.lit(s) for c, s in zip(cols, shift)]
@@ -124,7 +127,7 @@ def _arrow_pass(data: DataFrame, names: list[str]) -> dict[object, Gram]:
     p + 1 short vectors per partition, whatever the number of input rows.
     """
     p = len(names)
-    head = data.limit(1000).select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()
+    head = data.limit(1000).select(F.posexplode("x").alias("i", "v")).where("NOT isnan(v)").groupBy("i").agg(F.avg("v").alias("m")).collect()
     shift = np.zeros(p)
     for row in head:
         shift[row["i"]] = row["m"]
@@ -138,8 +141,11 @@ def _arrow_pass(data: DataFrame, names: list[str]) -> dict[object, Gram]:
             if batch.num_rows == 0:
                 continue
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p) - shift
-            z = np.hstack([np.ones((len(x), 1)), x])
-            keys = batch.column(0)
+            whole = ~np.isnan(x).any(axis=1)  # nulls arrive as NaN
+            z = np.hstack([np.ones((len(x), 1)), x])[whole]
+            keys = batch.column(0).filter(pa.array(whole))
+            if not len(z):
+                continue
             codes = keys.dictionary_encode()
             codes = codes if isinstance(codes, pa.DictionaryArray) else codes.combine_chunks()
             idx = codes.indices.to_pandas().fillna(-1).astype(int).to_numpy()

@@ -283,13 +283,15 @@ def _(spark, sf):
     kow = RP.parse_kowwin(files).where("record_index = 1").select("file", D.kowwin_domain(F.col("mol_weight"), F.col("fragments")).alias("v")).select(
         "file", F.col("v.in_ad").alias("kow_in"), F.size("v.warnings").alias("kow_warnings"))
     bio = RP.parse_biowin(files)
-    for g, name in (("Biowin1_2", "bio12_in"), ("Biowin3", "bio3_in"), ("Biowin5_6", "bio56_in")):
-        bio = bio.withColumn(name, D.biowin_group_domain(g, F.col("mol_weight"), F.col("metal_note"))["in_ad"])
+    names = {"Biowin1_2": "bio12_in", "Biowin3": "bio3_in", "Biowin5_6": "bio56_in"}
+    bio = bio.withColumns({f"chk_{g}": D.biowin_checked(g) for g in names})
+    bio = bio.withColumns({n: D.biowin_group_domain(g, F.col("mol_weight"), F.col("metal_note"), F.col(f"chk_{g}"))["in_ad"] for g, n in names.items()})
     bcf = RP.parse_bcfbaf(files).select(
         "file", D.bcf_domain(F.col("mol_weight"), F.col("log_kow_used"), F.col("corrections"), F.col("metal_note"))["in_ad"].alias("bcf_in"),
         D.baf_domain(F.col("mol_weight"), F.col("log_kow_used"), F.col("fragments"), F.col("metal_note"))["in_ad"].alias("baf_in"))
     no_note = F.lit(None).cast("string")
-    koc = RP.parse_kocwin(files).select("file", D.kocwin_domain(F.col("mol_weight"), F.col("logkow_corrections"), F.col("logkow_corrections"), no_note)["in_ad"].alias("koc_in"))
+    koc = RP.parse_kocwin(files).withColumn("chk", D.kocwin_checked(F.col("logkow_corrections")))
+    koc = koc.select("file", D.kocwin_domain(F.col("mol_weight"), F.col("chk"), F.col("chk"), no_note)["in_ad"].alias("koc_in"))
     return kow.join(bio.select("file", "bio12_in", "bio3_in", "bio56_in"), "file").join(bcf, "file").join(koc, "file")
 
 

@@ -106,7 +106,7 @@ def read_side_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per report file: (file, content)."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("content")
     )
 
