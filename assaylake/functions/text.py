@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaylake.functions.columns import string_columns
 
@@ -94,26 +95,50 @@ KEY_MISSING = ("", "nan", "none", "null", "nat", "n/a", "na")
 WHOLE_RELATIVE, WHOLE_ABSOLUTE = 1e-5, 1e-12
 
 
-def normalise_key(c: Column) -> Column:
-    """One text form for the same key: '1', '1.0', ' 1 ' and '1,0' become '1'.
-
-    Identifiers with leading zeros stay as they are; missing marks become NULL;
-    fractions are written with 15 significant digits.
-    """
+def key_text(c: Column) -> Column:
+    """Trimmed key, NULL for missing marks."""
     text = plain_spaces(c.cast("string"))
-    key = F.when(~F.lower(text).isin(*KEY_MISSING), text)
-    value = parse_plain(F.translate(key, ",", "."))
+    return F.when(~F.lower(text).isin(*KEY_MISSING), text)
+
+
+def key_number(key: Column) -> Column:
+    """The key as a number, unless it has leading zeros."""
+    return F.when(~key.rlike(LEADING_ZERO), parse_plain(F.translate(key, ",", ".")))
+
+
+def key_from(key: Column, value: Column) -> Column:
     whole = F.rint(value)
     is_whole = F.abs(value - whole) <= F.lit(WHOLE_ABSOLUTE) + F.lit(WHOLE_RELATIVE) * F.abs(whole)
     scientific = F.format_string("%.14e", value)
     short = F.regexp_replace(scientific, r"\.?0+e", "e")
     fixed = F.rtrim(scientific.cast("double").try_cast("decimal(38,18)").cast("string"), F.lit("0"))
     fraction = F.when(F.abs(value) >= 1e-4, fixed).otherwise(short)
-    return (
-        F.when(value.isNull() | key.rlike(LEADING_ZERO), key)
-        .when(is_whole, F.coalesce(whole.try_cast("decimal(38,0)").cast("string"), key))
-        .otherwise(fraction)
-    )
+    return F.when(value.isNull(), key).when(is_whole, F.coalesce(whole.try_cast("decimal(38,0)").cast("string"), key)).otherwise(fraction)
+
+
+def normalise_key(c: Column) -> Column:
+    """One text form for the same key: '1', '1.0', ' 1 ' and '1,0' become '1'.
+
+    Identifiers with leading zeros stay as they are; missing marks become NULL;
+    fractions are written with 15 significant digits.
+    """
+    key = key_text(c)
+    return key_from(key, key_number(key))
+
+
+def with_keys(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Add normalised keys (new name -> column), in steps so that nothing is parsed twice.
+
+    Whole-number columns need no parsing: their text is the key.
+    """
+    plain = {out for out, c in cols.items() if isinstance(df.schema[c].dataType, T.IntegralType)}
+    text = {out: c for out, c in cols.items() if out not in plain}
+    df = df.withColumns({out: F.col(f"`{cols[out]}`").cast("string") for out in plain}) if plain else df
+    if not text:
+        return df
+    df = df.withColumns({out: key_text(F.col(f"`{c}`")) for out, c in text.items()})
+    df = df.withColumns({f"__n_{out}": key_number(F.col(out)) for out in text})
+    return df.withColumns({out: key_from(F.col(out), F.col(f"__n_{out}")) for out in text}).drop(*[f"__n_{out}" for out in text])
 
 
 # ---------------------------------------------------------------- output text

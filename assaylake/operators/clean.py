@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylake.functions.columns import complete_rows, numeric_columns, safe_div, string_columns, sum_columns
-from assaylake.operators.gram import gram
+from assaylake.operators.gram import Gram, gram
 from assaylake.operators.quantiles import exact_quantiles, grouped_quantiles
 
 # Texts that mean "missing".
@@ -243,6 +243,13 @@ def scaling_parameters(df: DataFrame, cols: Sequence[str], method: str = "standa
     return {c: (float(a or 0.0), float(s) if s else 1.0) for c, (a, s) in got.items()}
 
 
+def scaling_from_gram(g: Gram, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Standard-scaling parameters out of a Gram that is there anyway."""
+    at = [g.names.index(c) for c in cols]
+    sd = np.sqrt(np.maximum(np.diag(g.cross)[at], 0.0) / g.n)
+    return {c: (float(g.mean[i]), float(s) if s > 0 else 1.0) for c, i, s in zip(cols, at, sd)}
+
+
 def apply_scaling(df: DataFrame, params: Mapping[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(a)) / F.lit(s) for c, (a, s) in params.items()})
 

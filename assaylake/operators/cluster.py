@@ -19,7 +19,7 @@ from assaylake.functions.columns import complete_rows, first_true, sum_columns
 from assaylake.operators.linkage import MAX_LEAVES, cut, leaf_order, linkage
 from assaylake.operators.pca import PcaModel, project
 from assaylake.operators.profile import group_mode
-from assaylake.operators.split import hash_at_ranks, row_hash
+from assaylake.operators.split import Sizes, hash_at_ranks, row_hash
 
 RESTARTS = 10  # fixed value: k-means restarts
 PLAN_LITERALS = 512  # centre values up to which the centres are written into the plan
@@ -168,15 +168,15 @@ def cluster_sizes(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 def label_sample(df: DataFrame, label: str, key: Sequence[str], density: float, seed: int = 42) -> DataFrame:
     """Rows to label in a plot: max(1, int(share * total)) per cluster, total = max(5, int(n * density / 100))."""
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(sizes.values())
-    total = max(5, int(n * density / 100))
-    quota = {c: min(max(1, int(m / n * total)), m) for c, m in sizes.items()}
     h = row_hash(key, seed)
-    order = sorted(quota, key=str)
-    cuts = hash_at_ranks(df, h, [(c, quota[c] - 1) for c in order], by=F.col(label))
+
+    def last_labelled(sizes: Sizes) -> list[tuple[object, int]]:
+        n = sum(sizes.values())
+        total = max(5, int(n * density / 100))
+        return [(c, min(max(1, int(m / n * total)), m) - 1) for c, m in sizes.items()]
+
     keep = F.lit(False)
-    for c, top in zip(order, cuts):
+    for (c, _), top in hash_at_ranks(df, h, last_labelled, by=F.col(label)).items():
         keep = keep | ((F.col(label) == F.lit(c)) & (h <= F.lit(top)))
     return df.where(keep)
 

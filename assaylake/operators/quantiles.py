@@ -11,12 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.operators.ordered import running_total
 
-SMALL = 1_000_000  # values per group that one aggregate may hold
+SMALL = 200_000  # values per group that one aggregate may hold
 BRACKET = 20_000  # distinct values brought to the driver to end a search
 ACCURACY = 10_000  # sketch size
 
@@ -26,29 +26,64 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column, nulls skipped."""
     cols, probs = list(cols), list(probs)
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    out: dict[str, list[float | None]] = {}
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    counts = data.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols if not counts[c]}
     direct = [c for c in cols if 0 < counts[c] <= small]
     if direct:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs))).alias(c) for c in direct]).first()
+        row = data.agg(*[F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in direct]).first()
         out |= {c: list(row[c]) for c in direct}
-    for c in cols:
-        if counts[c] == 0:
-            out[c] = [None] * len(probs)
-        elif c not in out:
-            ranks = [p * (counts[c] - 1) for p in probs]
-            wanted = sorted({r for x in ranks for r in (math.floor(x), math.ceil(x))})
-            found = dict(zip(wanted, order_statistics(df, F.col(c).cast("double"), wanted, counts[c])))
-            out[c] = [
-                found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)])
-                for x in ranks
-            ]
+    large = {c: counts[c] for c in cols if counts[c] > small}
+    ranks = {c: [p * (n - 1) for p in probs] for c, n in large.items()}
+    found = order_statistics(data, {c: {r for x in xs for r in (math.floor(x), math.ceil(x))} for c, xs in ranks.items()}, large)
+    for c, xs in ranks.items():
+        low, high = [found[c, math.floor(x)] for x in xs], [found[c, math.ceil(x)] for x in xs]
+        out[c] = [a + (x - math.floor(x)) * (b - a) for x, a, b in zip(xs, low, high)]
     return out
 
 
-def order_statistics(df: DataFrame, value: Column, ranks: Sequence[int], n: int) -> list:
-    """Values at 0-based ``ranks`` among the ``n`` non-null values."""
-    return [_select(df.select(value.alias("v")).where("v IS NOT NULL"), k, n) for k in ranks]
+def order_statistics(df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int]) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks of several double columns in three passes.
+
+    One pass sketches a bracket for every rank, one counts below and inside the
+    brackets, one counts the values inside them. A bracket that is still too
+    wide (heavy data, not heavy values) is searched further on its own.
+    """
+    targets = [(c, k) for c, ks in ranks.items() for k in sorted(ks)]
+    if not targets:
+        return {}
+    eps = 4.0 / ACCURACY
+    want = {c: [k / max(counts[c] - 1, 1) for k in sorted(ks)] for c, ks in ranks.items()}
+    sketch = df.agg(*[
+        F.percentile_approx(c, F.array(*[F.lit(x) for p in ps for x in (max(p - eps, 0.0), min(p + eps, 1.0))]), F.lit(ACCURACY)).alias(c)
+        for c, ps in want.items()
+    ]).first()
+    bracket = {(c, k): tuple(sketch[c][2 * i : 2 * i + 2]) for c, ks in ranks.items() for i, k in enumerate(sorted(ks))}
+    inside = {t: F.col(t[0]).between(F.lit(lo), F.lit(hi)) for t, (lo, hi) in bracket.items()}
+    sizes = df.agg(*[
+        f for i, t in enumerate(targets) for f in (F.count_if(F.col(t[0]) < F.lit(bracket[t][0])).alias(f"lt{i}"), F.count_if(inside[t]).alias(f"in{i}"))
+    ]).first()
+    below = {}
+    for i, t in enumerate(targets):
+        below[t] = sizes[f"lt{i}"]
+        if not below[t] <= t[1] < below[t] + sizes[f"in{i}"]:
+            raise RuntimeError("quantile sketch missed the requested rank")
+    out = {t: lo for t, (lo, hi) in bracket.items() if lo == hi}
+    open_ = [t for t in targets if t not in out]
+    if open_:
+        marks = F.array_compact(F.array(*[F.when(inside[t], F.struct(F.lit(i).alias("t"), F.col(t[0]).alias("v"))) for i, t in enumerate(open_)]))
+        counted = df.select(F.explode(marks).alias("m")).groupBy("m.t", "m.v").agg(F.count(F.lit(1)).alias("c"))
+        head = counted.limit(BRACKET * len(open_) + 1).collect()
+        if len(head) <= BRACKET * len(open_):
+            per: dict[int, list] = {}
+            for r in head:
+                per.setdefault(r["t"], []).append(r)
+            for i, t in enumerate(open_):
+                out[t] = _walk(sorted(per[i], key=lambda r: r["v"]), t[1] - below[t])
+        else:
+            for c, k in open_:
+                out[c, k] = _select(df.select(F.col(c).alias("v")).where("v IS NOT NULL"), k, counts[c])
+    return out
 
 
 def _select(values: DataFrame, k: int, n: int):

@@ -156,8 +156,8 @@ def candidate_report(
         if test is not None and test.n:
             sse, tss = holdout_sse(test, m)
             around = tss + test.n * (test.select([target]).mean[0] - m.mean_y) ** 2
-            q2 = 1.0 - sse / around if around > 0 else m.r2
-        ranked.append((m, row["r2cv"], m.r2, q2))
+            q2 = float(1.0 - sse / around) if around > 0 else m.r2
+        ranked.append((m, row["r2cv"], float(m.r2), float(q2)))
     ranked.sort(key=lambda t: (-t[3], -t[2], -t[1]))
     good = []
     for item in ranked:
@@ -185,7 +185,7 @@ def candidate_report(
         if o.ad_threshold is not None and cover < o.ad_threshold:
             continue
         text = f"{m.const:.6f} " + " ".join(f"{'+' if b >= 0 else '-'} {abs(b):.6f}*{c}" for c, b in zip(m.features, m.coef))
-        out.append([m.features, len(m.features), cv, r2, q2, 1.0 - row[f"press{i}"] / m.tss, math.sqrt(m.sse / m.n), cover, m.const, [float(b) for b in m.coef], text])
+        out.append([m.features, len(m.features), cv, r2, q2, 1.0 - row[f"press{i}"] / m.tss, math.sqrt(m.sse / m.n), float(cover), float(m.const), [float(b) for b in m.coef], text])
         if len(out) == o.best:
             break
     out.sort(key=lambda r: -r[2])

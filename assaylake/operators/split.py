@@ -9,7 +9,7 @@ rows, the same result on any cluster, and the same result in plain SQL.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,25 +28,35 @@ def row_hash(key: Sequence[str], seed: int | str = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def hash_at_ranks(df: DataFrame, h: Column, ranks: Sequence[int], by: Column | None = None) -> list[str]:
-    """The hash at each 0-based rank, among all rows or inside stratum ``by``.
+Sizes = dict[object, int]
 
-    With ``by`` the ranks are ``(stratum, rank)`` pairs.
+
+def hash_at_ranks(
+    df: DataFrame, h: Column, ranks: Callable[[Sizes], list[tuple[object, int]]], by: Column | None = None
+) -> dict[tuple[object, int], str]:
+    """The hash at 0-based ranks inside strata (one stratum ``None`` without ``by``).
+
+    ``ranks`` names the (stratum, rank) pairs once the stratum sizes are known;
+    they come from the first counting pass, so no separate count is needed.
     """
-    data = df.select(h.alias("h"), (by if by is not None else F.lit(0)).alias("g"))
-    wanted = [r if by is not None else (0, r) for r in ranks]
-    state = {w: ("", w[1]) for w in dict.fromkeys(wanted)}  # prefix so far, rank inside it
+    data = df.select(h.alias("h"), (by if by is not None else F.lit(None).cast("int")).alias("g"))
+    tag = lambda depth: F.concat_ws("|", F.col("g").cast("string"), F.substring("h", 1, depth))
+    name = lambda g, p: p if g is None else f"{g}|{p}"
+    state: dict[tuple, tuple[str, int]] | None = None
     found: dict[tuple, str] = {}
-    while state:
-        prefixes = sorted({(w[0], p) for w, (p, _) in state.items()}, key=str)
-        depth = len(prefixes[0][1])
-        scope = data
-        if depth:
-            scope = data.where(F.concat_ws("|", F.col("g").cast("string"), F.substring("h", 1, depth)).isin(*[f"{g}|{p}" for g, p in prefixes]))
-        counts = scope.groupBy("g", F.substring("h", 1, depth + PREFIX).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    depth = 0
+    while state is None or state:
+        scope = data if not depth else data.where(tag(depth).isin(*sorted({name(w[0], p) for w, (p, _) in state.items()})))
+        depth += PREFIX
+        counts = scope.groupBy("g", F.substring("h", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        if state is None:
+            sizes: Sizes = {}
+            for r in counts:
+                sizes[r["g"]] = sizes.get(r["g"], 0) + r["n"]
+            state = {w: ("", w[1]) for w in ranks(sizes)}
         table: dict[tuple, list] = {}
         for r in sorted(counts, key=lambda r: r["p"]):
-            table.setdefault((r["g"], r["p"][:depth]), []).append((r["p"], r["n"]))
+            table.setdefault((r["g"], r["p"][: depth - PREFIX]), []).append((r["p"], r["n"]))
         leaves = {}
         for w, (p, k) in list(state.items()):
             for q, n in table[(w[0], p)]:
@@ -57,26 +67,26 @@ def hash_at_ranks(df: DataFrame, h: Column, ranks: Sequence[int], by: Column | N
                     break
                 k -= n
         if leaves:
-            tags = sorted({f"{w[0]}|{q}" for w, (q, _) in leaves.items()})
-            rows = data.where(F.concat_ws("|", F.col("g").cast("string"), F.substring("h", 1, depth + PREFIX)).isin(*tags)).collect()
+            rows = data.where(tag(depth).isin(*sorted({name(w[0], q) for w, (q, _) in leaves.items()}))).collect()
             groups: dict[tuple, list[str]] = {}
             for r in rows:
-                groups.setdefault((r["g"], r["h"][: depth + PREFIX]), []).append(r["h"])
+                groups.setdefault((r["g"], r["h"][:depth]), []).append(r["h"])
             for w, (q, k) in leaves.items():
                 found[w] = sorted(groups[(w[0], q)])[k]
                 del state[w]
-    return [found[w] for w in wanted]
+    return found
 
 
 def random_split(df: DataFrame, key: Sequence[str], test_size: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
     """Exactly ceil(n * test_size) test rows."""
     h = row_hash(key, seed)
-    n = df.count()
-    n_test = math.ceil(n * test_size - 1e-9)
-    if n_test == 0:
-        return df.withColumn(out, F.lit("train"))
-    cut = hash_at_ranks(df, h, [n_test - 1])[0]
-    return df.withColumn(out, F.when(h <= F.lit(cut), "test").otherwise("train"))
+
+    def last_test(sizes: Sizes) -> list[tuple[object, int]]:
+        n_test = math.ceil(sum(sizes.values()) * test_size - 1e-9)
+        return [(None, n_test - 1)] if n_test else []
+
+    cut = list(hash_at_ranks(df, h, last_test).values())
+    return df.withColumn(out, F.when(h <= F.lit(cut[0]), "test").otherwise("train") if cut else F.lit("train"))
 
 
 def quantile_bins(df: DataFrame, target: str, n_bins: int) -> Column:
@@ -95,26 +105,30 @@ def stratified_split(
     """Random split with ceil(n_bin * test_size) test rows in every quantile bin."""
     bins = quantile_bins(df, target, n_bins)
     h = row_hash(key, seed)
-    sizes = {r["b"]: r["n"] for r in df.groupBy(bins.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranks = [(b, math.ceil(n * test_size - 1e-9) - 1) for b, n in sorted(sizes.items())]
-    ranks = [(b, k) for b, k in ranks if k >= 0]
-    cuts = hash_at_ranks(df, h, ranks, by=bins)
+
+    def last_tests(sizes: Sizes) -> list[tuple[object, int]]:
+        ends = [(b, math.ceil(n * test_size - 1e-9) - 1) for b, n in sizes.items()]
+        return [(b, k) for b, k in ends if k >= 0]
+
     test = F.lit(False)
-    for (b, _), cut in zip(ranks, cuts):
+    for (b, _), cut in hash_at_ranks(df, h, last_tests, by=bins).items():
         test = test | ((F.col("bin") == F.lit(b)) & (h <= F.lit(cut)))
     return df.withColumn("bin", bins).withColumn(out, F.when(test, "test").otherwise("train"))
 
 
 def kfold(df: DataFrame, key: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
     """Shuffled folds: consecutive blocks of the hash order, sizes differing by at most one."""
-    n = df.count()
-    k = max(1, min(k, n))
-    ends = np.cumsum([n // k + (1 if i < n % k else 0) for i in range(k)])[:-1]
     h = row_hash(key, seed)
-    cuts = hash_at_ranks(df, h, [int(e) - 1 for e in ends]) if len(ends) else []
+
+    def block_ends(sizes: Sizes) -> list[tuple[object, int]]:
+        n = sum(sizes.values())
+        folds = max(1, min(k, n))
+        ends = np.cumsum([n // folds + (1 if i < n % folds else 0) for i in range(folds)])[:-1]
+        return [(None, int(e) - 1) for e in ends]
+
     fold = F.lit(0)
-    for c in cuts:
-        fold = fold + (h > F.lit(c)).cast("int")
+    for cut in hash_at_ranks(df, h, block_ends).values():
+        fold = fold + (h > F.lit(cut)).cast("int")
     return df.withColumn(out, fold)
 
 

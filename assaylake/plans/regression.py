@@ -10,7 +10,7 @@ from assaylake.operators import pca as PC
 from assaylake.operators import pcr as PR
 from assaylake.operators import regress as G
 from assaylake.operators import split as P
-from assaylake.operators.gram import gram_by
+from assaylake.operators.gram import gram, gram_by
 from assaylake.operators.ordered import durbin_watson
 from assaylake.plans.registry import query, sql_round as R
 from assaylake.plans.statistics import EMB, embedding_columns
@@ -71,9 +71,13 @@ SCORED = f"{BASE}, {SPLIT}, {ols_sql('sp', chr(87) + 'HERE split = ' + chr(39) +
         SELECT split, count(*) AS n, {R('1 - sum(e * e) / (var_pop(y) * count(*))', 8)} AS r2, {R('sqrt(avg(e * e))')} AS rmse, {R('avg(abs(e))')} AS mae FROM a2 GROUP BY split""",
 )
 def _(spark, sf):
-    data = split_charges(spark, sf)
-    data = C.scale_on_train(C.tokens_to_null(data), X)
-    model = G.fit_ols(data.where("split = 'train'"), "y", X)
+    data = C.tokens_to_null(split_charges(spark, sf))
+    # One Gram of the training rows gives the scaling and the fit on scaled features.
+    g = gram(data.where("split = 'train'"), [*X, "y"])
+    params = C.scaling_from_gram(g, X)
+    scaled = g.scaled(X, [a for a, _ in params.values()], [s for _, s in params.values()])
+    model = G.solve_ols(scaled, "y", X)
+    data = C.apply_scaling(data, params)
     m = G.metrics_by_split(G.predictions(data, model), "y")
     return m.select("split", "n", rnd("r2", 8).alias("r2"), rnd("rmse").alias("rmse"), rnd("mae").alias("mae"))
 

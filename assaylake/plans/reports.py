@@ -19,6 +19,7 @@ from assaylake.operators import scoring as SC
 from assaylake.operators import sheets as SH
 from assaylake.operators.keyjoin import align_records, first_match_join
 from assaylake.plans.registry import query, sql_round as R
+from assaylake.session import spread
 from assaylake.sources import readers as RD
 from assaylake.sources.tables import table
 
@@ -159,7 +160,7 @@ def report_files(spark, sf):
         values[f"r{n}"] = F.format_string("%.4f", (size + n) / 60.0)
     body = fill(HEAD + KOW_TEXT + BIO_TEXT + BCF_TEXT + KOC_TEXT, values)
     extra = F.when(F.col("p_partkey") % 5 == 0, fill(HEAD + KOW_TEXT, values | {"name": F.lit("second compound")})).otherwise("")
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part"), "p_partkey").select(
         F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("file"), F.concat(body, extra).alias("content")
     )
 
@@ -560,7 +561,7 @@ def group_files(spark, sf):
         F.lit("comment line\n"), block(F.concat(F.lit("1. Group "), F.col("lang")), F.slice(words, F.lit(1), half)),
         block(F.concat(F.lit("22. From "), F.col("source")), F.slice(words, half + 1, F.size(words))),
     )
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), text.alias("content"))
+    return spread(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").cast("string").alias("file"), text.alias("content"))
 
 
 WORDS = """w AS (SELECT doc_id, lang, source, list_filter(string_split(regexp_replace(text, '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
