@@ -135,7 +135,7 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     clash = sorted(staying & set(targets))
     if clash:
         raise ValueError(f"names already in use: {clash}")
-    return df.withColumnsRenamed(wanted)
+    return df.select(*[F.col(f"`{c}`").alias(wanted.get(c, c)) for c in df.columns])  # at once, so names may be swapped
 
 
 def numeric_complete(df: DataFrame) -> DataFrame:

@@ -58,8 +58,9 @@ def nearest(
     # Second round: only blocks nearer along the axis than the worst k-th distance of the query block.
     worst = F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(float("inf"))
     theta = first.groupBy(F.col("qblock").alias("block")).agg((F.max(worst) * (1 + 1e-9)).alias("theta"))
-    reachable = materialize(qs.join(theta, "block").select("block", (F.col("lo") - F.col("theta")).alias("from"), (F.col("hi") + F.col("theta")).alias("to")), "reach")
-    low = _block_at(reachable.select("block", F.col("from").alias("at")), bs).withColumnRenamed("found", "low")
+    slack = 1e-9 * (F.abs("lo") + F.abs("hi"))
+    reachable = materialize(qs.join(theta, "block").select("block", (F.col("lo") - F.col("theta") - slack).alias("from"), (F.col("hi") + F.col("theta") + slack).alias("to")), "reach")
+    low = _block_at(reachable.select("block", F.col("from").alias("at")), bs, strictly=True).withColumnRenamed("found", "low")
     high = _block_at(reachable.select("block", F.col("to").alias("at")), bs).withColumnRenamed("found", "high")
     more = _existing(low.join(high, "block"), F.col("low"), F.col("high"), bs).join(first_pairs, ["qblock", "bblock"], "left_anti")
     second = _pairs(q, b, more, k)
@@ -70,12 +71,13 @@ def nearest(
     )
 
 
-def _block_at(points: DataFrame, ranges: DataFrame) -> DataFrame:
+def _block_at(points: DataFrame, ranges: DataFrame, strictly: bool = False) -> DataFrame:
     """(block, found): the last base block that starts at or before ``at``; block 0 before all of them.
 
-    An as-of lookup: both sides are sorted together and block numbers carried forward.
+    ``strictly`` leaves out blocks that start exactly there. An as-of lookup:
+    both sides are sorted together and block numbers carried forward.
     """
-    starts = ranges.select(F.lit(0).alias("kind"), F.col("block").alias("id"), F.col("lo").alias("at"), F.col("block").alias("b"))
+    starts = ranges.select(F.lit(2 if strictly else 0).alias("kind"), F.col("block").alias("id"), F.col("lo").alias("at"), F.col("block").alias("b"))
     asked = points.select(F.lit(1).alias("kind"), F.col("block").alias("id"), "at", F.lit(None).cast("long").alias("b"))
     filled = forward_fill(starts.unionByName(asked), ["at", "kind", "id"], "b", "found").where("kind = 1")
     return filled.select(F.col("id").alias("block"), F.coalesce("found", F.lit(0)).alias("found"))
