@@ -43,7 +43,7 @@ def logistic_regression(features, label, key, c: float = 1.0, max_iter: int = 15
 def linear_svc(features, label, key, max_iter: int = 100) -> Predictor:
     """One linear machine per class (hinge loss)."""
     return _ml(
-        lambda train: OneVsRest(featuresCol="__x", labelCol=label, classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / train.count(), standardization=False)),
+        lambda train: OneVsRest(featuresCol="__x", labelCol=label, classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / train.count(), standardization=False), parallelism=4),
         features, label, key,
     )
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaylake.functions.columns import complete_rows, numeric_columns, safe_div, string_columns, sum_columns
+from assaylake.functions.columns import complete_rows, numeric_columns, safe_div, sum_columns
 from assaylake.operators.gram import Gram, gram
+from assaylake.operators.ordered import with_global_index
 from assaylake.operators.quantiles import exact_quantiles, grouped_quantiles
 
 # Texts that mean "missing".
@@ -381,22 +382,14 @@ def power_lambda(
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Code by sorted distinct text. The dictionary is one row per category."""
-    from pyspark.sql import Window
-
+    """Code by sorted distinct text; the dictionary is ranked in ranges, so it may be large."""
     cats = df.select(F.col(col).cast("string").alias("__cat")).distinct()
-    codes = cats.withColumn(out, (F.row_number().over(Window.orderBy("__cat")) - 1).cast("long"))
+    codes = with_global_index(cats, ["__cat"], out)
     return df.join(codes, F.col(col).cast("string").eqNullSafe(F.col("__cat")), "left").drop("__cat")
 
 
 def first_appearance_codes(df: DataFrame, col: str, order: str, out: str) -> DataFrame:
     """Code categories in order of their first row."""
-    from pyspark.sql import Window
-
     cats = df.groupBy(F.col(col).alias("__cat")).agg(F.min(order).alias("__first"))
-    codes = cats.withColumn(out, (F.row_number().over(Window.orderBy("__first")) - 1).cast("long"))
-    return df.join(codes.drop("__first"), F.col(col).eqNullSafe(F.col("__cat")), "left").drop("__cat")
-
-
-def text_columns(df: DataFrame) -> list[str]:
-    return string_columns(df)
+    codes = with_global_index(cats, ["__first"], out).drop("__first")
+    return df.join(codes, F.col(col).eqNullSafe(F.col("__cat")), "left").drop("__cat")

@@ -82,6 +82,12 @@ def _(spark, sf):
     return dbscan(ev, ["a", "y"], "event_id", 2.5, 6).select("event_id", "cluster", "is_core")
 
 
+@query("jon_11_eps_neighbours", f"WITH {DB} SELECT src AS event_id, count(*) >= 6 AS is_core FROM nb GROUP BY src")
+def _(spark, sf):
+    """Rows with at least six rows (itself included) within eps, by the grid join."""
+    return dbscan(event_features(spark, sf), ["a", "y"], "event_id", 2.5, 6).select("event_id", "is_core")
+
+
 PT = "pt AS (SELECT p_partkey AS id, p_size / 50 AS s, p_retailprice / 2000 AS r FROM part)"
 
 

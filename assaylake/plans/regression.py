@@ -95,35 +95,41 @@ def _(spark, sf):
     return spark.createDataFrame([(k, round(st[k], d) + 0.0) for k, d in digits.items()], "metric string, value double")
 
 
-def _cv_sql():
-    folds = []
-    names = []
-    for i in range(3):
+def _cv_sql(source: str, k: int) -> str:
+    """Held-out R2 and RMSE of ``k`` fits; ``source`` ends in a CTE ``fo`` with a fold column."""
+    fits, parts = [], []
+    for i in range(k):
         s = ols_sql("fo", f"WHERE fold <> {i}")
         for name in ("mo", "co", "cf", "fit"):
             s = s.replace(f"{name} AS (", f"{name}{i} AS (").replace(f"FROM {name})", f"FROM {name}{i})")
-        folds.append(s)
-        names.append(
-            f"SELECT 1 - sum((y - c0 - c1 * a - c2 * b) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - c0 - c1 * a - c2 * b) ** 2)) AS rmse FROM fo, fit{i} WHERE fold = {i}"
-        )
+        fits.append(s)
+        e = "(y - c0 - c1 * a - c2 * b)"
+        parts.append(f"SELECT 1 - sum({e} ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg({e} ** 2)) AS rmse FROM fo, fit{i} WHERE fold = {i}")
     return (
-        f"WITH {BASE}, fo AS (SELECT *, l_linenumber % 3 AS fold FROM base), {', '.join(folds)}, m AS ({' UNION ALL '.join(names)}) "
-        f"SELECT {R('avg(r2)', 8)} AS r2cv, {R('avg(rmse)', 6)} AS rmse_cv FROM m"
+        f"WITH {source}, {', '.join(fits)}, m AS ({' UNION ALL '.join(parts)}) SELECT {R('avg(r2)', 8)} AS r2cv, {R('avg(rmse)', 6)} AS rmse_cv FROM m"
     )
 
 
-@query("reg_04_cross_validation", _cv_sql())
+def _cv_row(spark, folds):
+    cv = G.cross_validate(folds, "y", X)
+    return spark.createDataFrame([(round(cv["r2cv"], 8) + 0.0, round(cv["rmse_cv"], 6) + 0.0)], "r2cv double, rmse_cv double")
+
+
+@query("reg_04_cross_validation", _cv_sql(f"{BASE}, fo AS (SELECT *, l_linenumber % 3 AS fold FROM base)", 3))
 def _(spark, sf):
     data = charges(spark, sf).withColumn("fold", F.col("l_linenumber") % 3)
-    cv = G.cross_validate(gram_by(data, [*X, "y"], "fold"), "y", X)
-    return spark.createDataFrame([(round(cv["r2cv"], 8) + 0.0, round(cv["rmse_cv"], 6) + 0.0)], "r2cv double, rmse_cv double")
+    return _cv_row(spark, gram_by(data, [*X, "y"], "fold"))
 
 
-@query("reg_04_cross_validation_kfold")
+@query(
+    "reg_04_cross_validation_kfold",
+    _cv_sql(
+        f"""{BASE}, hs AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || l_extendedprice)) - 1 AS rn,
+        count(*) OVER () AS n FROM base), fo AS (SELECT * EXCLUDE (n), CASE WHEN rn < (n // 5 + 1) * (n % 5) THEN rn // (n // 5 + 1) ELSE n % 5 + (rn - (n // 5 + 1) * (n % 5)) // (n // 5) END AS fold FROM hs)""", 5,
+    ),
+)
 def _(spark, sf):
-    data = P.kfold(charges(spark, sf), LROW, 5)
-    cv = G.cross_validate(gram_by(data, [*X, "y"], "fold"), "y", X)
-    return spark.createDataFrame([(cv["r2cv"], cv["rmse_cv"])], "r2cv double, rmse_cv double")
+    return _cv_row(spark, gram_by(P.kfold(charges(spark, sf), LROW, 5), [*X, "y"], "fold"))
 
 
 LEV = "1 / fit.n + ((a - ma) ** 2 * sbb - 2 * (a - ma) * (b - mb) * sab + (b - mb) ** 2 * saa) / det"
@@ -427,3 +433,11 @@ def _(spark, sf):
     model = PR.fit_pcr(d, "label", EMB, "fold", optimise=True)
     return model.coefficients(spark)
 
+
+
+@query(
+    "win_04_importance_rank",
+    f"WITH {LOADINGS} SELECT feature, row_number() OVER (ORDER BY max(abs(loading)) DESC, feature)::INT AS rank FROM ld WHERE component <= 6 GROUP BY feature",
+)
+def _(spark, sf):
+    return PC.importance(_loadings(spark, sf).where("component <= 6")).select("feature", "rank")

@@ -588,3 +588,12 @@ def _(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     g = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_regionkey").cast("string").alias("group_id"), F.col("r_name").alias("group_name"), F.col("n_name").alias("descriptor"))
     return RD.group_summary(g)
+
+
+@query(
+    "win_07_header_carry",
+    f"WITH {WORDS} SELECT file, group_name, len(items)::BIGINT AS n_items FROM g",
+)
+def _(spark, sf):
+    """Every line belongs to the last header above it: lines per header."""
+    return RD.parse_groups(group_files(spark, sf)).groupBy("file", "group_name").agg(F.count("descriptor").alias("n_items"))

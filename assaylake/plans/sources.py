@@ -198,3 +198,62 @@ def _(spark, sf):
     from assaylake.functions.user import aggregate_by
 
     return aggregate_by(table(spark, sf, "part"), "p_brand", {"spread": F.max("p_retailprice") - F.min("p_retailprice")}).withColumn("spread", rnd("spread"))
+
+
+@query(
+    "udf_03_merged_aggregate",
+    f"SELECT p_brand, count(*) AS n, {R('sum(p_size * p_retailprice) / sum(p_size)', 6)} AS weighted FROM part GROUP BY 1",
+)
+def _(spark, sf):
+    """A Python aggregate in two steps: rows to one partial per batch, partials to the result."""
+    from assaylake.functions.user import merge_by
+
+    part = table(spark, sf, "part").select("p_brand", F.col("p_size").cast("double").alias("w"), "p_retailprice")
+    g = merge_by(
+        part, "p_brand",
+        lambda x: {"n": len(x), "sw": x["w"].sum(), "swx": (x["w"] * x["p_retailprice"]).sum()},
+        lambda x: {"n": int(x["n"].sum()), "sw": x["sw"].sum(), "swx": x["swx"].sum()},
+        "n long, sw double, swx double",
+    )
+    return g.select("p_brand", "n", rnd(F.col("swx") / F.col("sw"), 6).alias("weighted"))
+
+
+@query("udf_01_map_values", f"SELECT event_id, {R('sqrt(value + 1)', 8)} AS mapped FROM events")
+def _(spark, sf):
+    import numpy as np
+
+    from assaylake.functions.user import map_values
+
+    ev = map_values(table(spark, sf, "events").select("event_id", "value"), "value", lambda x: np.sqrt(x + 1), out="mapped")
+    return ev.select("event_id", rnd("mapped", 8).alias("mapped"))
+
+
+@query(
+    "udf_04_linear_formula",
+    f"SELECT o_orderkey, {R('-3.5 + 0.002 * o_totalprice + 0.01 * o_custkey', 6)} AS predicted FROM orders",
+)
+def _(spark, sf):
+    from assaylake.operators.regress import apply_formula
+
+    return apply_formula(table(spark, sf, "orders"), {"o_totalprice": 0.002, "o_custkey": 0.01}, -3.5, "predicted").select("o_orderkey", rnd("predicted").alias("predicted"))
+
+
+@query(
+    "udf_05_file_records",
+    "SELECT 'part-' || p_partkey || '.txt' AS file, CASE WHEN p_partkey % 5 = 0 THEN 5 ELSE 4 END::BIGINT AS n_records FROM part",
+)
+def _(spark, sf):
+    files, out = report_files(spark, sf), None
+    for program in RP.PROGRAMS:
+        s = RP.sections(files, program).select("file")
+        out = s if out is None else out.unionByName(s)
+    return out.groupBy("file").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+@query(
+    "jon_12_row_by_grid",
+    f"SELECT s_suppkey, {R('10 ** (-1 + i * (3.0::DOUBLE / 19))', 6)} AS conc FROM supplier, range(20) t(i)",
+)
+def _(spark, sf):
+    g = SC.concentration_grid(table(spark, sf, "supplier").select("s_suppkey"), 0.1, 100.0, 20, "conc")
+    return g.select("s_suppkey", rnd("conc", 6).alias("conc"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions.columns import rnd
+from assaylake.functions.distributions import normal_quantile
 from assaylake.operators import ordered as O
 from assaylake.operators import stats as S
 from assaylake.operators.gram import gram, gram_array, matrix_frame
@@ -60,9 +61,12 @@ def _(spark, sf):
     return t.select("feature", rnd("correlation", 7).alias("correlation"), rnd("abs_correlation", 7).alias("abs_correlation"), "n")
 
 
-@query("sta_02_target_correlations_wide")
+LONG = "el AS (SELECT vec_id, label::DOUBLE AS y, printf('e%02d', unnest(range(64))) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+@query("sta_02_target_correlations_wide", f"WITH {LONG} SELECT f AS feature, {R('corr(v, y)', 8)} AS correlation, count(*) AS n FROM el GROUP BY f")
 def _(spark, sf):
-    return S.target_correlations(embedding_columns(spark, sf), "label", EMB)
+    return S.target_correlations(embedding_columns(spark, sf), "label", EMB).select("feature", rnd("correlation", 8).alias("correlation"), "n")
 
 
 @query(
@@ -106,9 +110,17 @@ def _(spark, sf):
     return t.select(combo.alias("combo"), rnd("correlation", 7).alias("correlation"), "n")
 
 
-@query("sta_05_composite_correlations_wide")
+@query(
+    "sta_05_composite_correlations_wide",
+    f"""WITH {LONG}, ry AS (SELECT f, corr(v, y) AS r FROM el GROUP BY f), pool AS (SELECT f, r FROM ry ORDER BY abs(r) DESC LIMIT 20),
+        rr AS (SELECT a.f AS f, b.f AS g, corr(a.v, b.v) AS r FROM el a JOIN el b USING (vec_id) WHERE a.f IN (SELECT f FROM pool) AND b.f IN (SELECT f FROM pool) AND a.f < b.f GROUP BY 1, 2),
+        co AS (SELECT a.f || '+' || b.f || '+' || c.f AS combo, (a.r + b.r + c.r) / sqrt(3 + 2 * (x.r + y.r + z.r)) AS r FROM pool a JOIN pool b ON a.f < b.f JOIN pool c ON b.f < c.f
+          JOIN rr x ON x.f = a.f AND x.g = b.f JOIN rr y ON y.f = a.f AND y.g = c.f JOIN rr z ON z.f = b.f AND z.g = c.f)
+        SELECT combo, {R('r', 8)} AS correlation FROM co ORDER BY abs(r) DESC LIMIT 50""",
+)
 def _(spark, sf):
-    return S.composite_correlations(embedding_columns(spark, sf), "label", EMB, size=3, pool=20, top=50)
+    t = S.composite_correlations(embedding_columns(spark, sf), "label", EMB, size=3, pool=20, top=50)
+    return t.select(F.array_join(F.array_sort(F.split("label", " \\+ ")), "+").alias("combo"), rnd("correlation", 8).alias("correlation"))
 
 
 def _group_r2(a, b, y="y"):
@@ -178,9 +190,17 @@ def _(spark, sf):
     return d.select("n", rnd("k2", 4).alias("k2"), rnd("normality_p", 8).alias("normality_p"))
 
 
-@query("sta_11_qq_points")
+QQ = [(i + 0.5) / 100 for i in range(100)]
+
+
+@query(
+    "sta_11_qq_points",
+    "SELECT " + R("p", 4) + " AS prob, " + R("t", 8) + " AS theoretical, " + R("s", 4) + " AS sample FROM (SELECT unnest(" + repr([float(p) for p in QQ]) + ") AS p, "
+    + "unnest(" + repr([normal_quantile(p) for p in QQ]) + ") AS t, unnest(quantile_cont(o_totalprice, " + repr([float(p) for p in QQ]) + ")) AS s FROM orders)",
+)
 def _(spark, sf):
-    return S.qq_points(table(spark, sf, "orders"), "o_totalprice", 100)
+    q = S.qq_points(table(spark, sf, "orders"), "o_totalprice", 100)
+    return q.select(rnd("prob", 4).alias("prob"), rnd("theoretical", 8).alias("theoretical"), rnd("sample", 4).alias("sample"))
 
 
 @query(

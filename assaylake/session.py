@@ -46,7 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/assaylake/{label}-{uuid.uuid4().hex}"
+    return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stage_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/assaylake/{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, when no result needs them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
