@@ -16,6 +16,7 @@ from assaylake.functions.columns import string_columns
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DECIMAL_COMMA = r"\d+,\d+"
 LEADING_ZERO = r"^0\d+$"
+WHOLE_KEY = r"^(0|-?[1-9]\d{0,14})$"
 NEGATIVE_PARENTHESES = r"^\(\s*(.*)\s*\)$"
 SPACE_OR_APOSTROPHE = "[ '’]"
 DOT_THOUSANDS = r"(?<=\d)\.(?=\d{3}(\D|$))"
@@ -102,8 +103,8 @@ def key_text(c: Column) -> Column:
 
 
 def key_number(key: Column) -> Column:
-    """The key as a number, unless it has leading zeros."""
-    return F.when(~key.rlike(LEADING_ZERO), parse_plain(F.translate(key, ",", ".")))
+    """The key as a number, unless it is a whole number already or has leading zeros."""
+    return F.when(~key.rlike(WHOLE_KEY) & ~key.rlike(LEADING_ZERO), parse_plain(F.translate(key, ",", ".")))
 
 
 def key_from(key: Column, value: Column) -> Column:
@@ -126,19 +127,26 @@ def normalise_key(c: Column) -> Column:
     return key_from(key, key_number(key))
 
 
-def with_keys(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+def with_keys(df: DataFrame, cols: dict[str, str], complete: bool = False) -> DataFrame:
     """Add normalised keys (new name -> column), in steps so that nothing is parsed twice.
 
-    Whole-number columns need no parsing: their text is the key.
+    Whole-number columns need no parsing: their text is the key. ``complete``
+    leaves out rows without a key and declares the new columns non-null, so a
+    join adds no null test that would repeat the parsing.
     """
+    if complete:
+        df = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols.values()))
     plain = {out for out, c in cols.items() if isinstance(df.schema[c].dataType, T.IntegralType)}
     text = {out: c for out, c in cols.items() if out not in plain}
     df = df.withColumns({out: F.col(f"`{cols[out]}`").cast("string") for out in plain}) if plain else df
     if not text:
         return df
     df = df.withColumns({out: key_text(F.col(f"`{c}`")) for out, c in text.items()})
+    for out in text if complete else ():
+        df = df.where(F.col(out).isNotNull())
     df = df.withColumns({f"__n_{out}": key_number(F.col(out)) for out in text})
-    return df.withColumns({out: key_from(F.col(out), F.col(f"__n_{out}")) for out in text}).drop(*[f"__n_{out}" for out in text])
+    final = lambda c: F.coalesce(c, F.lit("")) if complete else c
+    return df.withColumns({out: final(key_from(F.col(out), F.col(f"__n_{out}"))) for out in text}).drop(*[f"__n_{out}" for out in text])
 
 
 # ---------------------------------------------------------------- output text

@@ -23,6 +23,7 @@ from assaylake.session import materialize
 
 BUCKET_ROWS = 10_000  # rows of one cell that a join task takes at a time
 POINT_PAIRS = 4096  # up to this many pairs of rows two cell parts are compared row by row
+ROUNDS = 3  # label rounds between two written tables
 FINER = 4  # parts per side when a pair of cells stays undecided
 
 
@@ -167,20 +168,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest ``own`` value of the connected part of every node (cell, own).
 
     Each round takes the smallest label of the neighbours, then follows labels
-    to the label of their owner, so paths halve; every round is written out.
+    to the label of their owner, so paths halve; every few rounds are written out.
     """
     both = materialize(
         edges.select(F.col("a_cell").alias("src"), F.col("b_cell").alias("dst")).unionByName(
             edges.select(F.col("b_cell").alias("src"), F.col("a_cell").alias("dst"))), "graph"
     )
-    labels = nodes.withColumn("label", F.col("own"))
-    while True:
+
+    def lowered(labels: DataFrame) -> DataFrame:
         sent = both.join(labels.select(F.col("cell").alias("src"), "label"), "src").select(F.col("dst").alias("cell"), "label")
         low = sent.groupBy("cell").agg(F.min("label").alias("low"))
-        step = labels.join(low, "cell", "left").withColumn("new", F.least("label", F.coalesce("low", "label")))
-        owner = step.select(F.col("own").alias("new"), F.col("new").alias("jump"))
-        step = step.join(owner, "new").withColumn("new", F.least("new", "jump"))
-        step = materialize(step.select("cell", "own", F.col("label").alias("old"), F.col("new").alias("label")), "labels")
+        return labels.join(low, "cell", "left").select("cell", "own", F.least("label", F.coalesce("low", "label")).alias("label"))
+
+    def jumped(labels: DataFrame) -> DataFrame:
+        owner = labels.select(F.col("own").alias("label"), F.col("label").alias("jump"))
+        return labels.join(owner, "label").select("cell", "own", F.least("label", "jump").alias("label"))
+
+    labels = nodes.withColumn("label", F.col("own"))
+    while True:
+        step = labels
+        for _ in range(ROUNDS):
+            step = jumped(lowered(step))
+        step = materialize(step.join(labels.select("cell", F.col("label").alias("old")), "cell"), "labels")
         changed = step.where(F.col("old") != F.col("label")).limit(1).count()
         labels = step.drop("old")
         if not changed:

@@ -25,7 +25,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             for c in cols
         ]
     ).first()
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], counts={c: row[c]["count"] for c in cols})
     rows = [(c, row[c]["count"], row[c]["mean"], row[c]["std"], row[c]["min"], *q[c], row[c]["max"]) for c in cols]
     return df.sparkSession.createDataFrame(
         rows, "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"

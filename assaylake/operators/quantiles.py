@@ -22,12 +22,12 @@ ACCURACY = 10_000  # sketch size
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL, counts: dict[str, int] | None = None
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per column, nulls skipped."""
+    """Linear-interpolated quantiles per column, nulls skipped. Known ``counts`` save a pass."""
     cols, probs = list(cols), list(probs)
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    counts = data.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    counts = counts or data.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols if not counts[c]}
     direct = [c for c in cols if 0 < counts[c] <= small]
     if direct:

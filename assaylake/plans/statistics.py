@@ -195,12 +195,12 @@ QQ = [(i + 0.5) / 100 for i in range(100)]
 
 @query(
     "sta_11_qq_points",
-    "SELECT " + R("p", 4) + " AS prob, " + R("t", 8) + " AS theoretical, " + R("s", 4) + " AS sample FROM (SELECT unnest(" + repr([float(p) for p in QQ]) + ") AS p, "
+    "SELECT " + R("p", 4) + " AS prob, " + R("t", 8) + " AS theoretical, " + R("s", 7) + " AS sample FROM (SELECT unnest(" + repr([float(p) for p in QQ]) + ") AS p, "
     + "unnest(" + repr([normal_quantile(p) for p in QQ]) + ") AS t, unnest(quantile_cont(o_totalprice, " + repr([float(p) for p in QQ]) + ")) AS s FROM orders)",
 )
 def _(spark, sf):
     q = S.qq_points(table(spark, sf, "orders"), "o_totalprice", 100)
-    return q.select(rnd("prob", 4).alias("prob"), rnd("theoretical", 8).alias("theoretical"), rnd("sample", 4).alias("sample"))
+    return q.select(rnd("prob", 4).alias("prob"), rnd("theoretical", 8).alias("theoretical"), rnd("sample", 7).alias("sample"))
 
 
 @query(
