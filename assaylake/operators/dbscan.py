@@ -23,7 +23,7 @@ from assaylake.session import materialize
 
 BUCKET_ROWS = 10_000  # rows of one cell that a join task takes at a time
 POINT_PAIRS = 4096  # up to this many pairs of rows two cell parts are compared row by row
-ROUNDS = 3  # label rounds between two written tables
+ROUNDS = 2  # label rounds between two written tables
 FINER = 4  # parts per side when a pair of cells stays undecided
 
 
