@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, rules
-from assaylake.llm.frames import bucket_of, documents, table
+from assaylake.llm import convnet, language, packing, rules
+from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = convnet.fit(docs, table(spark, sf_dir, "labels"), only=bucket_of("doc_id", 5) != 0)
     return convnet.score(docs, net).withColumn("held_out", bucket_of("doc_id", 5) == 0)
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(written(packing.tokenise(documents(spark, sf_dir), path), "pieces"))
