@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, packing, rules
+from assaylake.llm import convnet, language, minhash, packing, rules
 from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(written(packing.tokenise(documents(spark, sf_dir), path), "pieces"))
+
+
+@query("op8_minmax_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
