@@ -98,6 +98,11 @@ class SpanHash:
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sum[ends] - self._sum[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
 
+    def rolling(self, width: int) -> np.ndarray:
+        """Hashes of all spans of ``width`` bytes, in order of their start."""
+        n = len(self._sum) - width
+        return mix((self._sum[width:] - self._sum[:n]) * self._down[:n] + np.uint64(width))
+
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all words of a block; words end at document borders."""

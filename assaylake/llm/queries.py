@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, minhash, packing, rules
+from assaylake.llm import convnet, language, minhash, packing, repeats, rules
 from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minmax_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+@query("op3_suffix_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir), length=100)
