@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, minhash, packing, repeats, rules
+from assaylake.llm import convnet, language, minhash, packing, repeats, rules, suffix_tree
 from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_repeats")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir), length=100)
+
+
+@query("op10_suffix_tree_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    train = bucket_of("doc_id", 10) != 0
+    tree = suffix_tree.fit(docs.where(train))
+    return suffix_tree.score(docs, tree, train).withColumn("held_out", bucket_of("doc_id", 10) == 0)
