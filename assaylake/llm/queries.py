@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, minhash, packing, repeats, rules, suffix_tree
+from assaylake.llm import convnet, language, minhash, packing, repeats, rules, spotsigs, suffix_tree
 from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = bucket_of("doc_id", 10) != 0
     tree = suffix_tree.fit(docs.where(train))
     return suffix_tree.score(docs, tree, train).withColumn("held_out", bucket_of("doc_id", 10) == 0)
+
+
+@query("op2_spotsigs_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_and_next(documents(spark, sf_dir))
