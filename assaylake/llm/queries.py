@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, minhash, packing, repeats, rules, spotsigs, suffix_tree
+from assaylake.llm import convnet, language, minhash, mixing, packing, quotes, repeats, rules, spotsigs, suffix_tree
 from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_spotsigs_fingerprints")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_and_next(documents(spark, sf_dir))
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) from quality and toxic labels."""
+    name = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    return labels.select("doc_id", name.alias("domain"))
+
+
+@query("op4_soft_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), {"clean": 0.9, "toxic": 0.05, "low": 0.05}, total_share=1.0)
+
+
+@query(
+    "op7_quotation_linking",
+    r"""
+    WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS norm FROM conversations),
+    o AS (SELECT conv_id, norm, min(turn) AS original FROM m WHERE norm <> '' GROUP BY 1, 2),
+    p AS (SELECT a.conv_id, a.turn, a.role, a.text, o.original AS parent,
+                 (CASE WHEN b.conv_id IS NULL THEN 0 ELSE 1 END) + (CASE WHEN c.conv_id IS NULL THEN 0 ELSE 1 END) AS n_passages,
+                 (CASE WHEN o.original IS NULL THEN 0 ELSE 1 END) + (CASE WHEN o2.original IS NULL THEN 0 ELSE 1 END) AS n_linked
+          FROM m a LEFT JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN m c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2
+          LEFT JOIN o ON o.conv_id = b.conv_id AND o.norm = b.norm LEFT JOIN o o2 ON o2.conv_id = c.conv_id AND o2.norm = c.norm),
+    r AS (SELECT conv_id, turn, turn AS thread, 0 AS depth FROM p WHERE parent IS NULL
+          UNION ALL SELECT p.conv_id, p.turn, r.thread, r.depth + 1 FROM p JOIN r ON p.conv_id = r.conv_id AND p.parent = r.turn)
+    SELECT p.conv_id, p.turn, p.role, regexp_replace(regexp_replace(p.text, '^\s+', ''), '\s+$', '') AS own_text, CAST(p.n_passages AS BIGINT) AS n_passages, CAST(p.n_linked AS BIGINT) AS n_linked,
+           p.parent AS parent_turn, r.thread AS thread_turn, CAST(r.depth AS BIGINT) AS depth
+    FROM p JOIN r ON p.conv_id = r.conv_id AND p.turn = r.turn
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.linked_messages(quotes.as_mailbox(table(spark, sf_dir, "conversations")))
+    return linked.select(F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("own_text"), "n_passages", "n_linked", F.col("parent").alias("parent_turn"), F.col("thread").alias("thread_turn"), "depth")
