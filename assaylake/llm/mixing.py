@@ -233,3 +233,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain
     return out.select(
         "doc_id", "n_tokens", "posterior", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("domain"), "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies")
     )
+
+
+def realise(docs: DataFrame, model: DomainModel, steps: list, *, text: str = "text", pull: float = 0.01, max_rate: float = 1.0, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` whose rate is at least ``least``, with all their columns; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, steps))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, s = shared.value
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch.column(at)):
+                rate = replay(posteriors_of(m, data, offsets)[0], s, pull, max_rate)[0]
+                yield batch.slice(i, j - i).filter(pa.array(rate >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -219,17 +219,18 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     return firsts.select("doc_id", "extent"), written(ranges, "ranges")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100, text: str = "text", key: str = "doc_id", with_kept: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row, and the bytes kept where asked for."""
+def remove_repeats(docs: DataFrame, *, length: int = 100, text: str = "text", key: str = "doc_id", with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row; on demand ``kept``, the bytes that stay, and the columns ``carry``."""
     if length <= GRAM + GROUP:
         raise ValueError(f"length must exceed {GRAM + GROUP}")
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    firsts, ranges = repeated_windows(docs.where("doc_id is not null and text is not null"), length)
+    extra = [docs.schema[c] for c in carry]
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
+    firsts, ranges = repeated_windows(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), length)
     lists = firsts.groupBy("doc_id").agg(F.collect_list("extent").alias("extents"))
     spans = ranges.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    joined = docs.join(lists, "doc_id", "left").join(spans, "doc_id", "left").select("doc_id", "text", "extents", "starts", "stops")
+    joined = docs.join(lists, "doc_id", "left").join(spans, "doc_id", "left").select("doc_id", "text", "extents", "starts", "stops", *docs.columns[2:])
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +257,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, text: str = "text", ke
                 columns = [pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 if with_kept:
                     columns.append(pa.array([k.tobytes() for k in kept], pa.binary()))
+                columns += [batch.column(5 + c)[i:j] for c in range(len(extra))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *columns], names=names)
 
-    return joined.mapInArrow(run, f"`{key}` {key_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept)
+    added = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
+    return joined.mapInArrow(run, f"`{key}` {key_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept + added)

@@ -230,6 +230,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, max_chars:
     return LineModel(emission, transition)
 
 
+def _decide(model: LineModel, data: np.ndarray, offsets: np.ndarray, min_words: int, max_repeat: int, min_share: float) -> tuple:
+    d = measure(data, offsets)
+    content = viterbi(model, d.features, d.line_bounds)
+    share = sums(d.line_chars * content, d.line_bounds) / np.maximum(d.word_chars, 1)
+    failed = (d.n_words < min_words) | (100 * d.n_repeat_words > max_repeat * d.n_words)
+    return d, failed, ~failed & (share >= min_share), content, share
+
+
 def apply(docs: DataFrame, model: LineModel, *, text: str = "text", key: str = "doc_id", min_words: int = 20, max_repeat: int = 30, min_share: float = 0.5) -> DataFrame:
     """Counts, content share and decision for every document; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -240,11 +248,7 @@ def apply(docs: DataFrame, model: LineModel, *, text: str = "text", key: str = "
         m = shared.value
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(1)):
-                d = measure(data, offsets)
-                content = viterbi(m, d.features, d.line_bounds)
-                share = sums(d.line_chars * content, d.line_bounds) / np.maximum(d.word_chars, 1)
-                failed = (d.n_words < min_words) | (100 * d.n_repeat_words > max_repeat * d.n_words)
-                kept = ~failed & (share >= min_share)
+                d, failed, kept, content, share = _decide(m, data, offsets, min_words, max_repeat, min_share)
                 columns = [d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, kept,
                            np.diff(d.line_bounds), sums(content, d.line_bounds), share]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *[pa.array(c) for c in columns]], names=names)
@@ -254,3 +258,16 @@ def apply(docs: DataFrame, model: LineModel, *, text: str = "text", key: str = "
         f"`{key}` {key_type}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
         "base_failed boolean, kept boolean, n_lines bigint, n_content_lines bigint, content_share double",
     )
+
+
+def keep(docs: DataFrame, model: LineModel, *, text: str = "text", min_words: int = 20, max_repeat: int = 30, min_share: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that ``apply`` would keep, with all their columns; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(_decide(shared.value, data, offsets, min_words, max_repeat, min_share)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
