@@ -221,10 +221,11 @@ def near_duplicates(
     nodes = written(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
     pairs = written(hub_pairs(nodes.select("node", "bands")), "pairs")
     wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
-    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    # Sort-merge at every size: texts and sets are dealt by id, nothing that grows with the input is broadcast.
+    texts = docs.join(wanted.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
     sets = written(set_table(texts.dropDuplicates(["doc_id", "text"]), size), "sets")
     star = written(
-        pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
+        pairs.join(sets.hint("merge"), "node").join(sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")).hint("merge"), "hub")
         .groupBy("hub", "node").agg(F.max(linked("items", "hub_items", percent)).alias("linked")),
         "star",
     )
