@@ -289,13 +289,18 @@ def outlier_flag(df: DataFrame, target: str, method: str = "iqr", threshold: flo
 
 
 def outlier_flag_by(df: DataFrame, target: str, by: str, k: float = 1.5) -> DataFrame:
-    """IQR bounds inside each group; the bounds are one row per group."""
+    """IQR bounds inside each group; the bounds are one row per group.
+
+    Null is a group of its own; a row with a null value, or in a group without
+    bounds, is no outlier.
+    """
     q = grouped_quantiles(df, [by], [target], [0.25, 0.75]).select(
-        F.col(by), F.col(target)[0].alias("__q1"), F.col(target)[1].alias("__q3")
+        F.col(by).alias("__by"), F.col(target)[0].alias("__q1"), F.col(target)[1].alias("__q3")
     )
     y, iqr = F.col(target), F.col("__q3") - F.col("__q1")
     flag = (y < F.col("__q1") - k * iqr) | (y > F.col("__q3") + k * iqr)
-    return df.join(q, by).withColumn("is_outlier", flag).drop("__q1", "__q3")
+    joined = df.join(q, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return joined.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("__by", "__q1", "__q3")
 
 
 def box_stats(df: DataFrame, by: str, target: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""k-means, hierarchical clusters over micro-clusters, quality measures and the two-way table."""
+"""k-means, quality measures and the two-way table."""
 
 from __future__ import annotations
 
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from assaylake.functions.columns import complete_rows, first_true, sum_columns
-from assaylake.operators.linkage import MAX_LEAVES, cut, leaf_order, linkage
 from assaylake.operators.pca import PcaModel, project
 from assaylake.operators.profile import group_mode
 from assaylake.operators.split import Sizes, hash_at_ranks, row_hash
+from assaylake.session import materialize
 
 RESTARTS = 10  # fixed value: k-means restarts
 PLAN_LITERALS = 512  # centre values up to which the centres are written into the plan
@@ -112,36 +112,6 @@ def labelled(df: DataFrame, label: Column, id_cols: Sequence[str], out: str = "c
     return df.withColumn(out, label).select(*id_cols, *rest, out)
 
 
-def hierarchical(
-    df: DataFrame, features: Sequence[str], k: int, method: str = "ward", micro: int = MAX_LEAVES, seed: int = 42
-) -> tuple[KMeansResult, list[int]]:
-    """Micro-cluster centres and the final cluster of each.
-
-    Up to ``micro`` distinct points are merged exactly; beyond that k-means
-    micro-clusters, weighted by their size, stand for the rows.
-    """
-    features = list(features)
-    data = complete_rows(df.select(*[F.col(c).cast("double").alias(c) for c in features]))
-    counted = data.groupBy(*features).agg(F.count(F.lit(1)).alias("n"))
-    head = counted.limit(micro + 1).collect()
-    if len(head) <= micro:
-        rows = sorted(head, key=lambda r: tuple(r[c] for c in features))
-        centers = np.array([[r[c] for c in features] for r in rows])
-        sizes = np.array([r["n"] for r in rows], float)
-    else:
-        base = kmeans(data, features, micro, restarts=1, seed=seed, max_iter=20)
-        got = data.groupBy(base.assign().alias("c")).agg(*[F.avg(c).alias(c) for c in features], F.count(F.lit(1)).alias("n")).orderBy("c").collect()
-        centers = np.array([[r[c] for c in features] for r in got])
-        sizes = np.array([r["n"] for r in got], float)
-    z = linkage(centers, method, sizes)
-    labels = cut(z, len(centers), k)
-    return KMeansResult(features, centers, math.nan), [int(v) for v in labels]
-
-
-def hierarchical_label(result: KMeansResult, labels: Sequence[int]) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in labels]), result.assign())
-
-
 def calinski_harabasz(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Between over within dispersion, from per-cluster means and variances."""
     features = list(features)
@@ -191,37 +161,32 @@ def pca_view(df: DataFrame, result: KMeansResult, model: PcaModel, keep: Sequenc
 # ------------------------------------------------------------------ two-way table
 
 
-def two_way_table(
-    df: DataFrame, by: str, variables: Sequence[str], row_linkage: str = "ward", col_linkage: str = "ward"
-) -> DataFrame:
-    """Group means, z-scores over groups, zero flags, and row and column order by merging.
+def two_way_table(df: DataFrame, by: str, variables: Sequence[str]) -> DataFrame:
+    """Group means, z-scores over groups and zero flags, one row per group and variable.
 
-    Rows with a null are left out, variables with only zero means dropped. The
-    aggregation is distributed; the group x variable matrix is bounded.
+    Rows with a null are left out, variables with only zero means dropped. Only
+    one row of statistics per variable reaches the driver; groups may be many.
     """
     variables = list(variables)
-    means = complete_rows(df.select(by, *variables)).groupBy(F.col(by).cast("string").alias("group")).agg(*[F.avg(c).alias(c) for c in variables])
-    rows = means.orderBy("group").limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} groups")
-    if len(rows) < 2:
+    group = F.col(by).cast("string").alias("group")
+    means = materialize(complete_rows(df.select(by, *variables)).groupBy(group).agg(*[F.avg(c).alias(c) for c in variables]), "means")
+    stats = means.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(c).alias(f"{name}_{i}") for i, c in enumerate(variables) for name, f in (("mean", F.avg), ("sd", F.stddev_pop), ("top", lambda c: F.max(F.abs(c))))],
+    ).first()
+    if stats["n"] < 2:
         raise ValueError("at least two groups are needed")
-    m = np.array([[r[c] for c in variables] for r in rows])
-    used = [j for j in range(len(variables)) if not (np.abs(m[:, j]) <= ZERO).all()]
+    used = [i for i in range(len(variables)) if stats[f"top_{i}"] > ZERO]
     if len(used) < 2:
         raise ValueError("at least two variables that are not all zero are needed")
-    m, names = m[:, used], [variables[j] for j in used]
-    sd = m.std(axis=0)
-    z = (m - m.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
-    row_at = {i: pos for pos, i in enumerate(leaf_order(linkage(z, row_linkage), len(rows)))}
-    col_at = {j: pos for pos, j in enumerate(leaf_order(linkage(z.T, col_linkage), len(names)))}
-    out = [
-        (rows[i]["group"], c, float(m[i, j]), float(z[i, j]), bool(m[i, j] == 0.0), row_at[i], col_at[j])
-        for i in range(len(rows)) for j, c in enumerate(names)
+    entries = [
+        F.struct(
+            F.lit(variables[i]).alias("variable"), F.col(variables[i]).alias("mean"),
+            ((F.col(variables[i]) - F.lit(stats[f"mean_{i}"])) / F.lit(stats[f"sd_{i}"] or 1.0)).alias("z"), (F.col(variables[i]) == 0.0).alias("is_zero"),
+        )
+        for i in used
     ]
-    return df.sparkSession.createDataFrame(
-        out, "group string, variable string, mean double, z double, is_zero boolean, row_pos int, col_pos int"
-    )
+    return means.select("group", F.explode(F.array(*entries)).alias("e")).select("group", "e.*")
 
 
 def endpoint_strip(df: DataFrame, by: str, endpoint: str, numeric: bool) -> DataFrame:
@@ -233,11 +198,6 @@ def dominant_category(df: DataFrame, by: str, category: str) -> DataFrame:
     return group_mode(df, by, category, "category")
 
 
-def linkage_frame(spark: SparkSession, z: np.ndarray) -> DataFrame:
-    rows = [(i, int(a), int(b), float(d), int(n)) for i, (a, b, d, n) in enumerate(z)]
-    return spark.createDataFrame(rows, "step int, left int, right int, distance double, size long")
-
-
 def ranked_labels(label: Column, order: Sequence[int]) -> Column:
     """Renumber clusters in the given order."""
     return first_true([(label == F.lit(c), F.lit(i)) for i, c in enumerate(order)], F.lit(-1))

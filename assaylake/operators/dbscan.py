@@ -57,12 +57,17 @@ def _dist2(a: str, b: str, d: int) -> Column:
 
 
 def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float, min_samples: int = 5, out: str = "cluster") -> DataFrame:
-    """Add the cluster number (-1 for noise), numbered by the first core row, and ``is_core``."""
+    """Add the cluster number (-1 for noise), numbered by the first core row, and ``is_core``.
+
+    Rows with a null or NaN feature are noise and nobody's neighbours.
+    """
     d, eps2 = len(features), eps * eps
     side, coarse = eps / math.sqrt(d) * (1 - 1e-12), math.ceil(math.sqrt(d))
     m = min(d, 3)
     xs = [f"x{j}" for j in range(d)]
     raw = df.select(F.col(key).alias("row"), *[(F.col(c).cast("double") + 0.0).alias(x) for c, x in zip(features, xs)])
+    for x in xs:
+        raw = raw.where(F.col(x).isNotNull() & ~F.isnan(x))
     points = raw.groupBy(*xs).agg(F.count(F.lit(1)).alias("w"), F.min("row").alias("pid"))
     idx = [F.floor(F.col(x) / F.lit(side)).cast("long") for x in xs]
     points = points.withColumn("cell", F.concat_ws("_", *[i.cast("string") for i in idx])).withColumns(
@@ -114,7 +119,7 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float, min_sam
     joined = raw.join(per_point, xs).select(
         F.col("row").alias(key), F.coalesce(out, F.lit(-1)).alias(out), F.coalesce("is_core", F.lit(False)).alias("is_core")
     )
-    return df.join(joined, key)
+    return df.join(joined, key, "left").withColumns({out: F.coalesce(out, F.lit(-1)), "is_core": F.coalesce("is_core", F.lit(False))})
 
 
 def core_edges(core: DataFrame, pairs: DataFrame, side: float, d: int, eps2: float) -> DataFrame:

@@ -1,163 +1,54 @@
-"""Genetic search for a feature subset of a linear model.
+"""Report of candidate feature subsets of a linear model.
 
-The data is read once, into one Gram per fold. A subset is then judged by small
-solves on sub-matrices, so the search itself reads no rows. Restarts are
-independent and run as parallel tasks.
+The subsets are given, as a table. The data is read once, into one Gram per
+split and one per fold; every subset is judged by small solves on sub-matrices,
+and all reported subsets share one scoring pass.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.operators.gram import Gram, gram_by
+from assaylake.operators.gram import gram_by
 from assaylake.operators.regress import RESIDUAL_LIMIT, LinearModel, cross_validate, holdout_sse, solve_ols
 
-SIZE_PENALTY = 0.1  # fixed value: per feature away from the wanted number
-MARGIN = 10  # fixed value: candidates examined per reported model
-
 
 @dataclass
-class SearchOptions:
-    """Defaults are the fixed values of the search."""
+class ReportOptions:
+    """Defaults are the fixed values of the report; ``best`` None reports all candidates."""
 
-    n_variables: int | None = None
-    correlation_limit: float = 0.95
-    mutation_rate: float = 0.1
-    random_share: float = 0.1
-    population: int = 50
-    generations: int = 100
-    restarts: int = 3
-    tournament: int = 3
-    patience: int = 20
-    min_gain: float = 1e-4
-    best: int = 5
+    best: int | None = 5
     min_r2: float = 0.68
     min_q2: float = 0.68
     ad_threshold: float | None = None
-    seed: int = 42
-
-
-@dataclass
-class Fitness:
-    """Cross-validated R2 of a subset; cached by subset."""
-
-    folds: dict[object, Gram]
-    target: str
-    names: list[str]
-    options: SearchOptions
-    seen: dict[tuple[int, ...], float] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        total = None
-        for g in self.folds.values():
-            total = g if total is None else total + g
-        r = np.abs(np.nan_to_num(total.select(self.names).correlation(), nan=0.0))
-        self.too_close = np.triu(r, 1) > self.options.correlation_limit
-
-    def __call__(self, subset: tuple[int, ...]) -> float:
-        if subset not in self.seen:
-            self.seen[subset] = self._score(subset)
-        return self.seen[subset]
-
-    def _score(self, subset: tuple[int, ...]) -> float:
-        want = self.options.n_variables
-        if not subset:
-            return -math.inf
-        if want is not None and len(subset) != want:
-            return -abs(len(subset) - want) * SIZE_PENALTY
-        if self.too_close[np.ix_(subset, subset)].any():
-            return -math.inf
-        value = cross_validate(self.folds, self.target, [self.names[i] for i in subset])["r2cv"]
-        return value if np.isfinite(value) else -math.inf
-
-
-def evolve(fitness: Fitness, rng: np.random.Generator) -> dict[tuple[int, ...], float]:
-    """One restart: tournament selection, uniform crossover, bit mutation, one elite."""
-    o, p = fitness.options, len(fitness.names)
-
-    def repair(mask: np.ndarray) -> np.ndarray:
-        if not mask.any():
-            mask[rng.integers(p)] = True
-        if o.n_variables is not None and mask.sum() != o.n_variables:
-            more = mask.sum() < o.n_variables
-            pool = np.flatnonzero(~mask if more else mask)
-            mask[rng.choice(pool, abs(int(mask.sum()) - o.n_variables), replace=False)] = more
-        return mask
-
-    wild = int(o.population * o.random_share)
-    people = [repair(rng.random(p) > (0.7 if i < wild else 0.5)) for i in range(o.population)]
-    kept: dict[tuple[int, ...], float] = {}
-    best, stale = -math.inf, 0
-    for _ in range(o.generations):
-        subsets = [tuple(np.flatnonzero(m)) for m in people]
-        scores = np.array([fitness(s) for s in subsets])
-        for s, v in zip(subsets, scores):
-            if np.isfinite(v) and (o.n_variables is None or len(s) == o.n_variables):
-                kept[s] = float(v)
-        top = float(scores.max())
-        best, stale = (top, 0) if top > best + o.min_gain else (best, stale + 1)
-        if o.patience and stale >= o.patience:
-            break
-
-        def parent() -> np.ndarray:
-            entry = rng.choice(o.population, o.tournament, replace=False)
-            return people[entry[int(np.argmax(scores[entry]))]]
-
-        children = [people[int(np.argmax(scores))].copy()]
-        while len(children) < o.population:
-            a, b, pick = parent(), parent(), rng.random(p) > 0.5
-            for child in (np.where(pick, a, b), np.where(pick, b, a)):
-                children.append(repair(child ^ (rng.random(p) < o.mutation_rate)))
-        people = children[: o.population]
-    return kept
-
-
-def search_subsets(train: DataFrame, target: str, features: Sequence[str], fold: str, options: SearchOptions | None = None) -> DataFrame:
-    """Subsets found, with their cross-validated R2, best first."""
-    o, names = options or SearchOptions(), list(features)
-    folds = gram_by(train, [*names, target], fold)
-    spark = train.sparkSession
-    limit = o.best * MARGIN
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for restart in pdf["restart"]:
-                found = evolve(Fitness(folds, target, names, o), np.random.default_rng([o.seed, int(restart)]))
-                best = sorted(found.items(), key=lambda kv: (-kv[1], kv[0]))[:limit]
-                yield pd.DataFrame({"features": [[names[i] for i in s] for s, _ in best], "r2cv": [v for _, v in best]})
-
-    starts = spark.range(o.restarts).select(F.col("id").alias("restart")).repartition(o.restarts)
-    rows = starts.mapInPandas(run, "features array<string>, r2cv double")
-    return rows.groupBy("features").agg(F.max("r2cv").alias("r2cv")).orderBy(F.desc("r2cv"), "features").limit(limit)
 
 
 def candidate_report(
-    data: DataFrame, target: str, features: Sequence[str], candidates: DataFrame, split: str = "split", options: SearchOptions | None = None
+    data: DataFrame, target: str, features: Sequence[str], candidates: DataFrame, split: str = "split", fold: str = "fold", options: ReportOptions | None = None
 ) -> DataFrame:
     """Finalists: split R2 and Q2, training R2, R2loo, RMSE, domain coverage, coefficients, rank.
 
-    Candidates come from the train and test Grams of one pass; the finalists
-    share one scoring pass over the training rows.
+    ``candidates`` has a column ``features`` (array of names); it is a table of
+    models to compare, read by the driver.
     """
-    o = options or SearchOptions()
+    o = options or ReportOptions()
     grams = gram_by(data, [*features, target], split)
     train, test = grams["train"], grams.get("test")
+    folds = gram_by(data.where(F.col(split) == "train"), [*features, target], fold)
     ranked: list[tuple[LinearModel, float, float, float]] = []
-    for row in candidates.limit(o.best * MARGIN).collect():
+    for row in candidates.select("features").distinct().collect():
         m = solve_ols(train, target, row["features"])
         q2 = m.r2
         if test is not None and test.n:
             sse, tss = holdout_sse(test, m)
             around = tss + test.n * (test.select([target]).mean[0] - m.mean_y) ** 2
             q2 = float(1.0 - sse / around) if around > 0 else m.r2
-        ranked.append((m, row["r2cv"], float(m.r2), float(q2)))
+        ranked.append((m, cross_validate(folds, target, row["features"])["r2cv"], float(m.r2), float(q2)))
     ranked.sort(key=lambda t: (-t[3], -t[2], -t[1]))
     good = []
     for item in ranked:
@@ -186,7 +77,7 @@ def candidate_report(
             continue
         text = f"{m.const:.6f} " + " ".join(f"{'+' if b >= 0 else '-'} {abs(b):.6f}*{c}" for c, b in zip(m.features, m.coef))
         out.append([m.features, len(m.features), cv, r2, q2, 1.0 - row[f"press{i}"] / m.tss, math.sqrt(m.sse / m.n), float(cover), float(m.const), [float(b) for b in m.coef], text])
-        if len(out) == o.best:
+        if o.best is not None and len(out) == o.best:
             break
     out.sort(key=lambda r: -r[2])
     return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(out)], schema)

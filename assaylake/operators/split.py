@@ -9,18 +9,17 @@ rows, the same result on any cluster, and the same result in plain SQL.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.operators.gram import gram
 from assaylake.operators.ordered import with_global_index
 from assaylake.operators.quantiles import _select, exact_quantiles
 
 PREFIX = 3  # hex digits counted per pass: 4096 counters per stratum
+HASH_DIGITS = 32
 LEAVES = 4096  # hashes brought to the driver to end a search
 
 
@@ -38,6 +37,7 @@ def hash_at_ranks(
 
     ``ranks`` names the (stratum, rank) pairs once the stratum sizes are known;
     they come from the first counting pass, so no separate count is needed.
+    Raises if rows of one hash lie on both sides of a cut: the key is not unique.
     """
     data = df.select(h.alias("h"), (by if by is not None else F.lit(None).cast("int")).alias("g"))
     tag = lambda depth: F.concat_ws("|", F.col("g").cast("string"), F.substring("h", 1, depth))
@@ -64,6 +64,11 @@ def hash_at_ranks(
                     state[w] = (q, k)
                     if n <= LEAVES:
                         leaves[w] = (q, k)
+                    elif depth >= HASH_DIGITS:  # more equal hashes than leaves
+                        if k < n - 1:
+                            raise ValueError("the key of a split must be unique: equal keys lie on both sides of the cut")
+                        found[w] = q
+                        del state[w]
                     break
                 k -= n
         if leaves:
@@ -72,7 +77,10 @@ def hash_at_ranks(
             for r in rows:
                 groups.setdefault((r["g"], r["h"][:depth]), []).append(r["h"])
             for w, (q, k) in leaves.items():
-                found[w] = sorted(groups[(w[0], q)])[k]
+                hashes = sorted(groups[(w[0], q)])
+                if k + 1 < len(hashes) and hashes[k + 1] == hashes[k]:
+                    raise ValueError("the key of a split must be unique: equal keys lie on both sides of the cut")
+                found[w] = hashes[k]
                 del state[w]
     return found
 
@@ -216,150 +224,3 @@ def predefined_split(df: DataFrame, members: DataFrame, key: Sequence[str], out:
     """Rows listed in ``members`` are training rows, all others test rows."""
     listed = members.select(*key).distinct().withColumn("__in", F.lit(True))
     return df.join(listed, list(key), "left").withColumn(out, F.when(F.col("__in"), "train").otherwise("test")).drop("__in")
-
-
-# ------------------------------------------------ distance-based designs, in bounded cells
-
-
-def with_cells(df: DataFrame, features: Sequence[str], key: Sequence[str], cell_rows: int) -> DataFrame:
-    """Cut the data along its first principal axis into cells of at most ``cell_rows`` rows.
-
-    The size bound holds for any distribution, because cells are consecutive
-    ranks, not regions. Adds ``__cell`` and ``__first`` (rank of the cell start).
-    """
-    g = gram(df, features)
-    w = np.linalg.eigh(g.cross)[1][:, -1]
-    w = w * (np.sign(w[np.argmax(np.abs(w))]) or 1.0)
-    axis = sum((F.col(c).cast("double") * F.lit(float(v)) for c, v in zip(features, w)), F.lit(0.0))
-    indexed = with_global_index(df.withColumn("__axis", axis), ["__axis", *key], "__pos")
-    return indexed.withColumn("__cell", F.floor(F.col("__pos") / F.lit(cell_rows)).cast("long")).drop("__axis")
-
-
-def kennard_stone(x: np.ndarray, n_train: int) -> np.ndarray:
-    """Mask of ``n_train`` rows: the farthest pair, then always the row farthest from the chosen ones."""
-    n = len(x)
-    mask = np.zeros(n, dtype=bool)
-    sq = (x * x).sum(axis=1)
-    d = np.maximum(sq[:, None] + sq[None, :] - 2.0 * x @ x.T, 0.0)
-    i, j = np.unravel_index(int(np.argmax(d)), d.shape)
-    mask[[i, j]] = True
-    nearest = np.minimum(d[i], d[j])
-    while mask.sum() < n_train:
-        k = int(np.argmax(np.where(mask, -1.0, nearest)))
-        mask[k] = True
-        nearest = np.minimum(nearest, d[k])
-    return mask
-
-
-def kennard_stone_split(
-    df: DataFrame, features: Sequence[str], key: Sequence[str], test_size: float = 0.2, cell_rows: int = 1000, out: str = "split"
-) -> DataFrame:
-    """Kennard-Stone inside cells; exact when all rows fit into one cell."""
-    features, key = list(features), list(key)
-    cells = with_cells(df, features, key, cell_rows).select(*key, "__pos", "__cell", *features)
-    share = 1.0 - test_size
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        n, first = len(pdf), int(pdf["__pos"].min())
-        quota = int((first + n) * share + 1e-9) - int(first * share + 1e-9)
-        n_train = n if n < 3 else max(2, min(quota, n - 1))
-        mask = np.ones(n, dtype=bool) if n < 3 else kennard_stone(pdf[features].to_numpy(float), n_train)
-        return pdf[key].assign(**{out: np.where(mask, "train", "test")})
-
-    return _join_split(df, cells, pick, key, out)
-
-
-def onion_split(
-    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], test_size: float = 0.2, layers: int = 3,
-    loop_fraction: float = 0.1, mahalanobis: bool = False, seed: int = 42, cell_rows: int = 1000, out: str = "split",
-) -> DataFrame:
-    """Layers taken alternately for train and test from the outside of the (X, y) cloud, inside cells.
-
-    The rest of each cell is dealt out by row hash. With ``mahalanobis`` the
-    features are whitened by the covariance of all rows.
-    """
-    features, key = list(features), list(key)
-    whiten = np.eye(len(features))
-    centre = np.zeros(len(features))
-    if mahalanobis:
-        g = gram(df, features)
-        values, vectors = np.linalg.eigh(g.covariance())
-        whiten = vectors @ np.diag(1.0 / np.sqrt(np.maximum(values, 1e-12))) @ vectors.T
-        centre = g.mean
-    cells = with_cells(df, features, key, cell_rows).select(*key, "__cell", row_hash(key, seed).alias("__h"), target, *features)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = (pdf[features].to_numpy(float) - centre) @ whiten
-        train = onion_mask(x, pdf[target].to_numpy(float), pdf["__h"].to_numpy(), test_size, layers, loop_fraction)
-        return pdf[key].assign(**{out: np.where(train, "train", "test")})
-
-    return _join_split(df, cells, pick, key, out)
-
-
-def _join_split(df: DataFrame, cells: DataFrame, pick, key: list[str], out: str) -> DataFrame:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in key) + f", {out} string"
-    return df.join(cells.groupBy("__cell").applyInPandas(pick, schema), key)
-
-
-def onion_mask(
-    x: np.ndarray, y: np.ndarray, tie_break: np.ndarray, test_size: float, layers: int, loop_fraction: float
-) -> np.ndarray:
-    share = 1.0 - test_size
-    left = np.arange(len(x))
-    train = np.zeros(len(x), dtype=bool)
-    for _ in range(layers):
-        quota = int(round(loop_fraction * len(left) * share)), int(round(loop_fraction * len(left) * (1.0 - share)))
-        for want, is_train in zip(quota, (True, False)):
-            if want and len(left):
-                chosen = _outer_rows(x[left], y[left], min(want, len(left)))
-                train[left[chosen]] = is_train
-                left = np.delete(left, chosen)
-    rest = left[np.argsort(tie_break[left], kind="stable")]
-    train[rest[: math.ceil(len(rest) * share - 1e-9)]] = True
-    return train
-
-
-def _scaled_sum(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-    return dx / (dx.max() or 1.0) + dy / (dy.max() or 1.0)
-
-
-def _outer_rows(x: np.ndarray, y: np.ndarray, want: int) -> list[int]:
-    """``want`` outer rows: first by norm with orthogonalisation, then by summed distance to the chosen ones."""
-    x, y = x - x.mean(axis=0), y - y.mean()
-    p = x.shape[1]
-    chosen = list(_orthogonal_rows(x, y, min(want, p)))
-    if want <= p:
-        return chosen
-    dx, dy = np.zeros(len(x)), np.zeros(len(x))
-    for m, k in enumerate(chosen):
-        dx += np.sqrt(((x - x[k]) ** 2).sum(axis=1))
-        dy += np.abs(y - y[k])
-        dx[chosen[: m + 1]] = dy[chosen[: m + 1]] = 0.0
-    while True:
-        k = int(np.argmax(_scaled_sum(dx, dy)))
-        chosen.append(k)
-        dx[k] = dy[k] = 0.0
-        if len(chosen) == want:
-            return chosen
-        dx += np.sqrt(((x - x[k]) ** 2).sum(axis=1))
-        dy += np.abs(y - y[k])
-        dx[chosen] = dy[chosen] = 0.0
-
-
-def _orthogonal_rows(x: np.ndarray, y: np.ndarray, want: int) -> Iterator[int]:
-    xw, yw = x.copy(), y.copy()
-    alive = np.ones(len(x), dtype=bool)
-    for _ in range(want):
-        dx, dy = (xw * xw).sum(axis=1), yw * yw
-        dx, dy = np.where(alive, dx, 0.0), np.where(alive, dy, 0.0)
-        k = int(np.argmax(np.where(alive, _scaled_sum(dx, dy), -1.0)))
-        alive[k] = False
-        yield k
-        row, shift = xw[k].copy(), yw[k]
-        norm = float(row @ row)
-        if norm > 0:
-            xw -= np.outer(xw @ row / norm, row)
-        yw = yw - shift

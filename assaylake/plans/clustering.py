@@ -104,13 +104,6 @@ def _(spark, sf):
     return k_distance(part_points(spark, sf), ["s", "r"], "p_partkey", 5).withColumn("k_distance", rnd("k_distance", 9))
 
 
-@query("clu_05_hierarchical")
-def _(spark, sf):
-    ev = events_vk(spark, sf)
-    result, labels = K.hierarchical(ev, ["v", "k"], 5, "ward", micro=500)
-    return K.labelled(ev.select("event_id", "v", "k"), K.hierarchical_label(result, labels), ["event_id"])
-
-
 @query(
     "clu_06_calinski_harabasz",
     f"""WITH {STEPS}, m AS (SELECT avg(v) AS mv, avg(k) AS mk, count(*) AS n FROM s2),
@@ -188,13 +181,6 @@ def _(spark, sf):
     return t.select("group", "variable", rnd("mean", 6).alias("mean"), rnd("z", 6).alias("z"), "is_zero")
 
 
-@query("clu_11_two_way_order")
-def _(spark, sf):
-    ev = table(spark, sf, "events")
-    wide = ev.select("event_type", *[F.when(F.pmod("event_id", F.lit(6)) == i, F.col("value")).otherwise(0.0).alias(f"c{i}") for i in range(6)])
-    return K.two_way_table(wide, "event_type", [f"c{i}" for i in range(6)], "average", "complete")
-
-
 @query("clu_12_endpoint_strip", f"SELECT p_brand, {R('avg(p_retailprice)', 6)} AS endpoint FROM part GROUP BY 1")
 def _(spark, sf):
     return K.endpoint_strip(table(spark, sf, "part"), "p_brand", "p_retailprice", True).withColumn("endpoint", rnd("endpoint", 6))

@@ -76,14 +76,21 @@ def _(spark, sf):
     return RD.flatten(_nested(spark, sf))
 
 
-@query("src_05_encoding_fallback", "SELECT doc_id, source, left(regexp_replace(text, '[^a-zA-Zçèéêàôûîïüäöß ]', '', 'g'), 40) AS start FROM documents WHERE lang = 'fr'")
+@query("src_01_csv_quoted", "SELECT doc_id, 'x,\"' || text || '\"' AS text FROM documents")
 def _(spark, sf):
+    """Whole texts with line breaks, commas and doubled quotes, through a file and back."""
+    path = new_path(spark, "csv")
+    SK.write_csv(table(spark, sf, "documents").select("doc_id", F.concat(F.lit('x,"'), "text", F.lit('"')).alias("text")), path)
+    return RD.read_csv(spark, path, "doc_id long, text string")
+
+
+@query("src_05_encoding_fallback", "SELECT doc_id, source, regexp_replace(text, '[^\\x0A\\x20-\\x7E\\x{A0}-\\x{FF}]', '', 'g') AS text FROM documents")
+def _(spark, sf):
+    """Whole texts of all languages in Latin-1; most lines are plain ASCII."""
     path = new_path(spark, "latin1")
-    d = table(spark, sf, "documents").where("lang = 'fr'")
-    start = F.substring(F.regexp_replace("text", "[^a-zA-Zçèéêàôûîïüäöß ]", ""), 1, 40)
-    d.select("doc_id", "source", start.alias("start")).write.option("header", True).option("encoding", "ISO-8859-1").option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return RD.read_csv_probed(spark, path, "doc_id long, source string, start string")
+    text = F.regexp_replace("text", "[^\\x0A\\x20-\\x7E\\xA0-\\xFF]", "").alias("text")
+    SK.write_csv(table(spark, sf, "documents").select("doc_id", "source", text), path, encoding="ISO-8859-1")
+    return RD.read_csv_probed(spark, path, "doc_id long, source string, text string")
 
 
 @query("src_06_separator_fallback", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -130,30 +137,39 @@ def _(spark, sf):
     return SK.split_export(P.random_split(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"], 0.3))
 
 
-# ------------------------------------------------------------------ subset search
+# ------------------------------------------------------------------ candidate subsets
 
 
-def _search_data(spark, sf):
-    """A target made of four vector elements and the label, with noise from the rest."""
+def _candidate_data(spark, sf):
+    """A target made of four vector elements, with noise from another."""
     e = embedding_columns(spark, sf)
     y = 3 * F.col("e01") - 2 * F.col("e07") + F.col("e12") + 0.5 * F.col("e33") + 0.1 * F.col("e50")
     s = P.random_split(e.withColumn("y", y), ["vec_id"], 0.2)
     return P.kfold(s, ["vec_id"], 5)
 
 
-OPTIONS = SE.SearchOptions(n_variables=4, population=40, generations=40, restarts=3, min_r2=0.5, min_q2=0.5)
-
-
-@query("reg_11_subset_search")
-def _(spark, sf):
-    return SE.search_subsets(_search_data(spark, sf).where("split = 'train'"), "y", EMB, "fold", OPTIONS)
+PAIRS = [("e01", "e07"), ("e01", "e12"), ("e07", "e12"), ("e01", "e33"), ("e12", "e50")]
+PAIR_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS f1, '{b}' AS f2, embedding[{int(a[1:]) + 1}]::DOUBLE AS u, embedding[{int(b[1:]) + 1}]::DOUBLE AS v, y, test FROM d" for a, b in PAIRS
+)
 
 
-@query("reg_12_candidate_report")
+@query(
+    "reg_12_candidate_report",
+    f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || vec_id)) AS rn, count(*) OVER () AS n FROM embeddings),
+        d AS (SELECT embedding, rn <= ceil(n * 0.2 - 1e-9) AS test, 3 * embedding[2]::DOUBLE - 2 * embedding[8]::DOUBLE + embedding[13]::DOUBLE + 0.5 * embedding[34]::DOUBLE + 0.1 * embedding[51]::DOUBLE AS y FROM e),
+        p AS ({PAIR_SQL}),
+        m AS (SELECT f1, f2, avg(u) AS mu, avg(v) AS mv, avg(y) AS my, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM p WHERE NOT test GROUP BY 1, 2),
+        b AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS bu, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS bv FROM m),
+        r AS (SELECT p.f1, p.f2, test, y - (my + bu * (u - mu) + bv * (v - mv)) AS res, y - my AS dev FROM p JOIN b ON p.f1 = b.f1 AND p.f2 = b.f2)
+        SELECT f1, f2, {R('1 - sum(res * res) FILTER (NOT test) / sum(dev * dev) FILTER (NOT test)', 6)} AS r2, {R('1 - sum(res * res) FILTER (test) / sum(dev * dev) FILTER (test)', 6)} AS q2 FROM r GROUP BY 1, 2""",
+)
 def _(spark, sf):
-    data = _search_data(spark, sf)
-    found = SE.search_subsets(data.where("split = 'train'"), "y", EMB, "fold", OPTIONS)
-    return SE.candidate_report(data, "y", EMB, found, options=OPTIONS)
+    """Split R2 and external Q2 of given two-feature models."""
+    options = SE.ReportOptions(best=None, min_r2=-1.0, min_q2=-1.0)
+    given = spark.createDataFrame([([a, b],) for a, b in PAIRS], "features array<string>")
+    report = SE.candidate_report(_candidate_data(spark, sf), "y", EMB, given, options=options)
+    return report.select(F.col("features")[0].alias("f1"), F.col("features")[1].alias("f2"), rnd("r2", 6).alias("r2"), rnd("q2", 6).alias("q2"))
 
 
 @query(

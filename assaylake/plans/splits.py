@@ -108,20 +108,6 @@ def _(spark, sf):
     return P.sorted_folds(orders(spark, sf), "o_totalprice", OKEY, 5).select("o_orderkey", "fold")
 
 
-@query("spl_10_kennard_stone")
-def _(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("size"), (F.col("p_retailprice") / 2000.0).alias("price"))
-    return P.kennard_stone_split(part, ["size", "price"], ["p_partkey"], 0.2)
-
-
-@query("spl_11_onion")
-def _(spark, sf):
-    ev = table(spark, sf, "events").select(
-        "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("hours"), F.get_json_object("props", "$.k").cast("double").alias("k"), "value"
-    )
-    return P.onion_split(ev, ["hours", "k"], "value", ["event_id"], 0.2, mahalanobis=True)
-
-
 # ------------------------------------------------------------------ set operations
 
 

@@ -31,8 +31,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a fresh local folder
-    is made, once per application.
+    Only where the setting is absent and the master is local (tests, one
+    machine) a fresh local folder is made, once per application. On a cluster
+    executors could not see each other's files there, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -40,6 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="assaylake-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

@@ -13,14 +13,18 @@ from assaylake.functions.text import coerce_numeric_text
 from assaylake.operators.clean import tokens_to_null
 
 ENCODINGS = ("utf-8", "latin1", "cp1252", "iso-8859-1")  # fixed values, tried in this order
-PROBE_BYTES = 1 << 16
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, sep: str = ",", encoding: str = "UTF-8"
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True
 ) -> DataFrame:
-    """Delimited text with a header. Give a schema where one is known: inference reads the data twice."""
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", False)
+    """Delimited text with a header; quoted fields may hold separators, line breaks and doubled quotes.
+
+    Give a schema where one is known: inference reads the data twice. Files that
+    have no quoted line break can be read with ``multi_line=False``, which lets
+    Spark split them.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return tokens_to_null(reader.csv(path))
 
@@ -50,31 +54,13 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*walk(df.schema.fields, "", None))
 
 
-def _head_bytes(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a file, read through the file system Spark uses."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.getFileStatus(hpath).isDirectory():
-        files = [s.getPath() for s in fs.listStatus(hpath) if not s.getPath().getName().startswith(("_", "."))]
-        hpath = sorted(files, key=lambda p: p.getName())[0]
-    stream = fs.open(hpath)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, PROBE_BYTES)))
-    finally:
-        stream.close()
-
-
-def probe_encoding(head: bytes) -> str:
-    """First encoding that decodes the sample; a character cut at the sample's end is no error."""
-    for name in ENCODINGS:
-        for cut in range(4):
-            try:
-                head[: len(head) - cut].decode(name)
-                return name
-            except UnicodeDecodeError:
-                continue
-    return ENCODINGS[-1]
+def probe_encoding(spark: SparkSession, path: str | list[str]) -> str:
+    """First of ``ENCODINGS`` that decodes every line of the input; one pass over all bytes.
+
+    The second one, Latin-1, decodes any bytes, so only UTF-8 has to be tested.
+    """
+    valid = spark.read.text(path).agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("ok")).first()["ok"]
+    return ENCODINGS[0] if valid is None or valid else ENCODINGS[1]
 
 
 def probe_separator(header: str) -> str:
@@ -83,11 +69,11 @@ def probe_separator(header: str) -> str:
 
 
 def read_csv_probed(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV whose encoding and separator are chosen from a bounded sample, then read once."""
-    head = _head_bytes(spark, path)
-    encoding = probe_encoding(head)
-    header = head.decode(encoding, errors="ignore").splitlines()[0] if head else ""
-    spark_name = {"utf-8": "UTF-8", "latin1": "ISO-8859-1", "cp1252": "windows-1252", "iso-8859-1": "ISO-8859-1"}[encoding]
+    """CSV whose encoding is chosen from all lines, and whose separator from the header."""
+    encoding = probe_encoding(spark, path)
+    head = spark.read.text(path).select(F.encode(F.make_valid_utf8("value"), "UTF-8").alias("v")).first()
+    header = bytes(head["v"]).decode(errors="replace") if head is not None and head["v"] is not None else ""
+    spark_name = {"utf-8": "UTF-8", "latin1": "ISO-8859-1"}[encoding]
     return read_csv(spark, path, schema, sep=probe_separator(header), encoding=spark_name)
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from assaylake.session import new_path
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """A folder of CSV parts with a header and no index column."""
-    df.write.option("header", True).option("sep", sep).csv(path)
+def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """A folder of CSV parts with a header and no index column; quotes inside fields are doubled, blanks are kept."""
+    writer = df.write.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_stage(df: DataFrame, label: str) -> str:

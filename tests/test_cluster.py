@@ -55,16 +55,6 @@ def test_nearest_over_many_blocks(spark):
     assert np.allclose(kd["k_distance"], np.sort(d, axis=1)[:, 4])
 
 
-def test_hierarchical_exact_and_micro(spark):
-    rng = np.random.default_rng(9)
-    x = np.vstack([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (3, 0), (0, 3))])
-    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=range(120), truth=np.repeat([0, 1, 2], 40)))
-    for micro in (200, 30):
-        r, labels = K.hierarchical(df, ["a", "b"], 3, "ward", micro=micro)
-        t = df.withColumn("cluster", K.hierarchical_label(r, labels)).groupBy("truth", "cluster").count().collect()
-        assert len(t) == 3
-
-
 def test_kmeans_assignment_paths_agree(spark, monkeypatch):
     rng = np.random.default_rng(10)
     pdf = pd.DataFrame(rng.normal(size=(200, 2)), columns=["a", "b"])
@@ -89,3 +79,9 @@ def test_report_matches_hand_counts(spark):
     r = CL.report(df, "y").toPandas().set_index("class")
     assert r.loc["0", "precision"] == 5 / 8 and r.loc["0", "recall"] == 5 / 6 and r.loc["2", "f1"] == 0.0
     assert abs(r.loc["accuracy", "f1"] - 8 / 12) < 1e-12 and r.loc["macro avg", "support"] == 12
+
+
+def test_dbscan_keeps_rows_with_nulls_as_noise(spark):
+    rows = [(i, 0.1 * (i % 3), 0.0) for i in range(12)] + [(12, None, 0.0), (13, float("nan"), 0.0)]
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in dbscan(spark.createDataFrame(rows, "id int, a double, b double"), ["a", "b"], "id", 0.5, 3).collect()}
+    assert len(got) == 14 and got[12] == got[13] == (-1, False) and got[0][0] == 0

@@ -140,14 +140,12 @@ def test_scaling_from_gram_is_standard_scaling(data):
         assert np.allclose(a[c], b[c])
 
 
-def test_subset_search_finds_the_true_features(data):
+def test_candidate_report(data):
     _pdf, df = data
     cols = [f"x{i}" for i in range(5)]
-    o = SE.SearchOptions(n_variables=3, population=12, generations=12, restarts=2, best=2, min_r2=0.5, min_q2=0.5)
-    found = SE.search_subsets(df.where("split = 'train'"), "y", cols, "fold", o)
-    assert found.first()["features"] == ["x0", "x1", "x2"]
-    rep = SE.candidate_report(df, "y", cols, found, options=o).toPandas()
-    assert rep["rank"].tolist() == list(range(1, len(rep) + 1))
+    given = df.sparkSession.createDataFrame([(["x0", "x1", "x2"],), (["x0", "x1"],), (["x3", "x4"],)], "features array<string>")
+    rep = SE.candidate_report(df, "y", cols, given, options=SE.ReportOptions(best=2, min_r2=0.0, min_q2=0.0)).toPandas()
+    assert list(rep["features"][0]) == ["x0", "x1", "x2"] and rep["rank"].tolist() == [1, 2]
     assert rep["r2cv"].is_monotonic_decreasing and rep["equation"][0].count("*") == 3
 
 
@@ -178,30 +176,6 @@ def test_endpoints_split_with_ties(spark):
     assert got == want
 
 
-def test_kennard_stone_exact_in_one_cell(spark):
-    pts = [(i, float(i % 3), float(i // 3)) for i in range(9)]
-    df = spark.createDataFrame(pts, "k int, a double, b double")
-    got = {r["k"] for r in P.kennard_stone_split(df, ["a", "b"], ["k"], 0.4).where("split = 'train'").collect()}
-    x = np.array([p[1:] for p in pts])
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    chosen = list(np.unravel_index(np.argmax(d), d.shape))
-    while len(chosen) < 5:
-        rest = [i for i in range(9) if i not in chosen]
-        chosen.append(max(rest, key=lambda i: (d[i, chosen].min(), -i)))
-    assert got == set(int(c) for c in chosen)
-
-
-def test_cells_are_bounded_and_sizes_add_up(spark):
-    df = spark.range(1000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.rand(5)).alias("a"), F.rand(6).alias("b"))
-    df = spark.createDataFrame(df.toPandas())
-    cells = P.with_cells(df, ["a", "b"], ["k"], 100).groupBy("__cell").count().toPandas()
-    assert cells["count"].max() == 100
-    s = P.kennard_stone_split(df, ["a", "b"], ["k"], 0.25, cell_rows=100).groupBy("split").count().toPandas().set_index("split")["count"]
-    assert s["train"] == 750 and s["test"] == 250
-    o = P.onion_split(df, ["a"], "b", ["k"], 0.2, cell_rows=100)
-    assert o.count() == 1000 and 150 < o.where("split = 'test'").count() < 250
-
-
 def test_time_split_with_equal_times(spark):
     df = spark.range(50).select(F.col("id").alias("k"), F.timestamp_seconds((F.col("id") / 20).cast("int")).alias("t"))
     train = {r["k"] for r in P.time_split(df, "t", ["k"], 0.3).where("split = 'train'").collect()}
@@ -215,3 +189,18 @@ def test_rejected_renames(spark):
     with pytest.raises(ValueError):
         C.rename_columns(df, {"a": "c", "b": "c"})
     assert C.rename_columns(df, {"a": " b ", "b": "a"}).columns == ["b", "a"]
+
+
+def test_split_rejects_keys_that_straddle_the_cut(spark, monkeypatch):
+    same = spark.range(300).select(F.lit(1).alias("k"))
+    with pytest.raises(ValueError, match="unique"):
+        P.random_split(same, ["k"], 0.2)
+    monkeypatch.setattr(P, "LEAVES", 3)
+    with pytest.raises(ValueError, match="unique"):
+        P.random_split(same, ["k"], 0.2)
+
+
+def test_outliers_by_group_keep_null_groups_and_values(spark):
+    rows = [(i, "a" if i % 2 else None, float(i % 5)) for i in range(40)] + [(40, "a", 900.0), (41, None, 900.0), (42, "a", None)]
+    got = {r["k"]: r["is_outlier"] for r in C.outlier_flag_by(spark.createDataFrame(rows, "k int, g string, y double"), "y", "g").collect()}
+    assert len(got) == 43 and {k for k, v in got.items() if v} == {40, 41}

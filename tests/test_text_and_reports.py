@@ -10,7 +10,6 @@ from assaylake.operators import reports as RP
 from assaylake.operators import rules as RU
 from assaylake.operators import scoring as SC
 from assaylake.operators import sheets as SH
-from assaylake.operators.linkage import cut, leaf_order, linkage
 from assaylake.sources import readers as RD
 
 
@@ -78,10 +77,13 @@ def test_groups_file(spark):
     ]
 
 
-def test_probes():
-    assert RD.probe_encoding("zażółć".encode()) == "utf-8"
-    assert RD.probe_encoding("über".encode("latin1")) == "latin1"
-    assert RD.probe_encoding("ab€".encode()[:-1]) == "utf-8"
+def test_probes(spark, tmp_path):
+    for name, last, want in (("a", "zażółć".encode(), "utf-8"), ("b", "über".encode("latin1"), "latin1"), ("c", b"plain", "utf-8")):
+        (tmp_path / name).write_bytes(b"id,text\n" + b"1,plain ascii\n" * 9000 + b"2," + last + b"\n")
+        assert RD.probe_encoding(spark, str(tmp_path / name)) == want
+    (tmp_path / "q.csv").write_text('id,text\n1,"say ""hi"", you"\n2,"two\nlines"\n')
+    assert [r["text"] for r in RD.read_csv(spark, str(tmp_path / "q.csv"), "id int, text string").orderBy("id").collect()] == ['say "hi", you', "two\nlines"]
+    assert RD.read_csv_probed(spark, str(tmp_path / "b"), "id int, text string").where("id = 2").first()["text"] == "über"
     assert RD.probe_separator("a\tb") == "\t" and RD.probe_separator("a,b\tc") == ","
     assert RD.clean_names(["a\r\nb ", " c"]) == ["a b", "c"]
 
@@ -170,18 +172,3 @@ def test_half_response(spark):
     df = spark.createDataFrame(rows, "id string, c double, v double")
     got = {r["id"]: r["ic50"] for r in SC.half_response(df, ["id"], "c", "v").collect()}
     assert got == {"falling": 55.0, "flat": None, "rising": None}
-
-
-def test_linkage_on_five_points():
-    import numpy as np
-
-    x = np.array([[0.0], [1.0], [5.0], [6.0], [20.0]])
-    z = linkage(x, "ward")
-    assert np.allclose(z[:, 2], [1.0, 1.0, np.sqrt(50), np.sqrt(2 * 4 * 1 / 5) * 17.0])
-    assert cut(z, 5, 3).tolist() == [0, 0, 1, 1, 2]
-    assert sorted(leaf_order(z, 5)) == [0, 1, 2, 3, 4]
-    assert np.allclose(linkage(x, "single")[:, 2], [1, 1, 4, 14])
-    assert np.allclose(linkage(x, "complete")[:, 2], [1, 1, 6, 20])
-    assert np.allclose(linkage(x, "average")[:, 2], [1, 1, 5, 17])
-    with pytest.raises(ValueError):
-        linkage(np.zeros((2001, 1)))
