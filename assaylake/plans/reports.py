@@ -298,9 +298,9 @@ def _(spark, sf):
 
 @query(
     "chm_08_plausibility",
-    """SELECT p_partkey, concat_ws('; ', CASE WHEN w < 16 THEN 'MW is extremely low - below typical organic compounds' WHEN w > 1000 THEN 'MW is very high - may be outside training range' END,
-       CASE WHEN m < -200 OR m > 400 THEN 'Melting point estimate is extreme - verify result carefully' END,
-       CASE WHEN p_size > 20 THEN 'Many fragments - complex structures may have lower prediction accuracy' END) AS warnings, NULL::BOOLEAN AS in_ad
+    """SELECT p_partkey, concat_ws('; ', CASE WHEN w < 16 THEN 'mass is implausibly low' WHEN w > 1000 THEN 'mass is implausibly high' END,
+       CASE WHEN m < -200 OR m > 400 THEN 'melting point is implausible' END,
+       CASE WHEN p_size > 20 THEN 'unusually many fragments' END) AS warnings, NULL::BOOLEAN AS in_ad
        FROM (SELECT p_partkey, p_size, p_retailprice - 890 AS w, p_size * 15.0::DOUBLE - 300 AS m FROM part)""",
 )
 def _(spark, sf):
@@ -347,10 +347,10 @@ def _(spark, sf):
 @query(
     "jon_07_align_records",
     """SELECT coalesce(d.doc_id, l.doc_id) AS id, coalesce(d.lang, CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END) AS tag, d.source AS a__source, l.toxic AS b__toxic
-       FROM (SELECT * FROM documents WHERE n_chars > 500) d FULL JOIN labels l ON d.doc_id = l.doc_id""",
+       FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars > 500").selectExpr("doc_id AS id", "lang AS tag", "source")
+    d = table(spark, sf, "documents").selectExpr("doc_id AS id", "lang AS tag", "source")
     l = table(spark, sf, "labels").selectExpr("doc_id AS id", "CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS tag", "toxic")
     return align_records({"a": d, "b": l}, ["id"], ["tag"])
 
