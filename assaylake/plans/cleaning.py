@@ -58,31 +58,36 @@ def _groups(spark, sf):
     ).distinct()
 
 
-def _size_table(spark, sf):
+SIZES = range(1, 51)
+
+
+def _size_table(spark, sf, sizes=SIZES):
     part = table(spark, sf, "part")
-    return part.groupBy("p_brand").pivot("p_size", list(range(1, 7))).agg(F.sum("p_retailprice")).select(
-        "p_brand", *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"size_{i}") for i in range(1, 7)]
+    return part.groupBy("p_brand").pivot("p_size", list(sizes)).agg(F.sum("p_retailprice")).select(
+        "p_brand", *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"size_{i}") for i in sizes]
     )
 
 
+KEPT_SIZES = [i for i in SIZES if i % 3 == 1]
+
+
 @query(
     "prj_05_keep_groups",
-    f"""SELECT p_brand, {R('coalesce(sum(p_retailprice) FILTER (WHERE p_size = 1), 0)', 2)} AS size_1,
-        {R('coalesce(sum(p_retailprice) FILTER (WHERE p_size = 4), 0)', 2)} AS size_4
-        FROM part GROUP BY p_brand""",
+    "SELECT p_brand, " + ", ".join(f"{R(f'coalesce(sum(p_retailprice) FILTER (WHERE p_size = {i}), 0)', 2)} AS size_{i}" for i in KEPT_SIZES) + " FROM part GROUP BY p_brand",
 )
 def _(spark, sf):
     out = C.keep_groups(_size_table(spark, sf), _groups(spark, sf), ["1"])
-    return out.select("p_brand", rnd("size_1", 2).alias("size_1"), rnd("size_4", 2).alias("size_4"))
+    return out.select("p_brand", *[rnd(c, 2).alias(c) for c in out.columns if c != "p_brand"])
 
 
 @query(
     "prj_06_group_features",
     """WITH g AS (SELECT DISTINCT p_size % 3 AS gid, p_size FROM part WHERE p_size % 3 IN (0, 2))
-       SELECT 'size_' || p_size AS feature, p_size <= 6 AS available FROM g""",
+       SELECT 'size_' || p_size AS feature, p_size <= 45 AS available FROM g""",
 )
 def _(spark, sf):
-    present, missing = C.features_of_groups(_size_table(spark, sf), _groups(spark, sf), ["2", "0"])
+    """The table has sizes up to 45, so five sizes of the groups are missing."""
+    present, missing = C.features_of_groups(_size_table(spark, sf, range(1, 46)), _groups(spark, sf), ["2", "0"])
     return spark.createDataFrame([(c, True) for c in present] + [(c, False) for c in missing], "feature string, available boolean")
 
 

@@ -58,7 +58,7 @@ def _(spark, sf):
 
 @query("clu_02_elbow")
 def _(spark, sf):
-    return K.elbow(events_vk(spark, sf), ["v", "k"], range(2, 7))
+    return K.elbow(events_vk(spark, sf), ["v", "k"])
 
 
 DB = """p AS (SELECT event_id AS id, epoch_us(ts) / 3.6e9 - 473352 AS a, value AS y FROM events),
@@ -213,20 +213,22 @@ def _(spark, sf):
     return classify_nearest(e.where("split = 'test'"), e.where("split = 'train'"), EMB, "vec_id", "label").withColumn("distance", rnd("distance", 6))
 
 
-def _nb_scores(train: str, extra: str = "") -> str:
-    return f"""cls AS (SELECT label{extra}, count(*) AS nc, avg(x[1]) AS m1, avg(x[2]) AS m2, var_pop(x[1]) AS v1, var_pop(x[2]) AS v2 FROM {train} GROUP BY ALL)"""
+def _nb_sql(rows: str, by: str = "") -> str:
+    """Gaussian naive Bayes over all elements, on (fold,) vec_id, label, test, x rows."""
+    f = by and by + ", "
+    same = lambda a, b: f" AND {a}.{by} = {b}.{by}" if by else ""
+    return f"""u AS (SELECT {f}vec_id, label, test, unnest(x)::DOUBLE AS v, generate_subscripts(x, 1) AS i FROM {rows}),
+        sm AS (SELECT {f}1e-9 * max(w) AS e FROM (SELECT {f}i, var_pop(v) AS w FROM u WHERE NOT test GROUP BY {f}i) GROUP BY {by or "()"}),
+        pr AS (SELECT {f}label, count(*) AS nc, sum(count(*)) OVER ({"PARTITION BY " + by if by else ""}) AS n FROM {rows} WHERE NOT test GROUP BY {f}label),
+        m AS (SELECT {f}label, i, avg(v) AS m, var_pop(v) AS w FROM u WHERE NOT test GROUP BY {f}label, i),
+        sc AS (SELECT {"u." + f if by else ""}u.vec_id, any_value(u.label) AS label, m.label AS k, any_value(ln(pr.nc / pr.n)) - 0.5 * sum(ln(2 * pi() * (m.w + e)) + (v - m.m) ** 2 / (m.w + e)) AS lp
+          FROM u JOIN m ON u.i = m.i{same("u", "m")} JOIN pr ON pr.label = m.label{same("pr", "m")} JOIN sm ON TRUE{same("sm", "m")} WHERE u.test GROUP BY {"u." + f if by else ""}u.vec_id, m.label),
+        nb AS (SELECT {f}vec_id, any_value(label) AS label, arg_max(k, lp) AS prediction FROM sc GROUP BY {f}vec_id)"""
 
 
-@query(
-    "cls_02_naive_bayes",
-    f"""WITH {ROWS}, tr AS (SELECT label, list_transform(x, lambda v: v::DOUBLE) AS x FROM s WHERE NOT test), {_nb_scores('tr')},
-        sm AS (SELECT 1e-9 * greatest(var_pop(x[1]), var_pop(x[2])) AS e, count(*) AS n FROM tr),
-        sc AS (SELECT s.vec_id, s.label, cls.label AS k, ln(nc / sm.n) - 0.5 * (ln(2 * pi() * (v1 + e)) + ln(2 * pi() * (v2 + e)) + (s.x[1]::DOUBLE - m1) ** 2 / (v1 + e) + (s.x[2]::DOUBLE - m2) ** 2 / (v2 + e)) AS lp
-          FROM s, cls, sm WHERE s.test)
-        SELECT vec_id, any_value(label) AS label, arg_max(k, lp) AS prediction FROM sc GROUP BY vec_id""",
-)
+@query("cls_02_naive_bayes", f"WITH {ROWS}, {_nb_sql('s')} SELECT * FROM nb")
 def _(spark, sf):
-    return CL.hold_out(embedding_columns(spark, sf), CL.naive_bayes(["e00", "e01"], "label", ["vec_id"]), ["vec_id"])
+    return CL.hold_out(embedding_columns(spark, sf), CL.naive_bayes(EMB, "label", ["vec_id"]), ["vec_id"])
 
 
 @query("cls_01_logistic")
@@ -236,7 +238,7 @@ def _(spark, sf):
 
 @query("cls_03_linear_svc")
 def _(spark, sf):
-    return CL.report(CL.hold_out(embedding_columns(spark, sf), CL.linear_svc(EMB[:16], "label", ["vec_id"], 20), ["vec_id"]), "label")
+    return CL.report(CL.hold_out(embedding_columns(spark, sf), CL.linear_svc(EMB, "label", ["vec_id"]), ["vec_id"]), "label")
 
 
 @query("cls_04_nearest_neighbour")
@@ -246,7 +248,7 @@ def _(spark, sf):
 
 @query("cls_05_decision_tree")
 def _(spark, sf):
-    return CL.report(CL.hold_out(embedding_columns(spark, sf), CL.decision_tree(EMB, "label", ["vec_id"], 12), ["vec_id"]), "label")
+    return CL.report(CL.hold_out(embedding_columns(spark, sf), CL.decision_tree(EMB, "label", ["vec_id"], 30), ["vec_id"]), "label")
 
 
 @query("cls_06_random_forest")
@@ -256,17 +258,14 @@ def _(spark, sf):
 
 @query(
     "cls_07_cross_validated",
-    f"""WITH e AS (SELECT vec_id, label::DOUBLE AS label, list_transform(embedding, lambda v: v::DOUBLE) AS x, (row_number() OVER (ORDER BY md5('42|' || vec_id)) - 1) AS rn, count(*) OVER () AS n FROM embeddings),
-        f AS (SELECT *, CASE WHEN rn < (n // 4 + 1) * (n % 4) THEN rn // (n // 4 + 1) ELSE n % 4 + (rn - (n // 4 + 1) * (n % 4)) // (n // 4) END AS fold FROM e),
-        tr AS (SELECT o.fold, f.label, f.x FROM f JOIN (SELECT DISTINCT fold FROM f) o ON f.fold <> o.fold), {_nb_scores('tr', ', fold')},
-        sm AS (SELECT fold, 1e-9 * greatest(var_pop(x[1]), var_pop(x[2])) AS e, count(*) AS n FROM tr GROUP BY fold),
-        sc AS (SELECT f.vec_id, f.fold, f.label, cls.label AS k, ln(nc / sm.n) - 0.5 * (ln(2 * pi() * (v1 + e)) + ln(2 * pi() * (v2 + e)) + (f.x[1] - m1) ** 2 / (v1 + e) + (f.x[2] - m2) ** 2 / (v2 + e)) AS lp
-          FROM f JOIN cls USING (fold) JOIN sm USING (fold)),
-        p AS (SELECT vec_id, fold, any_value(label) AS label, arg_max(k, lp) AS prediction FROM sc GROUP BY 1, 2), a AS (SELECT fold, avg((label = prediction)::INT) AS a FROM p GROUP BY fold)
+    f"""WITH e AS (SELECT vec_id, label::DOUBLE AS label, embedding AS x, (row_number() OVER (ORDER BY md5('42|' || vec_id)) - 1) AS rn, count(*) OVER () AS n FROM embeddings),
+        f AS (SELECT *, CASE WHEN rn < (n // 4 + 1) * (n % 4) THEN rn // (n // 4 + 1) ELSE n % 4 + (rn - (n // 4 + 1) * (n % 4)) // (n // 4) END AS part FROM e),
+        g AS (SELECT o.fold, vec_id, label, x, f.part = o.fold AS test FROM f, (SELECT DISTINCT part AS fold FROM f) o), {_nb_sql('g', 'fold')},
+        a AS (SELECT fold, avg((label = prediction)::INT) AS a FROM nb GROUP BY fold)
         SELECT {R('avg(a)', 8)} AS mean_accuracy, {R('stddev_pop(a)', 8)} AS std_accuracy, count(*) AS folds FROM a""",
 )
 def _(spark, sf):
-    p = CL.cross_validated(embedding_columns(spark, sf), CL.naive_bayes(["e00", "e01"], "label", ["vec_id"]), ["vec_id"], 4)
+    p = CL.cross_validated(embedding_columns(spark, sf), CL.naive_bayes(EMB, "label", ["vec_id"]), ["vec_id"], 4)
     a = CL.fold_accuracy(p, "label")
     return a.withColumns({c: rnd(c, 8) for c in ("mean_accuracy", "std_accuracy")})
 

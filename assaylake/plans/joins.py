@@ -266,15 +266,15 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.collapse_spaces(F.col("text")).alias("text"))
 
 
-# Formulas made from the first two words of every text.
-FORM_SQL = """f AS (SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS w, lang, source,
-  CASE doc_id % 4 WHEN 0 THEN '<think>why ' || chr(10) || lang || '</think> "' || regexp_extract(text, '([A-Za-z]+)', 1) || '"[tiab] OR (' || lang || '[MeSH Terms])'
+# Formulas made from all letters of every text.
+FORM_SQL = """f AS (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w, lang, source,
+  CASE doc_id % 4 WHEN 0 THEN '<think>why ' || chr(10) || lang || '</think> "' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) || '"[tiab] OR (' || lang || '[MeSH Terms])'
   WHEN 1 THEN '(' || source || '[tw] OR ' || lang || '[ti]) AND x' WHEN 2 THEN repeat('"' || lang || '" OR ', 60) || lang ELSE '[THINKING]a[/thinking]' || lang END AS q FROM documents)"""
 
 
 def formulas(spark, sf):
     d = table(spark, sf, "documents")
-    w = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    w = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
     k = F.col("doc_id") % 4
     q = (
         F.when(k == 0, F.concat(F.lit("<think>why \n"), F.col("lang"), F.lit('</think> "'), w, F.lit('"[tiab] OR ('), F.col("lang"), F.lit("[MeSH Terms])")))
@@ -301,9 +301,13 @@ def _(spark, sf):
     return formulas(spark, sf).select("doc_id", X.strip_field_tags(F.col("q")).alias("q"))
 
 
-@query("sca_24_is_repetitive", f"WITH {FORM_SQL} SELECT doc_id, doc_id % 4 = 2 AS repetitive FROM f")
+@query("sca_24_is_repetitive", "SELECT doc_id, r AS copy, r = 1 AS repetitive FROM documents, (SELECT 0 AS r UNION ALL SELECT 1)")
 def _(spark, sf):
-    return formulas(spark, sf).select("doc_id", X.is_repetitive(F.col("q")).alias("repetitive"))
+    """Every text with its words numbered, once as it is and once as forty times the same long phrase."""
+    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "[ \\n]+"), lambda w, i: F.concat(w, i.cast("string"))), " ").alias("q"))
+    phrase = F.concat(F.lit('"a phrase of words" OR '))
+    plain = d.select("doc_id", F.lit(0).alias("copy"), X.is_repetitive(F.col("q")).alias("repetitive"))
+    return plain.unionByName(d.select("doc_id", F.lit(1).alias("copy"), X.is_repetitive(F.repeat(phrase, F.lit(40))).alias("repetitive")))
 
 
 @query(
@@ -327,9 +331,10 @@ def _(spark, sf):
 
 @query(
     "sca_27_combine_formulas",
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN '(' || lang || ') AND (' || source || ')' ELSE '(' || source || ')' END AS q FROM documents",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN t WHEN doc_id % 3 = 1 THEN '(' || t || ') AND (' || source || ')' ELSE '(' || source || ')' END AS q FROM (SELECT *, lang || '-' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) || '.' AS t FROM documents)",
 )
 def _(spark, sf):
     k = F.col("doc_id") % 3
-    arr = F.when(k == 0, F.array("lang")).when(k == 1, F.array("lang", "source")).otherwise(F.array(F.lit(" "), F.col("source")))
+    t = F.concat("lang", F.lit("-"), F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.lit("."))
+    arr = F.when(k == 0, F.array(t)).when(k == 1, F.array(t, F.col("source"))).otherwise(F.array(F.lit(" "), F.col("source")))
     return table(spark, sf, "documents").select("doc_id", X.combine_formulas(arr, "AND").alias("q"))

@@ -437,7 +437,7 @@ def _(spark, sf):
 
 @query(
     "win_04_importance_rank",
-    f"WITH {LOADINGS} SELECT feature, row_number() OVER (ORDER BY max(abs(loading)) DESC, feature)::INT AS rank FROM ld WHERE component <= 6 GROUP BY feature",
+    f"WITH {LOADINGS} SELECT feature, row_number() OVER (ORDER BY max(abs(loading)) DESC, feature)::INT AS rank FROM ld GROUP BY feature",
 )
 def _(spark, sf):
-    return PC.importance(_loadings(spark, sf).where("component <= 6")).select("feature", "rank")
+    return PC.importance(_loadings(spark, sf)).select("feature", "rank")
