@@ -22,7 +22,7 @@ HEADLINE = [
     "spl_04_endpoints", "spl_08_kfold", "reg_01_ols", "reg_02_metrics_by_split", "reg_04_cross_validation", "reg_05_leave_one_out",
     "reg_07_williams", "reg_10_pcr", "pca_01_scores", "pca_01_variance_wide", "jon_01_attach_numeric", "jon_04_key_candidates",
     "jon_08_count_limits", "clu_01_lloyd_steps", "clu_03_dbscan", "clu_11_two_way_table", "cls_02_naive_bayes", "cls_08_report",
-    "chm_03_kowwin", "chm_11_batch_scoring", "win_06_half_response", "src_09_group_definitions",
+    "jon_10_nearest_neighbour", "clu_04_k_distance", "cls_04_nearest_neighbour", "chm_03_kowwin", "chm_11_batch_scoring", "win_06_half_response", "src_09_group_definitions",
 ]
 
 
