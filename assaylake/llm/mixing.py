@@ -32,6 +32,7 @@ from assaylake.llm.frames import labelled_sample, written
 _KIND = np.full(256, 1, np.int8)  # letters, digits and all bytes above ASCII
 _KIND[:128] = [1 if chr(b).isalnum() else 2 for b in range(128)]  # punctuation runs are tokens too
 _KIND[WHITE] = 0
+ROWS_A_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -176,9 +177,12 @@ def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], *
     """Steps of the projected gradient method, and the expected and wanted tokens per domain.
 
     ``targets`` are shares per domain (missing: 0) of ``total`` tokens; ``total``
-    None means the expected tokens of the domains with a target.
+    None means the expected tokens of the domains with a target. The steps read
+    the table in few large partitions (about ``ROWS_A_TASK`` rows), because a
+    row costs next to nothing and every step is a job of its own.
     """
     k = len(model.domains)
+    table = table.coalesce(max(1, -(-table.count() // ROWS_A_TASK)))
     supply = _totals(table, [], k, pull, max_rate, False)
     share = np.array([targets.get(name, 0.0) for name in model.domains])
     if share.sum() <= 0:
