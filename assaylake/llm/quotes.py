@@ -68,20 +68,25 @@ def links(rows: DataFrame) -> DataFrame:
 def threads(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(conv, turn, parent, thread, depth) from (conv, turn, parent): root and distance to it, by pointer jumping.
 
-    Every round doubles the distance that a row has climbed; the number of
-    rounds is the logarithm of the longest chain. One row per (conv, turn).
+    Every round doubles the distance that a row has climbed, and only rows that
+    have not arrived at a root take part in the next one. The number of rounds
+    is the logarithm of the longest chain. One row per (conv, turn).
     """
-    current = written(parents.select("conv", "turn", "parent", F.coalesce("parent", "turn").alias("thread"), F.col("parent").isNotNull().cast("bigint").alias("depth")), "threads")
+    moving = F.col("parent").isNotNull()
+    start = written(
+        parents.select("conv", "turn", "parent", F.coalesce("parent", "turn").alias("thread"), moving.cast("bigint").alias("depth"), moving.alias("moving")), "threads"
+    )
+    arrived, active = start.where(~F.col("moving")), start.where("moving")
     for _ in range(max_rounds):
-        up = current.select("conv", F.col("turn").alias("thread"), F.col("thread").alias("above"), F.col("depth").alias("more"))
-        current = written(
-            current.join(up, ["conv", "thread"], "left")
-            .select("conv", "turn", "parent", F.coalesce("above", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")),
-            "threads",
+        if active.limit(1).count() == 0:
+            return arrived.drop("moving")
+        every = arrived.unionByName(active)
+        up = every.select("conv", F.col("turn").alias("thread"), F.col("thread").alias("above"), F.col("depth").alias("more"), F.col("moving").alias("on"))
+        climbed = active.join(up, ["conv", "thread"]).select(
+            "conv", "turn", "parent", F.col("above").alias("thread"), (F.col("depth") + F.col("more")).alias("depth"), F.col("on").alias("moving")
         )
-        if current.where("moved").limit(1).count() == 0:
-            return current.drop("moved")
-        current = current.drop("moved")
+        climbed = written(climbed, "threads")
+        arrived, active = arrived.unionByName(climbed.where(~F.col("moving"))), climbed.where("moving")
     raise RuntimeError(f"reply chains did not end in {max_rounds} rounds")
 
 
