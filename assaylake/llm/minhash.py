@@ -3,9 +3,10 @@
 Every permutation of the shingle hashes gives two signature values, its minimum
 and its maximum, so a signature of 2 * permutations values costs half the hash
 evaluations; both values estimate the similarity without bias. Bands of
-``rows`` values propose candidates: at similarity 0.85 a pair shares no band
-with a probability below 1e-6 (24 bands of 5 values). A link counts only after
-the full sets are compared.
+values propose candidates; they are as long as they can be for a pair at the
+threshold to share no band with a probability below 1e-6 (24 bands of 5 values
+at 0.85, 30 bands of 4 at 0.8). A link counts only after the full sets are
+compared.
 
 Large buckets never turn into all their pairs. Equal sets are one node. Every
 bucket names its most central member (the one that shares most bands with
@@ -34,7 +35,7 @@ from assaylake.llm.blocks import SpanHash, blocks, fold_case, mix, signed, word_
 from assaylake.llm.frames import written
 from assaylake.llm.graph import components
 
-PERMUTATIONS, ROWS, SHINGLE = 60, 5, 5
+PERMUTATIONS, SHINGLE, MISS = 60, 5, 1e-6
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +82,12 @@ def signatures(h: np.ndarray, bounds: np.ndarray, permutations: int, seed: int =
     return out
 
 
+def rows_for(percent: int, permutations: int) -> int:
+    """Longest band for which a pair at the threshold is missed with a probability below ``MISS``."""
+    fit = [r for r in range(1, 13) if (1 - (percent / 100) ** r) ** (2 * permutations // r) < MISS]
+    return max(fit, default=1)
+
+
 def bands_of(signature: np.ndarray, rows: int) -> np.ndarray:
     """(texts, bands): one hash per band of ``rows`` values, different for every band."""
     count = signature.shape[1] // rows
@@ -93,7 +100,7 @@ def bands_of(signature: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def signature_table(docs: DataFrame, *, permutations: int = PERMUTATIONS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+def signature_table(docs: DataFrame, *, permutations: int = PERMUTATIONS, rows: int, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands) from (doc_id, text): one pass, no set leaves the task.
 
     set_a and set_b are sums of two mixes of all distinct shingle hashes: equal sets agree in 128 bits.
@@ -212,10 +219,11 @@ def _rest(star: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFra
 
 
 def near_duplicates(
-    docs: DataFrame, *, text: str = "text", key: str = "doc_id", percent: int = 85, permutations: int = PERMUTATIONS, rows: int = ROWS, size: int = SHINGLE, block: int = 1024
+    docs: DataFrame, *, text: str = "text", key: str = "doc_id", percent: int = 85, permutations: int = PERMUTATIONS, size: int = SHINGLE, block: int = 1024
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows_for(percent, permutations)
     signed_docs = written(signature_table(docs, permutations=permutations, rows=rows, size=size), "signatures")
     filled = signed_docs.where("n_shingles > 0 and doc_id is not null")
     nodes = written(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
