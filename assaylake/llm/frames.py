@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.session import materialize
+from assaylake.session import new_path
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: the word rule of the queries
 
@@ -38,12 +38,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     the driver's objects for them are collected; asking for that here keeps the
     disk use of long jobs at one stage instead of the sum of all.
     """
-    out = materialize(df, label)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` which no later result reads."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._written_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, max_chars: int, only: Column | None = None) -> list[dict]:
     """At most ``max_rows`` labelled documents, picked by a hash of their id, collected for fitting.
 
