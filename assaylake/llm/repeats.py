@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm.blocks import SpanHash, blocks, mix, signed
-from assaylake.llm.frames import written
+from assaylake.llm.frames import discard, written
 
 GRAM, GROUP = 32, 8
 PLACE = np.uint64((1 << 24) - 1)  # low bits of a sort value hold the place inside a segment
@@ -207,7 +207,9 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     several = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     open_ = firsts.join(several, "gram").groupBy("doc_id").agg(F.collect_list("extent").alias("extents"))
     places = written(_open_places(docs.join(open_, "doc_id").select("doc_id", "text", "extents"), length), "places")
-    second = written(_ranked(written(_groups(places, length), "groups")), "round2")
+    groups = written(_groups(places, length), "groups")
+    second = written(_ranked(groups), "round2")
+    discard(groups)
     fresh = second.where(~F.col("repeated"))
     shared = fresh.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     open_ = fresh.join(shared, "core").select("doc_id", "place", "start", "stop")
@@ -216,7 +218,9 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     ranges = second.where("repeated").select("doc_id", "start", "stop").unionByName(
         _ranked(third).where("repeated").select("doc_id", "start", F.col("start").alias("stop"))
     )
-    return firsts.select("doc_id", "extent"), written(ranges, "ranges")
+    ranges = written(ranges, "ranges")
+    discard(places, second, third)
+    return firsts.select("doc_id", "extent"), ranges
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 100, text: str = "text", key: str = "doc_id", with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
