@@ -205,7 +205,9 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     """From (doc_id, text): the first occurrences of round 1, and explicit window ranges (doc_id, start, stop) of later rounds."""
     firsts = written(_places(docs, length).groupBy("extent", "gram").agg(F.min("doc_id").alias("doc_id")), "round1")
     several = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    open_ = firsts.join(several, "gram").groupBy("doc_id").agg(F.collect_list("extent").alias("extents"))
+    # Written on its own, so that the shuffles by gram are gone before the texts are dealt.
+    undecided = written(firsts.join(several, "gram").select("doc_id", "extent"), "undecided")
+    open_ = undecided.groupBy("doc_id").agg(F.collect_list("extent").alias("extents"))
     places = written(_open_places(docs.join(open_, "doc_id").select("doc_id", "text", "extents"), length), "places")
     groups = written(_groups(places, length), "groups")
     second = written(_ranked(groups), "round2")
@@ -219,7 +221,7 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
         _ranked(third).where("repeated").select("doc_id", "start", F.col("start").alias("stop"))
     )
     ranges = written(ranges, "ranges")
-    discard(places, second, third)
+    discard(undecided, places, second, third)
     return firsts.select("doc_id", "extent"), ranges
 
 
