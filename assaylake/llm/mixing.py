@@ -92,8 +92,11 @@ def posteriors_of(model: DomainModel, data: np.ndarray, offsets: np.ndarray) ->
     return p / p.sum(axis=1, keepdims=True), words
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", max_rows: int = 5000, max_chars: int = 20_000, min_documents: int = 5, steps: int = 150, ridge: float = 2e-3) -> DomainModel | None:
-    """Fit on at most ``max_rows`` labelled documents; ``labels`` has (doc_id, domain)."""
+def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", max_rows: int = 5000, max_chars: int = 20_000, min_share: float = 0.02, steps: int = 60, ridge: float = 0.3) -> DomainModel | None:
+    """Fit on at most ``max_rows`` labelled documents; ``labels`` has (doc_id, domain).
+
+    Only tokens in at least ``min_share`` of them (and in five) take part: rarer ones let the fit learn documents by heart.
+    """
     rows = labelled_sample(docs, labels, [domain], max_rows, max_chars)
     names = tuple(sorted({str(r[domain]) for r in rows}))
     if len(names) < 2:
@@ -108,7 +111,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", m
     token, doc, shape = np.concatenate(tokens), np.concatenate(docs_of), np.concatenate(shapes)
     every, index = np.unique(token, return_inverse=True)
     pair = np.unique(doc.astype(np.int64) * len(every) + index)
-    frequent = every[np.bincount(pair % len(every), minlength=len(every)) >= min_documents]
+    frequent = every[np.bincount(pair % len(every), minlength=len(every)) >= max(5, min_share * len(rows))]
     d, t = _hits(frequent, token, doc)
     k, n = len(names), len(rows)
     target = np.eye(k)[gold]
