@@ -4,11 +4,12 @@
    document posterior probabilities of the domains (multinomial logistic
    regression on the presence of frequent tokens and three shape features).
 2. Nonnegative rates per document are fitted so that expected domain totals
-   sum(rate * tokens * posterior) match the targets: least squares with a small
-   pull towards rate 1, solved by projected gradient descent with momentum.
-   Every step is one Spark aggregate of one number per domain; a rate is a
-   function of the posterior and the steps so far, so no per-document state is
-   kept between steps.
+   sum(rate * tokens * posterior) match the targets: least squares, and of all
+   optima the one nearest to rate 1 (a pull towards 1 in the limit of none).
+   At the optimum a rate is 1 - posterior . multipliers, projected to the
+   allowed rates, with one multiplier per domain. Newton steps with a line
+   search find the multipliers. Every step is one Spark aggregate of a few
+   numbers per pair of domains; no per-document state is kept between steps.
 
 Special cases: a null or empty text has no tokens; its rate follows its
 posterior like any other but moves no total. Without labels of at least two
@@ -147,74 +148,92 @@ def posteriors(docs: DataFrame, model: DomainModel, *, text: str = "text", key:
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {key_type}, n_tokens bigint, posterior array<double>")
 
 
-def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float, float]], pull: float, max_rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates and look-ahead rates of rows with posteriors ``p`` after the given (gradient, rate of descent, momentum) steps."""
-    rate = np.ones(len(p))
-    ahead = rate.copy()
-    for gradient, descent, momentum in steps:
-        after = np.clip(ahead - descent * (p @ gradient + pull * (ahead - 1)), 0, max_rate)
-        ahead = after + momentum * (after - rate)
-        rate = after
-    return rate, ahead
+def rate_of(p: np.ndarray, multipliers: np.ndarray, max_rate: float | None) -> np.ndarray:
+    """Rates of rows with posteriors ``p``: 1 less the domains' multipliers, cut to what is allowed."""
+    return np.clip(1 - p @ multipliers, 0, max_rate)
 
 
-def _totals(table: DataFrame, steps: list, domains: int, pull: float, max_rate: float, ahead: bool) -> np.ndarray:
-    """Expected tokens per domain: one partial sum per task and domain, added up by Spark."""
+def _evaluate(table: DataFrame, tries: np.ndarray, max_rate: float | None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each row of multipliers: the documents' part of the dual, expected tokens per domain, and its curvature.
+
+    One partial sum per task and number, added up by Spark.
+    """
+    m, k = tries.shape
+    most = np.inf if max_rate is None else max_rate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(domains)
+        sums_ = np.zeros((m, 1 + k + k * k))
         for batch in batches:
-            p = batch.column(1).flatten().to_numpy().reshape(-1, domains)
-            rate = replay(p, steps, pull, max_rate)[int(ahead)]
-            total += (rate * batch.column(0).to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(domains)), pa.array(total)], names=["domain", "tokens"])
-
-    rows = table.select("n_tokens", "posterior").mapInArrow(run, "domain bigint, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
-    out = np.zeros(domains)
+            p = batch.column(1).flatten().to_numpy().reshape(-1, k)
+            n = batch.column(0).to_numpy().astype(np.float64)
+            for at, multipliers in enumerate(tries):
+                plain = 1 - p @ multipliers
+                rate = np.clip(plain, 0, most)
+                free = np.where((plain > 0) & (plain < most), n, 0.0)
+                sums_[at, 0] += n @ (rate * (plain - rate / 2))
+                sums_[at, 1 : 1 + k] += (n * rate) @ p
+                sums_[at, 1 + k :] += ((p * free[:, None]).T @ p).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums_.size)), pa.array(sums_.reshape(-1))], names=["at", "value"])
+
+    rows = table.select("n_tokens", "posterior").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(m * (1 + k + k * k))
     for r in rows:
-        out[r["domain"]] = r["tokens"]
-    return out
+        out[r["at"]] = r["value"]
+    return [(float(o[0]), o[1 : 1 + k], o[1 + k :].reshape(k, k)) for o in out.reshape(m, -1)]
 
 
-def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], *, total: float | None = None, pull: float = 0.01, max_rate: float = 4.0, rounds: int = 40, tolerance: float = 1e-4) -> tuple[list, np.ndarray, np.ndarray]:
-    """Steps of the projected gradient method, and the expected and wanted tokens per domain.
+def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], *, total: float | None = None, pull: float | None = None, max_rate: float | None = None, rounds: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers of the domains, and the expected and wanted tokens per domain.
 
     ``targets`` are shares per domain (missing: 0) of ``total`` tokens; ``total``
-    None means the expected tokens of the domains with a target. The steps read
-    the table in few large partitions (about ``ROWS_A_TASK`` rows), because a
-    row costs next to nothing and every step is a job of its own.
+    None means the expected tokens of the domains with a target. ``pull`` None
+    means the limit of no pull: it falls by tens to a hundredth of ``tolerance``
+    times the share of the scarcest domain, so how common a domain is does not matter.
+    The work ends when the conditions of the optimum hold for every domain to
+    ``tolerance`` of its own wanted and given tokens; else it raises. Targets
+    that no rates can reach are missed by as little as possible, which the
+    expected tokens show. Every round reads the table once, in few large
+    partitions (about ``ROWS_A_TASK`` rows), because a row costs next to nothing.
     """
     k = len(model.domains)
     table = table.coalesce(max(1, -(-table.count() // ROWS_A_TASK)))
-    supply = _totals(table, [], k, pull, max_rate, False)
+    here = np.zeros(k)
+    state = _evaluate(table, here[None], max_rate)[0]
+    supply = state[1]
     share = np.array([targets.get(name, 0.0) for name in model.domains])
-    if share.sum() <= 0:
-        return [], supply, supply
+    if share.sum() <= 0 or supply.sum() <= 0:
+        return here, supply, supply
     share = share / share.sum()
     wanted = share * (supply[share > 0].sum() if total is None else total)
-    whole = max(supply.sum(), 1.0)
-    descent = 1 / (1 + pull)
-    steps: list = []
-    reached, t = supply, 1.0
+    whole = supply.sum()
+    least = 0.01 * tolerance * supply[supply > 0].min() / whole if pull is None else pull
+    weight = least if pull is not None else max(least, 0.01)
+    allowed = tolerance * np.maximum(np.maximum(supply, wanted), 1e-12 * whole)
     for _ in range(rounds):
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        steps.append(((reached - wanted) / whole, descent, (t - 1) / after))
-        t = after
-        now = _totals(table, steps, k, pull, max_rate, True)
-        if np.abs(now - reached).max() < tolerance * whole:
-            break
-        reached = now
-    return steps, _totals(table, steps, k, pull, max_rate, False), wanted
-
-
-def rates(table: DataFrame, steps: list, domains: int, *, key: str = "doc_id", pull: float = 0.01, max_rate: float = 4.0) -> DataFrame:
-    """Adds ``rate`` to the posterior table."""
+        slope = wanted - state[1] + weight * whole * here
+        if (np.abs(slope) <= allowed).all():
+            if weight <= least:
+                return here, state[1], wanted
+            # Unreachable targets: the multipliers grow as the pull falls; both guesses are tried.
+            weight = max(least, weight / 10)
+            tries = np.stack([here, here * 3, here * 10])
+        else:
+            step = -np.linalg.solve(state[2] + weight * whole * np.eye(k), slope)
+            tries = here + step * 0.5 ** np.array([0, 1, 2, 3, 5, 7, 10, 14, 20])[:, None]
+        found = _evaluate(table, tries, max_rate)
+        best = int(np.argmin([f[0] + wanted @ x + weight * whole * (x @ x) / 2 for f, x in zip(found, tries)]))
+        here, state = tries[best], found[best]
+    raise RuntimeError(f"rates not fitted after {rounds} rounds: off by {slope.tolist()} tokens, allowed {allowed.tolist()}")
+
+
+def rates(table: DataFrame, multipliers: np.ndarray, domains: int, *, key: str = "doc_id", pull: float | None = None, max_rate: float | None = None) -> DataFrame:
+    """Adds ``rate`` to the posterior table; the multipliers of ``fit_rates`` hold its ``pull`` already."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", rate double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(2).flatten().to_numpy().reshape(-1, domains)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, steps, pull, max_rate)[0])], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate_of(p, multipliers, max_rate))], names=[*batch.schema.names, "rate"])
 
     return table.mapInArrow(run, schema)
 
@@ -233,8 +252,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain
     table = written(posteriors(docs, model), "posteriors")
     if total_share is not None:
         total = total_share * float(table.agg(F.sum("n_tokens")).first()[0] or 0)
-    steps, _, _ = fit_rates(table, model, targets, total=total, pull=pull, max_rate=max_rate)
-    out = rates(table, steps, len(model.domains), pull=pull, max_rate=max_rate)
+    multipliers, _, _ = fit_rates(table, model, targets, total=total, pull=pull, max_rate=max_rate)
+    out = rates(table, multipliers, len(model.domains), max_rate=max_rate)
     names = F.array(*[F.lit(n) for n in model.domains])
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(29)), F.lit(1_000_000)) / F.lit(1e6)
     return out.select(
@@ -242,16 +261,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain
     )
 
 
-def realise(docs: DataFrame, model: DomainModel, steps: list, *, text: str = "text", pull: float = 0.01, max_rate: float = 1.0, least: float = 0.5) -> DataFrame:
+def realise(docs: DataFrame, model: DomainModel, multipliers: np.ndarray, *, text: str = "text", max_rate: float | None = 1.0, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose rate is at least ``least``, with all their columns; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, steps))
+    shared = docs.sparkSession.sparkContext.broadcast((model, multipliers))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, s = shared.value
+        m, x = shared.value
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(at)):
-                rate = replay(posteriors_of(m, data, offsets)[0], s, pull, max_rate)[0]
+                rate = rate_of(posteriors_of(m, data, offsets)[0], x, max_rate)
                 yield batch.slice(i, j - i).filter(pa.array(rate >= least))
 
     return docs.mapInArrow(run, docs.schema)

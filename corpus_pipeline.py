@@ -15,8 +15,6 @@ from assaylake.llm import minhash, mixing, packing, repeats, rules
 from assaylake.llm.frames import documents, table, written
 from assaylake.llm.queries import domains_of
 
-PULL = 0.01
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line model reject go."""
@@ -48,8 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs
     posteriors = written(mixing.posteriors(docs, model), "posteriors")
-    steps, _, _ = mixing.fit_rates(posteriors, model, {"clean": 1.0}, pull=PULL, max_rate=1.0)
-    return mixing.realise(docs, model, steps, pull=PULL, max_rate=1.0)
+    multipliers, _, _ = mixing.fit_rates(posteriors, model, {"clean": 1.0}, max_rate=1.0)
+    return mixing.realise(docs, model, multipliers, max_rate=1.0)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

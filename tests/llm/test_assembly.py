@@ -106,6 +106,25 @@ def test_projected_gradient_is_the_least_squares_optimum(spark):
     assert np.allclose(reached, (n * rate) @ p)
 
 
+def posterior_table(spark, rows):
+    return spark.createDataFrame([(k, n, [float(x) for x in p]) for k, (n, p) in enumerate(rows)], "doc_id bigint, n_tokens bigint, posterior array<double>")
+
+
+@pytest.mark.parametrize("toxic", [120, 10, 1])  # of 1000 documents of equal length
+def test_rate_of_an_unwanted_domain_does_not_depend_on_its_share(spark, toxic):
+    rng = np.random.default_rng(5)
+    p = np.stack([rng.uniform(0.9, 1, 1000), np.zeros(1000)], axis=1)
+    p[:toxic] = [0.0, 1.0]
+    p[:, 1] = 1 - p[:, 0]
+    for rows in (p, np.round(p)):
+        df = posterior_table(spark, [(100, x) for x in rows])
+        model = mixing.DomainModel(("clean", "toxic"), np.zeros(0, np.uint64), np.zeros((0, 2)), np.zeros((4, 2)))
+        multipliers, _, _ = mixing.fit_rates(df, model, {"clean": 1.0}, max_rate=1.0)
+        rate = mixing.rate_of(rows, multipliers, 1.0)
+        assert rate[:toxic].max() < 1e-3 and (rate[toxic:] >= 0.5).mean() > 0.5
+    assert rate[toxic:].min() > 0.999
+
+
 def test_mixing_cases(spark):
     df = awkward(spark, with_null_id=True)
     none = spark.createDataFrame([], "doc_id bigint, domain string")
