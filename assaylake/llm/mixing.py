@@ -19,6 +19,7 @@ take part. Other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ _KIND = np.full(256, 1, np.int8)  # letters, digits and all bytes above ASCII
 _KIND[:128] = [1 if chr(b).isalnum() else 2 for b in range(128)]  # punctuation runs are tokens too
 _KIND[WHITE] = 0
 ROWS_A_TASK = 100_000
+TARGET_TOLERANCE = 1e-3  # of a domain's own target; a larger miss is a warning of ``mix``
 
 
 @dataclass(frozen=True)
@@ -238,27 +240,49 @@ def rates(table: DataFrame, multipliers: np.ndarray, domains: int, *, key: str =
     return table.mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain: str = "domain", total: float | None = None, total_share: float | None = None, pull: float = 0.01, max_rate: float = 4.0) -> DataFrame:
-    """(doc_id, n_tokens, posterior, domain, rate, copies) for every document.
+@dataclass(frozen=True)
+class DomainTotal:
+    domain: str
+    reached: float  # expected tokens with the fitted rates
+    wanted: float
+
+    @property
+    def missed(self) -> float:
+        """Distance from the target relative to it; to one token where the target is none."""
+        return abs(self.reached - self.wanted) / max(self.wanted, 1.0)
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain: str = "domain", total: float | None = None, total_share: float | None = None, pull: float | None = None, max_rate: float | None = None) -> DataFrame:
+    """The documents of ``mix_with_totals``; a warning names targets that are missed."""
+    out, totals = mix_with_totals(docs, labels, targets, domain=domain, total=total, total_share=total_share, pull=pull, max_rate=max_rate)
+    missed = [t for t in totals if t.missed > TARGET_TOLERANCE]
+    if missed:
+        warnings.warn("targets not reached: " + ", ".join(f"{t.domain} {t.reached:.6g} of {t.wanted:.6g} tokens" for t in missed), stacklevel=2)
+    return out
+
+
+def mix_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain: str = "domain", total: float | None = None, total_share: float | None = None, pull: float | None = None, max_rate: float | None = None) -> tuple[DataFrame, list[DomainTotal]]:
+    """(doc_id, n_tokens, posterior, domain, rate, copies) for every document, and reached and wanted tokens per domain.
 
     ``total_share``: target total as a share of all tokens. ``domain`` is the
     likeliest one. ``copies`` is the rate rounded up or down by a hash of the id,
-    so that its expectation is the rate.
+    so that its expectation is the rate. Without a model there are no totals.
     """
     model = fit_domains(docs, labels, domain=domain)
     if model is None:
         plain = docs.select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint").alias("n_tokens"))
-        return plain.select("doc_id", "n_tokens", F.array(F.lit(1.0)).alias("posterior"), F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return plain.select("doc_id", "n_tokens", F.array(F.lit(1.0)).alias("posterior"), F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")), []
     table = written(posteriors(docs, model), "posteriors")
     if total_share is not None:
         total = total_share * float(table.agg(F.sum("n_tokens")).first()[0] or 0)
-    multipliers, _, _ = fit_rates(table, model, targets, total=total, pull=pull, max_rate=max_rate)
+    multipliers, reached, wanted = fit_rates(table, model, targets, total=total, pull=pull, max_rate=max_rate)
     out = rates(table, multipliers, len(model.domains), max_rate=max_rate)
     names = F.array(*[F.lit(n) for n in model.domains])
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(29)), F.lit(1_000_000)) / F.lit(1e6)
-    return out.select(
+    result = out.select(
         "doc_id", "n_tokens", "posterior", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("domain"), "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies")
     )
+    return result, [DomainTotal(n, float(r), float(w)) for n, r, w in zip(model.domains, reached, wanted)]
 
 
 def realise(docs: DataFrame, model: DomainModel, multipliers: np.ndarray, *, text: str = "text", max_rate: float | None = 1.0, least: float = 0.5) -> DataFrame:

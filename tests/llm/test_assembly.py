@@ -125,6 +125,24 @@ def test_rate_of_an_unwanted_domain_does_not_depend_on_its_share(spark, toxic):
     assert rate[toxic:].min() > 0.999
 
 
+@pytest.mark.parametrize("supply", [(760, 140, 100), (985, 10, 5)])
+def test_scarce_domains_reach_their_targets(spark, monkeypatch, supply):
+    p = np.eye(3)[np.repeat([0, 1, 2], supply)]
+    docs = posterior_table(spark, [(100, x) for x in p])
+    model = mixing.DomainModel(("a", "b", "c"), np.zeros(0, np.uint64), np.zeros((0, 3)), np.zeros((4, 3)))
+    monkeypatch.setattr(mixing, "fit_domains", lambda *_a, **_k: model)
+    monkeypatch.setattr(mixing, "posteriors", lambda *_a, **_k: docs)
+    targets = {"a": 0.9, "b": 0.05, "c": 0.05}
+    out, totals = mixing.mix_with_totals(docs, docs, targets, total_share=1.0)
+    rows = out.collect()
+    got = np.array([r["rate"] * r["n_tokens"] for r in rows]) @ np.array([r["posterior"] for r in rows])
+    assert np.allclose(got, [90_000, 5_000, 5_000], rtol=1e-3)
+    assert np.allclose([t.reached for t in totals], got) and np.allclose([t.wanted for t in totals], [90_000, 5_000, 5_000])
+    if supply[2] == 5:
+        with pytest.warns(UserWarning, match="c 2000 of 5000"):
+            mixing.mix(docs, docs, targets, total_share=1.0, max_rate=4.0)
+
+
 def test_mixing_cases(spark):
     df = awkward(spark, with_null_id=True)
     none = spark.createDataFrame([], "doc_id bigint, domain string")
