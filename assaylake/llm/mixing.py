@@ -2,7 +2,7 @@
 
 1. A classifier fitted on a bounded sample of labelled documents gives every
    document posterior probabilities of the domains (multinomial logistic
-   regression on the presence of frequent tokens and three shape features).
+   regression on the presence of tokens tied to a domain and three shape features).
 2. Nonnegative rates per document are fitted so that expected domain totals
    sum(rate * tokens * posterior) match the targets: least squares, and of all
    optima the one nearest to rate 1 (a pull towards 1 in the limit of none).
@@ -95,10 +95,24 @@ def posteriors_of(model: DomainModel, data: np.ndarray, offsets: np.ndarray) ->
     return p / p.sum(axis=1, keepdims=True), words
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", max_rows: int = 5000, max_chars: int = 20_000, min_share: float = 0.02, steps: int = 60, ridge: float = 0.3) -> DomainModel | None:
+def telling(counts: np.ndarray, sizes: np.ndarray, least: int, evidence: float) -> np.ndarray:
+    """Which tokens are tied to a domain; ``counts[token, domain]`` documents of ``sizes[domain]`` hold them.
+
+    A token must be over-represented in a domain, in at least ``least`` of its
+    documents, with a log-likelihood ratio (two by two: token, domain) of ``evidence`` or more.
+    """
+    n, held = sizes.sum(), counts.sum(axis=1, keepdims=True)
+    cells = np.stack([counts, held - counts, sizes - counts, n - held - sizes + counts]).astype(np.float64)
+    by_chance = np.stack([held * sizes, held * (n - sizes), (n - held) * sizes, (n - held) * (n - sizes)]) / n
+    ratio = 2 * np.where(cells > 0, cells * np.log(np.maximum(cells, 1) / np.maximum(by_chance, 1e-12)), 0).sum(axis=0)
+    return ((counts >= least) & (cells[0] > by_chance[0]) & (ratio >= evidence)).any(axis=1)
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", max_rows: int = 5000, max_chars: int = 20_000, least: int = 5, evidence: float = 15.0, steps: int = 60, ridge: float = 0.01) -> DomainModel | None:
     """Fit on at most ``max_rows`` labelled documents; ``labels`` has (doc_id, domain).
 
-    Only tokens in at least ``min_share`` of them (and in five) take part: rarer ones let the fit learn documents by heart.
+    Only tokens tied to a domain take part (see ``telling``), however rare they
+    are in the sample; all others would let the fit learn documents by heart.
     """
     rows = labelled_sample(docs, labels, [domain], max_rows, max_chars)
     names = tuple(sorted({str(r[domain]) for r in rows}))
@@ -114,12 +128,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", m
     token, doc, shape = np.concatenate(tokens), np.concatenate(docs_of), np.concatenate(shapes)
     every, index = np.unique(token, return_inverse=True)
     pair = np.unique(doc.astype(np.int64) * len(every) + index)
-    frequent = every[np.bincount(pair % len(every), minlength=len(every)) >= max(5, min_share * len(rows))]
-    d, t = _hits(frequent, token, doc)
     k, n = len(names), len(rows)
+    counts = np.bincount(pair % len(every) * k + gold[pair // len(every)], minlength=len(every) * k).reshape(-1, k)
+    chosen = every[telling(counts, np.bincount(gold, minlength=k), least, evidence)]
+    d, t = _hits(chosen, token, doc)
     target = np.eye(k)[gold]
     weight = (n / (k * np.bincount(gold, minlength=k)))[gold] ** 0.5
-    weights, shape_weights = np.zeros((len(frequent), k)), np.zeros((shape.shape[1], k))
+    weights, shape_weights = np.zeros((len(chosen), k)), np.zeros((shape.shape[1], k))
     squares = [np.full_like(weights, 1e-8), np.full_like(shape_weights, 1e-8)]
     for _ in range(steps):
         logit = shape @ shape_weights
@@ -127,11 +142,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", m
             logit[:, c] += np.bincount(d, weights=weights[t, c], minlength=n)
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         error = (p / p.sum(axis=1, keepdims=True) - target) * weight[:, None] / n
-        grad = np.stack([np.bincount(t, weights=error[d, c], minlength=len(frequent)) for c in range(k)], axis=1) + ridge * weights / max(len(frequent), 1) ** 0.5
+        grad = np.stack([np.bincount(t, weights=error[d, c], minlength=len(chosen)) for c in range(k)], axis=1) + ridge * weights / max(len(chosen), 1) ** 0.5
         for w, g, q in ((weights, grad, squares[0]), (shape_weights, shape.T @ error, squares[1])):
             q += g * g
             w -= 0.15 * g / np.sqrt(q)
-    return DomainModel(names, frequent, weights, shape_weights)
+    return DomainModel(names, chosen, weights, shape_weights)
 
 
 def posteriors(docs: DataFrame, model: DomainModel, *, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -106,6 +106,25 @@ def test_projected_gradient_is_the_least_squares_optimum(spark):
     assert np.allclose(reached, (n * rate) @ p)
 
 
+def test_telling_words_of_rare_languages_are_learned(spark):
+    """Recall on held-out rows per language; the words of the smaller one are in 1 % of all documents."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(1600):
+        lang, toxic = ("en", k % 10 == 0) if k % 8 else ("de", k % 16 == 0)
+        words = [f"{lang}{w}" for w in rng.integers(0, 300, 40)]
+        if toxic:
+            words[7] = f"{lang}bad{rng.integers(0, 4)}"
+        rows.append((k, " ".join(words), lang, "toxic" if toxic else "clean"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, domain string")
+    out = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 0]
+    model = mixing.fit_domains(df, df.where(~df.doc_id.isin([r[0] for r in out])).select("doc_id", "domain"))
+    got = {r["doc_id"]: model.domains[int(np.argmax(r["posterior"]))] for r in mixing.posteriors(df, model).collect()}
+    for lang in ("en", "de"):
+        assert np.mean([got[r[0]] == "toxic" for r in out if r[2] == lang and r[3] == "toxic"]) > 0.7
+    assert np.mean([got[r[0]] == "clean" for r in out if r[3] == "clean"]) > 0.95
+
+
 def posterior_table(spark, rows):
     return spark.createDataFrame([(k, n, [float(x) for x in p]) for k, (n, p) in enumerate(rows)], "doc_id bigint, n_tokens bigint, posterior array<double>")
 
