@@ -52,7 +52,7 @@ def decision_tree(features, label, key, max_depth: int = 30, seed: int = 42) ->
     return _ml(lambda _t: DecisionTreeClassifier(featuresCol="__x", labelCol=label, maxDepth=max_depth, minInstancesPerNode=1, seed=seed), features, label, key)
 
 
-def random_forest(features, label, key, trees: int = 200, max_depth: int = 12, seed: int = 42) -> Predictor:
+def random_forest(features, label, key, trees: int = 200, max_depth: int = 30, seed: int = 42) -> Predictor:
     return _ml(
         lambda _t: RandomForestClassifier(featuresCol="__x", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed), features, label, key
     )

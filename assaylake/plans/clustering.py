@@ -253,7 +253,7 @@ def _(spark, sf):
 
 @query("cls_06_random_forest")
 def _(spark, sf):
-    return CL.report(CL.hold_out(embedding_columns(spark, sf), CL.random_forest(EMB, "label", ["vec_id"], 200, 6), ["vec_id"]), "label")
+    return CL.report(CL.hold_out(embedding_columns(spark, sf), CL.random_forest(EMB, "label", ["vec_id"], 200, 30), ["vec_id"]), "label")
 
 
 @query(

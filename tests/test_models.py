@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylake.functions.distributions import beta_inc, f_upper, t_two_sided
+from assaylake.operators import classify
 from assaylake.operators import clean as C
 from assaylake.operators import pca as PC
 from assaylake.operators import pcr as PR
@@ -16,6 +17,7 @@ from assaylake.operators import regress as G
 from assaylake.operators import search as SE
 from assaylake.operators import split as P
 from assaylake.operators.gram import gram, gram_by
+from assaylake.plans import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -204,3 +206,30 @@ def test_outliers_by_group_keep_null_groups_and_values(spark):
     rows = [(i, "a" if i % 2 else None, float(i % 5)) for i in range(40)] + [(40, "a", 900.0), (41, None, 900.0), (42, "a", None)]
     got = {r["k"]: r["is_outlier"] for r in C.outlier_flag_by(spark.createDataFrame(rows, "k int, g string, y double"), "y", "g").collect()}
     assert len(got) == 43 and {k for k, v in got.items() if v} == {40, 41}
+
+
+def test_random_forest_has_no_shallow_limit(spark, monkeypatch):
+    """Trees of the query and of the operator's default go as deep as Spark allows."""
+    made = []
+
+    class Stop(Exception):
+        pass
+
+    def stand_in(**settings):
+        made.append(settings)
+        raise Stop
+
+    monkeypatch.setattr(classify, "RandomForestClassifier", stand_in)
+    with pytest.raises(Stop):
+        QUERIES["cls_06_random_forest"](spark, "/root/testdata/sf0.001")
+    with pytest.raises(Stop):
+        classify.random_forest(["x"], "y", ["id"])(None, None)
+    assert [(m["numTrees"], m["maxDepth"]) for m in made] == [(200, 30), (200, 30)]
+
+
+def test_random_forest_separates_more_than_64_leaves(spark):
+    rng = np.random.default_rng(11)
+    rows = [(16 * a + b, float(a), float(b), int(rng.integers(0, 2))) for a in range(16) for b in range(16)]
+    df = spark.createDataFrame(rows * 4, "id int, a double, b double, y int")
+    got = classify.random_forest(["a", "b"], "y", ["id"], trees=20)(df, df).collect()
+    assert np.mean([r["y"] == r["prediction"] for r in got]) > 0.97
