@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, minhash, mixing, packing, quotes, repeats, rules, spotsigs, suffix_tree
+from assaylake.llm import convnet, language, merkle, minhash, mixing, packing, quotes, repeats, rules, spotsigs, suffix_tree
 from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,64 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotes.linked_messages(quotes.as_mailbox(table(spark, sf_dir, "conversations")))
     return linked.select(F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("own_text"), "n_passages", "n_linked", F.col("parent").alias("parent_turn"), F.col("thread").alias("thread_turn"), "depth")
+
+
+def merkle_sql(levels: int = 7, arity: int = 16) -> str:
+    """The manifest level by level, for at most ``arity ** levels`` rows in a source."""
+    enc = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    byte = "CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT)"
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        "ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)",
+        f"""sums AS (SELECT doc_id, 0 AS i, 0 AS b, CAST(4294967295 AS BIGINT) AS c FROM ids
+            UNION ALL SELECT doc_id, CASE WHEN b = 0 THEN i + 1 ELSE i END, (b + 1) % 9,
+                CASE WHEN b = 0 THEN xor(c, CAST(ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1)) AS BIGINT)) ELSE {step} END
+            FROM sums WHERE b > 0 OR i < length(CAST(doc_id AS VARCHAR)))""",
+        "crc AS (SELECT doc_id, xor(c, 4294967295) AS crc FROM sums WHERE b = 0 AND i = length(CAST(doc_id AS VARCHAR)))",
+        f"hashed AS (SELECT d.doc_id, source, {leaf('text').replace('doc_id', 'd.doc_id')} AS leaf, CASE WHEN crc % 5 = 0 THEN {leaf(lower).replace('doc_id', 'd.doc_id')} END AS altered FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id)",
+        """a0 AS (SELECT doc_id, altered, leaf AS h, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM hashed)""",
+    ]
+
+    def climb(name: str, first: str) -> None:
+        for k in range(levels):
+            below = first if k == 0 else f"{name}{k}"
+            parts.append(
+                f"{name}{k + 1} AS (SELECT tree, place // {arity} AS place, CASE WHEN max(size) = 1 THEN 1 ELSE (max(size) + {arity - 1}) // {arity} END AS size, "
+                f"CASE WHEN max(size) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY place)) END AS h FROM {below} GROUP BY tree, place // {arity})"
+            )
+
+    climb("a", "a0")
+    parts.append(f"s0 AS (SELECT 1 AS tree, a.tree AS source_tree, a.h, row_number() OVER (ORDER BY a.tree) - 1 AS place, count(*) OVER () AS size FROM a{levels} a)")
+    climb("s", "s0")
+
+    def walk(name: str, first: str, start: str, columns: str) -> None:
+        """Siblings and the folded hash per level: w<k> holds the state below level k."""
+        parts.append(f"{name}w0 AS ({start})")
+        for k in range(levels):
+            below = first if k == 0 else f"{name}{k}"
+            left = f"coalesce((SELECT string_agg(o.h, '' ORDER BY o.place) FROM {below} o WHERE o.tree = w.tree AND o.place // {arity} = w.place // {arity} AND o.place < w.place), '')"
+            right = left.replace("o.place < w.place", "o.place > w.place")
+            parts.append(
+                f"{name}x{k} AS (SELECT w.*, {left} AS l, {right} AS r, (SELECT max(o.size) FROM {below} o WHERE o.tree = w.tree) AS level_size FROM {name}w{k} w)"
+            )
+            parts.append(
+                f"{name}w{k + 1} AS (SELECT tree, place // {arity} AS place, {columns}, proof || l || r AS proof, CASE WHEN level_size = 1 THEN f ELSE sha256(l || f || r) END AS f FROM {name}x{k})"
+            )
+
+    walk("a", "a0", "SELECT tree, place, tree AS source_tree, place AS leaf_place, doc_id, h AS leaf, '' AS proof, coalesce(altered, h) AS f FROM a0", "source_tree, leaf_place, doc_id, leaf")
+    walk(
+        "s", "s0", f"SELECT s0.tree, s0.place, w.doc_id, w.leaf, s0.h AS subroot, w.proof, w.f FROM aw{levels} w JOIN s0 ON s0.source_tree = w.source_tree", "doc_id, leaf, subroot",
+    )
+    return (
+        "WITH RECURSIVE " + ",\n".join(parts)
+        + f"\nSELECT w.doc_id, w.leaf, w.subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.f AS folded_root, w.f = t.h AS verified FROM sw{levels} w JOIN s{levels} t ON t.tree = w.tree"
+    )
+
+
+@query("op11_merkle_manifest", merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(documents(spark, sf_dir), F.coalesce(tampered, F.lit(False))).withColumnRenamed("key", "doc_id")
