@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, merkle, minhash, mixing, packing, quotes, repeats, rules, spotsigs, suffix_tree
+from assaylake.llm import convnet, language, merkle, minhash, mixing, packing, quotes, repeats, rules, spotsigs, suffix_tree, token_counts
 from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,10 @@ def merkle_sql(levels: int = 7, arity: int = 16) -> str:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.manifest(documents(spark, sf_dir), F.coalesce(tampered, F.lit(False))).withColumnRenamed("key", "doc_id")
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
