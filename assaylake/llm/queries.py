@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, merkle, minhash, mixing, packing, quotes, repeats, rules, spotsigs, suffix_tree, token_counts
+from assaylake.llm import convnet, language, merkle, minhash, mixing, packing, prefix_trie, quotes, repeats, rules, spotsigs, suffix_tree, token_counts
 from assaylake.llm.frames import bucket_of, documents, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,20 +109,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("own_text"), "n_passages", "n_linked", F.col("parent").alias("parent_turn"), F.col("thread").alias("thread_turn"), "depth")
 
 
+def crc_sql(table: str, column: str) -> str:
+    """CTEs ``sums`` and ``crc`` (the value and ``crc``) with the unsigned crc32 of the decimal text of every value of a whole-number column."""
+    text = f"CAST({column} AS VARCHAR)"
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"  # fixed value: the reversed polynomial
+    return f"""ids AS (SELECT DISTINCT {column} FROM {table} WHERE {column} IS NOT NULL),
+        sums AS (SELECT {column}, 0 AS i, 0 AS b, CAST(4294967295 AS BIGINT) AS c FROM ids
+            UNION ALL SELECT {column}, CASE WHEN b = 0 THEN i + 1 ELSE i END, (b + 1) % 9,
+                CASE WHEN b = 0 THEN xor(c, CAST(ascii(substr({text}, i + 1, 1)) AS BIGINT)) ELSE {step} END
+            FROM sums WHERE b > 0 OR i < length({text})),
+        crc AS (SELECT {column}, xor(c, 4294967295) AS crc FROM sums WHERE b = 0 AND i = length({text}))"""
+
+
 def merkle_sql(levels: int = 7, arity: int = 16) -> str:
     """The manifest level by level, for at most ``arity ** levels`` rows in a source."""
     enc = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
     leaf = lambda text: "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
-    byte = "CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT)"
-    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     parts = [
-        "ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)",
-        f"""sums AS (SELECT doc_id, 0 AS i, 0 AS b, CAST(4294967295 AS BIGINT) AS c FROM ids
-            UNION ALL SELECT doc_id, CASE WHEN b = 0 THEN i + 1 ELSE i END, (b + 1) % 9,
-                CASE WHEN b = 0 THEN xor(c, CAST(ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1)) AS BIGINT)) ELSE {step} END
-            FROM sums WHERE b > 0 OR i < length(CAST(doc_id AS VARCHAR)))""",
-        "crc AS (SELECT doc_id, xor(c, 4294967295) AS crc FROM sums WHERE b = 0 AND i = length(CAST(doc_id AS VARCHAR)))",
+        crc_sql("documents", "doc_id"),
         f"hashed AS (SELECT d.doc_id, source, {leaf('text').replace('doc_id', 'd.doc_id')} AS leaf, CASE WHEN crc % 5 = 0 THEN {leaf(lower).replace('doc_id', 'd.doc_id')} END AS altered FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id)",
         """a0 AS (SELECT doc_id, altered, leaf AS h, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM hashed)""",
@@ -175,3 +180,30 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op13_prefix_trie",
+    rf"""
+    WITH RECURSIVE {crc_sql("conversations", "conv_id")},
+    t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+    hashed AS (SELECT conv_id, turn, sha256(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || text) AS hash, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM t),
+    own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, hash) AS pos FROM hashed),
+    c AS (SELECT conv_id, crc % 4 AS h, conv_id - conv_id % 20 AS donor, (SELECT count(*) FROM own o WHERE o.conv_id = crc.conv_id - crc.conv_id % 20 AND o.pos <= crc.crc % 4) AS got FROM crc),
+    r AS (SELECT c.conv_id, o.pos, o.hash, o.words FROM c JOIN own o ON o.conv_id = c.donor AND o.pos <= c.h
+          UNION ALL SELECT c.conv_id, c.got + o.pos - c.h, o.hash, o.words FROM c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h),
+    steps AS (SELECT c.conv_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS words, '' AS path, count(r.pos) AS length FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+          UNION ALL SELECT r.conv_id, r.pos, r.words, string_agg(r.hash, '') OVER (PARTITION BY r.conv_id ORDER BY r.pos), count(*) OVER (PARTITION BY r.conv_id) FROM r),
+    n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+                 sha256(coalesce(string_agg(CASE WHEN length = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM steps GROUP BY path, depth),
+    k AS (SELECT n.path, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n d WHERE d.depth = n.depth + 1 AND left(d.path, length(n.path)) = n.path) AS n_children
+          FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.path = left(n.path, length(n.path) - 64)),
+    s AS (SELECT n.path, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((d.n_convs - 1) * d.words) AS saved_tokens
+          FROM n JOIN n d ON left(d.path, length(n.path)) = n.path JOIN k ON k.path = d.path GROUP BY n.path)
+    SELECT n.conv_id, n.depth, k.parent_conv_id, n.n_convs, CAST(k.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM n JOIN k ON k.path = n.path JOIN s ON s.path = n.path
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).cast("int")
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations"), F.col("conv") - F.col("conv") % 20, given, 3))
