@@ -4,12 +4,10 @@
    document posterior probabilities of the domains (multinomial logistic
    regression on the presence of tokens tied to a domain and three shape features).
 2. Nonnegative rates per document are fitted so that expected domain totals
-   sum(rate * tokens * posterior) match the targets: least squares, and of all
-   optima the one nearest to rate 1 (a pull towards 1 in the limit of none).
-   At the optimum a rate is 1 - posterior . multipliers, projected to the
-   allowed rates, with one multiplier per domain. Newton steps with a line
-   search find the multipliers. Every step is one Spark aggregate of a few
-   numbers per pair of domains; no per-document state is kept between steps.
+   sum(rate * tokens * posterior) match the targets: least squares, a miss
+   measured by the supply of its domains, by projected gradient from rate 1 on. A gradient
+   is a few numbers per domain, so a step is one Spark aggregate, and a document's
+   rate is found again from the list of steps: no per-document state is kept.
 
 Special cases: a null or empty text has no tokens; its rate follows its
 posterior like any other but moves no total. Without labels of at least two
@@ -35,6 +33,7 @@ _KIND = np.full(256, 1, np.int8)  # letters, digits and all bytes above ASCII
 _KIND[:128] = [1 if chr(b).isalnum() else 2 for b in range(128)]  # punctuation runs are tokens too
 _KIND[WHITE] = 0
 ROWS_A_TASK = 100_000
+FLAT = 1e-6  # smallest eigenvalue of the domains' correlation that counts, relative to the largest
 TARGET_TOLERANCE = 1e-3  # of a domain's own target; a larger miss is a warning of ``mix``
 
 
@@ -165,92 +164,120 @@ def posteriors(docs: DataFrame, model: DomainModel, *, text: str = "text", key:
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {key_type}, n_tokens bigint, posterior array<double>")
 
 
-def rate_of(p: np.ndarray, multipliers: np.ndarray, max_rate: float | None) -> np.ndarray:
-    """Rates of rows with posteriors ``p``: 1 less the domains' multipliers, cut to what is allowed."""
-    return np.clip(1 - p @ multipliers, 0, max_rate)
+@dataclass(frozen=True)
+class RateSteps:
+    """The way from rate 1 to the fitted rates: what every step takes off per unit of posterior, and the momentum behind it."""
 
+    gradients: np.ndarray  # (steps, domains)
+    momentum: np.ndarray  # (steps,)
+    shrink: float = 0.0  # share of its distance to 1 that a rate loses per step (the pull)
 
-def _evaluate(table: DataFrame, tries: np.ndarray, max_rate: float | None) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """For each row of multipliers: the documents' part of the dual, expected tokens per domain, and its curvature.
+    def follow(self, p: np.ndarray, max_rate: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rates of rows with posteriors ``p``: the point where the next gradient is taken, the last rates, and those before."""
+        ahead, rate, earlier = (np.ones(len(p)) for _ in range(3))
+        for gradient, momentum in zip(self.gradients, self.momentum):
+            earlier = rate
+            rate = np.clip(ahead - p @ gradient - self.shrink * (ahead - 1), 0, max_rate)
+            ahead = rate + momentum * (rate - earlier)
+        return ahead, rate, earlier
 
-    One partial sum per task and number, added up by Spark.
-    """
-    m, k = tries.shape
-    most = np.inf if max_rate is None else max_rate
 
+def rate_of(p: np.ndarray, steps: RateSteps, max_rate: float | None) -> np.ndarray:
+    """Rates of rows with posteriors ``p``."""
+    return steps.follow(p, max_rate)[1]
+
+
+def _aggregate(table: DataFrame, size: int, values) -> np.ndarray:
+    """Sum over all rows of ``values(posteriors, tokens)``, ``size`` numbers; one partial sum per task and number, added up by Spark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums_ = np.zeros((m, 1 + k + k * k))
+        total = np.zeros(size)
         for batch in batches:
-            p = batch.column(1).flatten().to_numpy().reshape(-1, k)
             n = batch.column(0).to_numpy().astype(np.float64)
-            for at, multipliers in enumerate(tries):
-                plain = 1 - p @ multipliers
-                rate = np.clip(plain, 0, most)
-                free = np.where((plain > 0) & (plain < most), n, 0.0)
-                sums_[at, 0] += n @ (rate * (plain - rate / 2))
-                sums_[at, 1 : 1 + k] += (n * rate) @ p
-                sums_[at, 1 + k :] += ((p * free[:, None]).T @ p).reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums_.size)), pa.array(sums_.reshape(-1))], names=["at", "value"])
-
-    rows = table.select("n_tokens", "posterior").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(m * (1 + k + k * k))
-    for r in rows:
+            if len(n):
+                total += values(batch.column(1).flatten().to_numpy().reshape(len(n), -1), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["at", "value"])
+
+    out = np.zeros(size)
+    for r in table.select("n_tokens", "posterior").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
         out[r["at"]] = r["value"]
-    return [(float(o[0]), o[1 : 1 + k], o[1 + k :].reshape(k, k)) for o in out.reshape(m, -1)]
+    return out
 
 
-def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], *, total: float | None = None, pull: float | None = None, max_rate: float | None = None, rounds: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Multipliers of the domains, and the expected and wanted tokens per domain.
+def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], *, total: float | None = None, pull: float = 0.0, max_rate: float | None = None, rounds: int = 200, tolerance: float = 1e-4) -> tuple[RateSteps, np.ndarray, np.ndarray]:
+    """The steps to the fitted rates, and the expected and wanted tokens per domain.
 
     ``targets`` are shares per domain (missing: 0) of ``total`` tokens; ``total``
-    None means the expected tokens of the domains with a target. ``pull`` None
-    means the limit of no pull: it falls by tens to a hundredth of ``tolerance``
-    times the share of the scarcest domain, so how common a domain is does not matter.
-    The work ends when the conditions of the optimum hold for every domain to
-    ``tolerance`` of its own wanted and given tokens; else it raises. Targets
-    that no rates can reach are missed by as little as possible, which the
-    expected tokens show. Every round reads the table once, in few large
-    partitions (about ``ROWS_A_TASK`` rows), because a row costs next to nothing.
+    None means the expected tokens of the domains with a target. What is made
+    small is miss' G^-1 miss + pull * sum over documents tokens * (rate - 1)^2,
+    with the miss = expected - wanted and G = sum of tokens * posterior posterior'.
+    In that measure a miss counts by how far rates would have to move for it, so
+    how common a domain is does not matter, and without bounds on the rates one step
+    arrives. Steps carry momentum, which starts anew when the objective rises.
+
+    The work ends when all targets are met to ``tolerance`` of their domain's
+    wanted and given tokens, or when a step without momentum moves no domain by
+    more (then the targets are out of reach and missed by as little as
+    possible), or after ``rounds``. The best rates met are returned in any case;
+    the expected tokens show what they reach. Every round reads the table once,
+    in few large partitions (about ``ROWS_A_TASK`` rows).
     """
     k = len(model.domains)
     table = table.coalesce(max(1, -(-table.count() // ROWS_A_TASK)))
-    here = np.zeros(k)
-    state = _evaluate(table, here[None], max_rate)[0]
-    supply = state[1]
+    first = _aggregate(table, k + k * k, lambda p, n: np.concatenate([n @ p, ((p * n[:, None]).T @ p).reshape(-1)]))
+    supply, cross = first[:k], first[k:].reshape(k, k)
     share = np.array([targets.get(name, 0.0) for name in model.domains])
+    none = RateSteps(np.zeros((0, k)), np.zeros(0))
     if share.sum() <= 0 or supply.sum() <= 0:
-        return here, supply, supply
+        return none, supply, supply
     share = share / share.sum()
     wanted = share * (supply[share > 0].sum() if total is None else total)
-    whole = supply.sum()
-    least = 0.01 * tolerance * supply[supply > 0].min() / whole if pull is None else pull
-    weight = least if pull is not None else max(least, 0.01)
-    allowed = tolerance * np.maximum(np.maximum(supply, wanted), 1e-12 * whole)
+    own = np.sqrt(np.maximum(np.diag(cross), 1e-12 * supply.sum()))
+    values, vectors = np.linalg.eigh(cross / own[:, None] / own)
+    inverse = (vectors / np.maximum(values, FLAT * values.max())) @ vectors.T / own[:, None] / own
+    step = 1 / (1 + pull)
+    allowed = tolerance * np.maximum(np.maximum(supply, wanted), 1e-12 * supply.sum())
+
+    gradients, momentum = [], []
+    ahead, reached, strayed = supply, supply, 0.0
+    best, best_value, age = (none, supply), np.inf, 1.0
+    value_before = float((supply - wanted) @ inverse @ (supply - wanted))
     for _ in range(rounds):
-        slope = wanted - state[1] + weight * whole * here
-        if (np.abs(slope) <= allowed).all():
-            if weight <= least:
-                return here, state[1], wanted
-            # Unreachable targets: the multipliers grow as the pull falls; both guesses are tried.
-            weight = max(least, weight / 10)
-            tries = np.stack([here, here * 3, here * 10])
+        if not pull and (np.abs(reached - wanted) <= allowed).all():
+            break
+        gradients.append(step * inverse @ (ahead - wanted))
+        following = (1 + np.sqrt(1 + 4 * age * age)) / 2
+        momentum.append((age - 1) / following)
+        steps = RateSteps(np.array(gradients), np.array(momentum), step * pull)
+
+        def sums_of(p: np.ndarray, n: np.ndarray, steps: RateSteps = steps) -> np.ndarray:
+            here, rate, earlier = steps.follow(p, max_rate)
+            return np.concatenate([(n * here) @ p, (n * rate) @ p, (n * np.abs(rate - earlier)) @ p, [n @ (rate - 1) ** 2]])
+
+        found = _aggregate(table, 3 * k + 1, sums_of)
+        ahead, reached, moved, strayed = found[:k], found[k : 2 * k], found[2 * k : 3 * k], float(found[-1])
+        value = float((reached - wanted) @ inverse @ (reached - wanted)) + pull * strayed
+        if value < best_value:
+            best, best_value = (steps, reached), value
+        plain = len(momentum) == 1 or momentum[-2] == 0  # the last step began where the rates were
+        still = (moved <= allowed).all()
+        if still and plain:
+            break
+        if still or value > value_before:
+            age, momentum[-1], ahead = 1.0, 0.0, reached
         else:
-            step = -np.linalg.solve(state[2] + weight * whole * np.eye(k), slope)
-            tries = here + step * 0.5 ** np.array([0, 1, 2, 3, 5, 7, 10, 14, 20])[:, None]
-        found = _evaluate(table, tries, max_rate)
-        best = int(np.argmin([f[0] + wanted @ x + weight * whole * (x @ x) / 2 for f, x in zip(found, tries)]))
-        here, state = tries[best], found[best]
-    raise RuntimeError(f"rates not fitted after {rounds} rounds: off by {slope.tolist()} tokens, allowed {allowed.tolist()}")
+            age = following
+        value_before = value
+    return (*best, wanted) if best_value < np.inf else (none, reached, wanted)
 
 
-def rates(table: DataFrame, multipliers: np.ndarray, domains: int, *, key: str = "doc_id", pull: float | None = None, max_rate: float | None = None) -> DataFrame:
-    """Adds ``rate`` to the posterior table; the multipliers of ``fit_rates`` hold its ``pull`` already."""
+def rates(table: DataFrame, steps: RateSteps, domains: int, *, key: str = "doc_id", max_rate: float | None = None) -> DataFrame:
+    """Adds ``rate`` to the posterior table."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", rate double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(2).flatten().to_numpy().reshape(-1, domains)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate_of(p, multipliers, max_rate))], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate_of(p, steps, max_rate))], names=[*batch.schema.names, "rate"])
 
     return table.mapInArrow(run, schema)
 
@@ -267,7 +294,7 @@ class DomainTotal:
         return abs(self.reached - self.wanted) / max(self.wanted, 1.0)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain: str = "domain", total: float | None = None, total_share: float | None = None, pull: float | None = None, max_rate: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain: str = "domain", total: float | None = None, total_share: float | None = None, pull: float = 0.0, max_rate: float | None = None) -> DataFrame:
     """The documents of ``mix_with_totals``; a warning names targets that are missed."""
     out, totals = mix_with_totals(docs, labels, targets, domain=domain, total=total, total_share=total_share, pull=pull, max_rate=max_rate)
     missed = [t for t in totals if t.missed > TARGET_TOLERANCE]
@@ -276,7 +303,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain
     return out
 
 
-def mix_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain: str = "domain", total: float | None = None, total_share: float | None = None, pull: float | None = None, max_rate: float | None = None) -> tuple[DataFrame, list[DomainTotal]]:
+def mix_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, domain: str = "domain", total: float | None = None, total_share: float | None = None, pull: float = 0.0, max_rate: float | None = None) -> tuple[DataFrame, list[DomainTotal]]:
     """(doc_id, n_tokens, posterior, domain, rate, copies) for every document, and reached and wanted tokens per domain.
 
     ``total_share``: target total as a share of all tokens. ``domain`` is the
@@ -290,8 +317,8 @@ def mix_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, float
     table = written(posteriors(docs, model), "posteriors")
     if total_share is not None:
         total = total_share * float(table.agg(F.sum("n_tokens")).first()[0] or 0)
-    multipliers, reached, wanted = fit_rates(table, model, targets, total=total, pull=pull, max_rate=max_rate)
-    out = rates(table, multipliers, len(model.domains), max_rate=max_rate)
+    steps, reached, wanted = fit_rates(table, model, targets, total=total, pull=pull, max_rate=max_rate)
+    out = rates(table, steps, len(model.domains), max_rate=max_rate)
     names = F.array(*[F.lit(n) for n in model.domains])
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(29)), F.lit(1_000_000)) / F.lit(1e6)
     result = out.select(
@@ -300,9 +327,9 @@ def mix_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, float
     return result, [DomainTotal(n, float(r), float(w)) for n, r, w in zip(model.domains, reached, wanted)]
 
 
-def realise(docs: DataFrame, model: DomainModel, multipliers: np.ndarray, *, text: str = "text", max_rate: float | None = 1.0, least: float = 0.5) -> DataFrame:
+def realise(docs: DataFrame, model: DomainModel, steps: RateSteps, *, text: str = "text", max_rate: float | None = 1.0, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose rate is at least ``least``, with all their columns; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, multipliers))
+    shared = docs.sparkSession.sparkContext.broadcast((model, steps))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,9 +65,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_tree_scores")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    train = bucket_of("doc_id", 10) != 0
-    tree = suffix_tree.fit(docs.where(train))
-    return suffix_tree.score(docs, tree, train).withColumn("held_out", bucket_of("doc_id", 10) == 0)
+    corpus = suffix_tree.gather(docs, bucket_of("doc_id", 10) != 0)
+    return suffix_tree.score(corpus, suffix_tree.fit(corpus)).withColumn("held_out", bucket_of("doc_id", 10) == 0)
 
 
 @query("op2_spotsigs_fingerprints")

@@ -89,7 +89,61 @@ def test_mixing_reaches_targets(spark):
     words = {x["doc_id"]: len((x["text"] or "").encode().split()) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     assert {x["doc_id"]: x["n_tokens"] for x in rows} == words
     assert r.min() >= 0 and np.allclose(p.sum(axis=1), 1)
-    assert np.allclose((r * n) @ p / n.sum(), [0.9, 0.05, 0.05], atol=0.01)
+    assert np.allclose((r * n) @ p / n.sum(), [0.9, 0.05, 0.05], rtol=1e-3)
+
+
+def measure_of(p, n):
+    """How a miss counts: the inverse of the sum of tokens * posterior posterior', flat directions apart."""
+    own = np.sqrt(np.maximum(np.diag((p * n[:, None]).T @ p), 1e-12 * n.sum()))
+    values, vectors = np.linalg.eigh((p * n[:, None]).T @ p / own[:, None] / own)
+    return (vectors / np.maximum(values, mixing.FLAT * values.max())) @ vectors.T / own[:, None] / own
+
+
+def in_process(monkeypatch, p, n):
+    """``fit_rates`` on plain arrays."""
+    monkeypatch.setattr(mixing, "_aggregate", lambda _table, size, values: values(p, n) if len(n) else np.zeros(size))
+    return type("Rows", (), {"count": lambda self: len(n), "coalesce": lambda self, k: self})()
+
+
+def model_of(k):
+    return mixing.DomainModel(tuple("abcd"[:k]), np.zeros(0, np.uint64), np.zeros((0, k)), np.zeros((4, k)))
+
+
+def slow_optimum(p, n, wanted, most):
+    """The objective after very many plain projected steps."""
+    w, rate = measure_of(p, n), np.ones(len(n))
+    for _ in range(30_000):
+        further = np.clip(rate - p @ (w @ ((n * rate) @ p - wanted)), 0, most)
+        if np.abs(further - rate).max() < 1e-12:
+            break
+        rate = further
+    miss = (n * rate) @ p - wanted
+    return miss @ w @ miss
+
+
+def test_rates_of_1000_small_tables(monkeypatch):
+    """One-sided, tiny, sharp and flat tables, capped or not: rates come back for all, and are the best there are."""
+    rng = np.random.default_rng(11)
+    for trial in range(1000):
+        k, m = int(rng.integers(2, 5)), int(rng.integers(0, 30))
+        p = rng.dirichlet(np.full(k, rng.choice([0.02, 0.1, 0.5, 2.0])), m) if rng.random() < 0.8 else np.eye(k)[rng.integers(0, k, m)]
+        n = rng.integers(0, 500, m).astype(float)
+        most = rng.choice([None, 1.0, 4.0])
+        targets = dict(zip("abcd", rng.dirichlet(np.full(k, 0.5)))) if rng.random() < 0.7 else {"a": 1.0}
+        steps, reached, wanted = mixing.fit_rates(in_process(monkeypatch, p, n), model_of(k), targets, total=rng.choice([None, n.sum()]), max_rate=most)
+        if not n.sum():
+            continue
+        rate = mixing.rate_of(p, steps, most)
+        assert rate.min() >= 0 and (most is None or rate.max() <= most) and np.allclose((n * rate) @ p, reached)
+        if trial % 25 == 0:
+            miss, w = reached - wanted, measure_of(p, n)
+            assert np.sqrt(miss @ w @ miss) <= np.sqrt(slow_optimum(p, n, wanted, np.inf if most is None else most)) + 0.02 * np.sqrt(wanted @ w @ wanted)
+
+
+def test_a_target_out_of_reach_is_missed_by_as_little_as_possible(monkeypatch):
+    p, n = np.eye(2)[[0, 1, 1, 1, 1]], np.full(5, 100.0)
+    steps, reached, wanted = mixing.fit_rates(in_process(monkeypatch, p, n), model_of(2), {"a": 0.6, "b": 0.4}, total=500.0, max_rate=1.0)
+    assert np.allclose(reached, [100, 200]) and np.allclose(wanted, [300, 200])
 
 
 def test_projected_gradient_is_the_least_squares_optimum(spark):
@@ -99,8 +153,8 @@ def test_projected_gradient_is_the_least_squares_optimum(spark):
     df = spark.createDataFrame([(int(k), int(a), [float(x) for x in b]) for k, (a, b) in enumerate(zip(n, p))], "doc_id bigint, n_tokens bigint, posterior array<double>")
     model = mixing.DomainModel(("a", "b", "c"), np.zeros(0, np.uint64), np.zeros((0, 3)), np.zeros((4, 3)))
     steps, reached, wanted = mixing.fit_rates(df, model, {"a": 0.7, "b": 0.3}, total=float(n.sum()), pull=0.05, max_rate=2.0, rounds=200, tolerance=1e-9)
-    rate = np.array([r["rate"] for r in sorted(mixing.rates(df, steps, 3, pull=0.05, max_rate=2.0).collect(), key=lambda r: r["doc_id"])])
-    slope = p @ ((n * rate) @ p - wanted) / n.sum() + 0.05 * (rate - 1)
+    rate = np.array([r["rate"] for r in sorted(mixing.rates(df, steps, 3, max_rate=2.0).collect(), key=lambda r: r["doc_id"])])
+    slope = p @ (measure_of(p, n) @ ((n * rate) @ p - wanted)) + 0.05 * (rate - 1)
     inner = (rate > 1e-6) & (rate < 2 - 1e-6)
     assert np.abs(slope[inner]).max() < 1e-3 and (slope[rate <= 1e-6] > -1e-3).all() and (slope[rate >= 2 - 1e-6] < 1e-3).all()
     assert np.allclose(reached, (n * rate) @ p)

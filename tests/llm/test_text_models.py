@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from assaylake.llm import convnet, language, queries, rules, suffix_tree
 from assaylake.llm.frames import bucket_of
@@ -181,39 +183,107 @@ def brute_base(rows):
     return {k: (len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for k, ws in token.items()}
 
 
-def test_suffix_tree_against_brute_force(spark):
-    df = awkward(spark)
+def symbols(text):
+    return [w.lower() for w in (text or "").encode().split()] + [b"\n"]
+
+
+def brute_tree(rows, depth, least, divergence, discount=0.5):
+    """Scores by a plain dictionary version: all grams counted, smoothed and pruned in floats."""
+    base_of = Counter(w for k, t in rows if held(k, 10) for w in symbols(t))
+    n, v = sum(base_of.values()), len(base_of)
+    count, inside = Counter(), Counter()
+    for k, t in rows:
+        if held(k, 10):
+            s = [b"\n", *symbols(t)]
+            for i in range(1, len(s)):
+                for d in range(1, min(i, depth) + 1):
+                    count[tuple(s[i - d : i + 1])] += 1
+                    inside[tuple(s[i - d : i])] += 1
+    kept = {}
+    for g, c in count.items():
+        if c >= least:
+            kept.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(context, w):
+        if not context:
+            return (base_of[w] + 0.1) / (n + 0.1 * (v + 1))
+        shorter, here = p(context[1:], w), kept.get(context)
+        if here is None:
+            return shorter
+        m = inside[context]
+        return (here[w] - discount if w in here else 0) / m + (m - sum(here.values()) + discount * len(here)) / m * shorter
+
+    retained = {c for c, here in kept.items() if sum(x * math.log(x / inside[c] / p(c[1:], w)) for w, x in here.items()) >= divergence}
+    retained |= {c[k:] for c in retained for k in range(1, len(c))}
+    out = {}
+    for k, t in rows:
+        s, total = [b"\n", *symbols(t)], 0.0
+        for i in range(1, len(s)):
+            d = max((d for d in range(min(i, depth) + 1) if d == 0 or tuple(s[i - d : i]) in retained))
+            total += math.log10(p(tuple(s[i - d : i]), s[i]))
+        out[k] = total
+    return out
+
+
+def prose(spark, n, seed=6):
+    """Texts that share passages, and a text of many pieces' length with repeated parts."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(60)]
+    passages = [" ".join(rng.choice(words, 12)) for _ in range(4)]
+    text = lambda m: " ".join(str(rng.choice(words)) if rng.random() < 0.7 else str(rng.choice(passages)) for _ in range(m))
+    return spark.createDataFrame([(k, text(30)) for k in range(n)] + [(n, None), (n + 1, "")], "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_suffix_tree_against_brute_force(spark, broadcast):
     train = bucket_of("doc_id", 10) != 0
-    tree = suffix_tree.fit(df.where(train), depth=3, p_min=1e-3)
-    got = {r["doc_id"]: r for r in suffix_tree.score(df, tree, train, block_bytes=50_000).collect()}
-    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    for k, want in brute_base(rows).items():
-        g = got[k]
-        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == want[:3] and g["base_score"] == pytest.approx(want[3], rel=1e-9)
-    for k, text in rows[:12]:
-        stream = b"\n" * 3 + b" ".join((text or "").encode().lower().split()) + b"\n"
-        total = 0.0
-        for i in range(3, len(stream)):
-            state = 1
-            for back in range(1, 4):
-                further = tree.child[state, stream[i - back]]
-                if further == 0:
-                    break
-                state = further
-            total += tree.logp[state, stream[i]]
-        assert got[k]["score"] == pytest.approx(total, rel=1e-5)
-    assert np.allclose((10.0 ** tree.logp).sum(axis=1), 1, atol=1e-3)
+    for df in (prose(spark, 80), awkward(spark).limit(13).unionByName(awkward(spark).where("doc_id > 13"))):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        corpus = suffix_tree.gather(df, train, block_bytes=5_000)
+        tree = suffix_tree.fit(corpus, depth=3, least=3, divergence=4.0, broadcast=broadcast)
+        got = {r["doc_id"]: r for r in suffix_tree.score(corpus, tree, broadcast=broadcast).collect()}
+        want = brute_tree(rows, 3, 3, 4.0)
+        assert tree.size > 0
+        for k, b in brute_base(rows).items():
+            g = got[k]
+            assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == b[:3] and g["base_score"] == pytest.approx(b[3], rel=1e-9)
+            assert g["score"] == pytest.approx(want[k], rel=1e-5)
+
+
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
+    text = " ".join(f"w{k * k % 97}" for k in range(3000))
+    column = pa.array(["short one", text, None], pa.string())
+    whole = [(i, r.symbol[r.own], [c[r.own] for c, _ in r.grams(3)], r.place[r.own]) for i, _, r in suffix_tree.runs(column, 4)]
+    monkeypatch.setattr(suffix_tree, "PIECE", 500)
+    cut = [(i, r.symbol[r.own], [c[r.own] for c, _ in r.grams(3)], r.place[r.own]) for i, _, r in suffix_tree.runs(column, 4)]
+    assert len(cut) > 10
+    glue = lambda parts, at: np.concatenate([p[at] for p in parts])
+    assert (glue(whole, 1) == glue(cut, 1)).all() and (glue(whole, 3) == glue(cut, 3)).all()
+    for d in range(4):
+        a, b = (np.concatenate([p[2][d] for p in parts]) for parts in (whole, cut))
+        there = glue(whole, 3) >= d
+        assert (a[there] == b[there]).all()
 
 
 def test_suffix_tree_cases(spark):
     train = bucket_of("doc_id", 10) != 0
-    tree = suffix_tree.fit(empty(spark))
-    assert suffix_tree.score(empty(spark), tree, train).count() == 0
-    assert np.allclose(tree.logp, math.log10(1 / 256), atol=1e-6)
+    corpus = suffix_tree.gather(empty(spark), train)
+    tree = suffix_tree.fit(corpus)
+    assert tree.size == 0 and suffix_tree.score(corpus, tree).count() == 0
+    corpus = suffix_tree.gather(prose(spark, 3).where("doc_id < 3"), F.lit(False))
+    rows = suffix_tree.score(corpus, suffix_tree.fit(corpus)).collect()
+    assert len(rows) == 3 and all(r["score"] == pytest.approx(r["base_score"]) for r in rows)
     df = awkward(spark, with_null_id=True)
-    assert suffix_tree.score(df, tree, train).count() == df.count()
+    corpus = suffix_tree.gather(df, train)
+    assert suffix_tree.score(corpus, suffix_tree.fit(corpus)).count() == df.count()
+
+
+def test_suffix_tree_grows_with_the_input(spark):
+    size = [suffix_tree.fit(suffix_tree.gather(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), F.lit(True))).size for sf in ("sf0.001", "sf0.01", "sf0.1")]
+    assert size[1] > 4 * size[0] and size[2] > 6 * size[1]
 
 
-def test_suffix_tree_beats_the_base_on_held_out_text(spark):
-    rows = [r for r in queries.QUERIES["op10_suffix_tree_scores"](spark, SF).collect() if r["held_out"]]
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_suffix_tree_beats_the_base_on_held_out_text(spark, scale):
+    rows = queries.QUERIES["op10_suffix_tree_scores"](spark, f"/root/testdata/{scale}").where("held_out").collect()
     assert rows and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
