@@ -86,17 +86,20 @@ def levels(nodes: DataFrame, largest: int, arity: int = ARITY) -> list[DataFrame
 _PATH = "array<struct<left:string,right:string>>"
 
 
-def paths(above: list[DataFrame], tops: DataFrame, arity: int = ARITY, keep: tuple[str, ...] = ()) -> DataFrame:
+def paths(above: list[DataFrame], tops: DataFrame | None = None, arity: int = ARITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``path`` (siblings per level up to the root, left and right of the way) and the columns of ``tops`` to the nodes of the lowest level.
 
-    ``tops``: (tree, path, further columns) for the only node of every tree's last level.
+    ``tops``: (tree, path, further columns) for the only node of every tree's
+    last level; without it paths end there.
     """
     down: DataFrame | None = None
-    further = [c for c in tops.columns if c not in ("tree", "path")]
+    further = [c for c in tops.columns if c not in ("tree", "path")] if tops is not None else []
     for number in range(len(above) - 1, -1, -1):
         extra = list(keep) if number == 0 else []
         nodes = above[number]
-        ends = nodes.where("size = 1").join(tops, "tree").select("tree", "place", "hash", *extra, "path", *further)
+        last = nodes.where("size = 1")
+        last = last.join(tops, "tree") if tops is not None else last.withColumn("path", F.array().cast(_PATH))
+        ends = last.select("tree", "place", "hash", *extra, "path", *further)
         if down is not None:
             up = down.select(F.col("tree").alias("up_tree"), F.col("place").alias("up_place"), F.col("path").alias("up_path"), *further)
             rows = with_siblings(nodes.where("size > 1"), arity).join(up, (F.col("tree") == F.col("up_tree")) & (F.col("run") == F.col("up_place")))
@@ -130,8 +133,7 @@ def manifest(docs: DataFrame, tampered: Column, *, arity: int = ARITY, **names)
     ), "subroots")
     over_sources = levels(numbered, numbered.count(), arity)
     root = over_sources[-1].where("size = 1").select("hash").first()
-    top = numbered.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("tree"), F.array().cast(_PATH).alias("path"))
-    tops = paths(over_sources, top, arity, keep=("source_tree",)).select(F.col("source_tree").alias("tree"), "path", F.col("hash").alias("subroot"))
+    tops = paths(over_sources, arity=arity, keep=("source_tree",)).select(F.col("source_tree").alias("tree"), "path", F.col("hash").alias("subroot"))
     found = paths(per_source, tops, arity, keep=("key", "altered"))
     total = F.lit(root["hash"] if root else None).cast("string")
     siblings = F.array_join(F.transform("path", lambda p: F.concat(p["left"], p["right"])), "")

@@ -5,15 +5,15 @@
 2. ``pack`` deals the pieces (ids and lengths only, never tokens) to partitions
    of about ``per_partition`` and runs best-fit decreasing in each. The largest
    lower bound over families of dual-feasible functions certifies the number of
-   bins of a partition: a partition that meets its bound needs no more work on
-   its own.
-3. Bins with gaps are opened: their pieces are exchanged between partitions and
-   packed again with best-fit decreasing, as long as the total falls.
+   bins of a partition: one that meets its bound leaves, all but its emptiest bin.
+3. All other bins with any gap are opened: their pieces are exchanged between
+   partitions and packed again with best-fit decreasing, until the total meets the
+   bound of the whole table or stops falling.
 
 Special cases: a null or empty text is one piece that holds the closing id. An
 empty table gives an empty result. Repeated documents (also repeated ids) are
-packed one by one. Ties of equal lengths go by a hash of id and piece, then in
-the order of arrival; any of these placements is a right result. Other columns
+packed one by one. Ties of equal lengths go in the order of arrival; any of these
+placements is a right result. Other columns
 of the input are ignored.
 """
 
@@ -108,25 +108,39 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _round(pieces: DataFrame, key: str, capacity: int, parts: int, number: int) -> DataFrame:
-    """One round of dealing and best-fit decreasing; adds sequence_id, offset, gap and certified."""
-    deal = F.pmod(F.xxhash64(F.col(key).cast("string"), "piece", F.lit(number)), F.lit(parts))
+    """One round of dealing and best-fit decreasing; adds sequence_id, offset and open.
+
+    Rows are dealt by their place in the (written) table, so neither null ids nor
+    copies of one id meet in one group. ``open`` marks the bins that take part in
+    the next exchange: in a partition above its bound all bins with a gap, in a
+    certified one only the emptiest, because no packing of its own pieces needs
+    fewer bins and that one can only be saved with pieces from elsewhere.
+    """
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(parts))
     columns = pieces.columns
-    names = [*columns, "sequence_id", "offset", "gap", "certified"]
+    names = [*columns, "sequence_id", "offset", "open"]
 
     def run(group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
         bins, offsets = best_fit(lengths, capacity)
-        used = np.bincount(bins, weights=lengths).astype(np.int64)
-        certified = len(used) <= lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        open_ = takes_part(lengths, bins, capacity)
         part = group.column("part")[0].as_py()
         ids = (np.int64(number) << np.int64(56)) + (np.int64(part) << np.int64(24)) + bins
-        out = [group.column(c) for c in columns]
-        return pa.table([*out, pa.array(ids), pa.array(offsets), pa.array((capacity - used)[bins]), pa.array(np.full(len(bins), certified))], names=names)
+        return pa.table([*[group.column(c) for c in columns], pa.array(ids), pa.array(offsets), pa.array(open_[bins])], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint, gap bigint, certified boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint, open boolean"
     return pieces.withColumn("part", deal).groupBy("part").applyInArrow(run, schema)
 
 
+def takes_part(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Which bins of a partition go into the next exchange, by its certificate and their gaps."""
+    gap = capacity - np.bincount(bins, weights=lengths).astype(np.int64)
+    open_ = gap > 0
+    if len(gap) <= lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+        open_ &= np.arange(len(gap)) == gap.argmax()
+    return open_
+
+
 def bound(pieces: DataFrame, capacity: int) -> int:
     """Lower bound for the whole table, from at most ``capacity`` counters."""
     histogram = np.zeros(capacity + 1, np.int64)
@@ -135,34 +149,30 @@ def bound(pieces: DataFrame, capacity: int) -> int:
     return lower_bound(histogram, capacity)
 
 
-def pack(pieces: DataFrame, *, key: str = "doc_id", capacity: int = 2048, per_partition: int = 4000, rounds: int = 4, wide_gap: float = 0.004) -> DataFrame:
-    """Adds sequence_id and offset to a table with a ``length`` column (and ``piece`` for ties).
+def pack(pieces: DataFrame, *, key: str = "doc_id", capacity: int = 2048, per_partition: int = 4000) -> DataFrame:
+    """Adds sequence_id and offset to a written table with a ``length`` column.
 
-    After the first round a bin is opened if its gap is more than ``wide_gap`` of
-    the capacity; its pieces take part in the exchange. A round whose
-    result has no fewer bins than it opened is thrown away and ends the work. It
-    also ends when the total meets the bound of the whole table.
+    Rounds go on until the total meets the bound of the whole table or stops
+    falling; a round whose result has no fewer bins than it opened is thrown away.
     """
     total = pieces.count()
     least = bound(pieces, capacity)
     columns = pieces.columns
     done: list[DataFrame] = []
     current = written(_round(pieces, key, capacity, max(1, -(-total // per_partition)), 0), "packed")
-    opened = F.col("gap") > int(capacity * wide_gap)
-    closed = 0
-    for number in range(1, rounds):
-        size = current.agg(
-            F.count_distinct(F.when(opened, F.col("sequence_id"))).alias("open"), F.count_distinct("sequence_id").alias("bins"), F.count(F.when(opened, 1)).alias("rows")
-        ).first()
+    closed, number = 0, 0
+    while number < 127:  # the round's number has seven bits in a sequence id; every round saves a bin or ends the work
+        number += 1
+        size = current.agg(F.count_distinct(F.when(F.col("open"), F.col("sequence_id"))).alias("open"), F.count_distinct("sequence_id").alias("bins"), F.count(F.when(F.col("open"), 1)).alias("rows")).first()
         if size["open"] < 2 or closed + size["bins"] <= least:
             break
-        again = written(_round(current.where(opened).select(*columns), key, capacity, max(1, -(-size["rows"] // per_partition)), number), "packed")
+        again = written(_round(written(current.where("open").select(*columns), "opened"), key, capacity, max(1, -(-size["rows"] // per_partition)), number), "packed")
         if again.select("sequence_id").distinct().count() >= size["open"]:
             break
-        done.append(current.where(~opened))
+        done.append(current.where(~F.col("open")))
         closed += size["bins"] - size["open"]
         current = again
     out = current
     for part in done:
         out = out.unionByName(part)
-    return out.drop("gap", "certified")
+    return out.drop("open")

@@ -75,6 +75,30 @@ def test_bounds_and_best_fit():
     assert packing.lower_bound(np.bincount([7] * 10, minlength=13), 12) == 10  # no two fit together
 
 
+def test_certificates_and_gaps_choose_what_is_exchanged():
+    sizes = lambda *x: np.array(x)
+    full = sizes(10, 10, 6, 4)
+    assert not packing.takes_part(full, packing.best_fit(full, 10)[0], 10).any()
+    certified = sizes(9, 9, 3)  # three bins are the fewest; only the emptiest can still be saved
+    assert packing.takes_part(certified, packing.best_fit(certified, 10)[0], 10).tolist() == [False, False, True]
+    above = sizes(5, 4, 4, 3, 2, 2)  # two bins would do, best-fit decreasing takes three
+    bins = packing.best_fit(above, 10)[0]
+    assert bins.max() == 2 and packing.takes_part(above, bins, 10).sum() == (10 - np.bincount(bins, weights=above) > 0).sum() > 1
+
+
+def test_exchange_saves_bins_until_it_stops_falling(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 3 == 0 else 1, k, int(w)) for k, w in enumerate(rng.integers(1, 700, 3000))]
+    df = packing.written(spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint"), "t")
+    bins = lambda t: t.select("sequence_id").distinct().count()
+    kept = bins(packing.pack(df, per_partition=50))
+    least = packing.bound(df, 2048)
+    groups = [r["n"] for r in packing._round(df, "doc_id", 2048, 60, 0).selectExpr("shiftright(sequence_id, 24) AS part").groupBy("part").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()]
+    assert len(groups) == 60 and max(groups) < 100  # null and equal ids are spread
+    monkeypatch.setattr(packing, "takes_part", lambda lengths, bins, capacity: np.zeros(bins.max() + 1, bool))
+    assert kept < bins(packing.pack(df, per_partition=50)) and kept <= least * 1.01 + 1
+
+
 def test_packing_cases(spark):
     path, _ = tokenizer()
     assert packing.pack(packing.written(packing.tokenise(empty(spark), path), "t")).count() == 0
