@@ -15,6 +15,8 @@ from assaylake.llm import minhash, mixing, packing, repeats, rules
 from assaylake.llm.frames import documents, table, written
 from assaylake.llm.queries import domains_of
 
+PULL = 0.2  # weight of a document's distance to rate 1 against the domains' misses
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line model reject go."""
@@ -41,13 +43,15 @@ def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates that bring the mix to clean tokens only, at most 1; documents whose rate rounds to none go."""
+    """Rates of at most 1 that bring the mix towards clean tokens only; documents whose rate rounds to none go.
+
+    The pull leaves a document at its rate unless the other domains outweigh its clean part."""
     model = mixing.fit_domains(docs, domains_of(table(spark, sf_dir, "labels")))
     if model is None:
         return docs
     posteriors = written(mixing.posteriors(docs, model), "posteriors")
-    multipliers, _, _ = mixing.fit_rates(posteriors, model, {"clean": 1.0}, max_rate=1.0)
-    return mixing.realise(docs, model, multipliers, max_rate=1.0)
+    steps, _, _ = mixing.fit_rates(posteriors, model, {"clean": 1.0}, max_rate=1.0, pull=PULL)
+    return mixing.realise(docs, model, steps, max_rate=1.0)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
