@@ -4,20 +4,25 @@ Cells have side eps / sqrt(d), so rows of one cell are neighbours of each
 other. A cell with ``min_samples`` rows is all core without comparing a single
 pair; only rows of thinner cells are compared, with the rows of nearby cells.
 Copies of a point are merged first, and large cells are dealt out in buckets.
+The occupied cells form a dictionary over all axes; which of them are near each
+other is found by a k-d split of their boxes, whatever the number of features.
 Clusters are the connected parts of the graph of core cells, which is far
-smaller than the data.
+smaller than the data: the parts inside a leaf of the split are found first,
+and only what crosses leaves is joined in rounds.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.columns import sum_columns
+from assaylake.operators.boxes import near_pairs, with_leaf
 from assaylake.operators.ordered import with_global_index
 from assaylake.session import materialize
 
@@ -62,27 +67,22 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float, min_sam
     Rows with a null or NaN feature are noise and nobody's neighbours.
     """
     d, eps2 = len(features), eps * eps
-    side, coarse = eps / math.sqrt(d) * (1 - 1e-12), math.ceil(math.sqrt(d))
-    m = min(d, 3)
+    side = eps / math.sqrt(d) * (1 - 1e-12)
     xs = [f"x{j}" for j in range(d)]
     raw = df.select(F.col(key).alias("row"), *[(F.col(c).cast("double") + 0.0).alias(x) for c, x in zip(features, xs)])
     for x in xs:
         raw = raw.where(F.col(x).isNotNull() & ~F.isnan(x))
     points = raw.groupBy(*xs).agg(F.count(F.lit(1)).alias("w"), F.min("row").alias("pid"))
     idx = [F.floor(F.col(x) / F.lit(side)).cast("long") for x in xs]
-    points = points.withColumn("cell", F.concat_ws("_", *[i.cast("string") for i in idx])).withColumns(
-        {f"g{j}": F.floor(idx[j] / coarse).cast("long") for j in range(m)}
-    )
-    points = materialize(points, "points")
-    gs = [f"g{j}" for j in range(m)]
-    cells = materialize(points.groupBy("cell", *gs).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), *_box(d)), "cells")
+    points = materialize(points.withColumn("cell", F.concat_ws("_", *[i.cast("string") for i in idx])), "points")
+    cells = materialize(points.groupBy("cell").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), *_box(d)), "cells")
+    cells, split = with_leaf(cells, d)
+    cells = materialize(cells, "cells")
 
-    # Pairs of cells that may hold neighbours.
-    shifts = F.array(*[F.struct(*[F.lit(s).alias(f"s{j}") for j, s in enumerate(t)]) for t in product((-1, 0, 1), repeat=m)])
-    a = _prefixed(cells, "a").withColumn("s", F.explode(shifts)).withColumns({f"t{j}": F.col(f"a_g{j}") + F.col(f"s.s{j}") for j in range(m)})
-    b = _prefixed(cells, "b")
-    near = a.join(b, [F.col(f"t{j}") == F.col(f"b_g{j}") for j in range(m)]).where((F.col("a_cell") != F.col("b_cell")) & (_gap2("a", "b", d) <= eps2))
-    pairs = materialize(near.select("a_cell", "b_cell", F.col("a_w") >= min_samples, F.col("b_n")).toDF("a_cell", "b_cell", "a_dense", "b_n"), "cell-pairs")
+    # Pairs of cells that may hold neighbours; a dense cell asks for none.
+    named = cells.select(F.col("cell").alias("a_cell"), (F.col("w") >= min_samples).alias("a_dense")), cells.select(F.col("cell").alias("b_cell"), F.col("n").alias("b_n"))
+    near = near_pairs(cells, split, "cell", d, eps, side).toDF("a_cell", "b_cell")
+    pairs = materialize(near.join(named[0], "a_cell").join(named[1], "b_cell").select("a_cell", "b_cell", "a_dense", "b_n"), "cell-pairs")
 
     bucketed = points.join(cells.select("cell", F.ceil(F.col("n") / BUCKET_ROWS).alias("nb"), F.col("w").alias("cw")), "cell")
     bucketed = bucketed.withColumn("bucket", F.pmod(F.xxhash64("pid"), "nb"))
@@ -102,8 +102,8 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float, min_sam
     dense_core = bucketed.where(F.col("cw") >= min_samples).select("pid", "cell", *xs)
     core = materialize(thin_core.unionByName(dense_core), "core")
 
-    nodes = materialize(core.groupBy("cell").agg(F.min("pid").alias("own")), "nodes")
-    labels = components(nodes, core_edges(core, pairs, side, d, eps2))
+    nodes = core.groupBy("cell").agg(F.min("pid").alias("own")).join(cells.select("cell", "leaf"), "cell")
+    labels = connected(materialize(nodes, "nodes"), core_edges(core, pairs, side, d, eps2))
     numbered = with_global_index(labels.select("label").distinct(), ["label"], out)
     labels = materialize(labels.join(numbered, "label").select("cell", F.col(out).cast("int").alias(out)), "labels")
 
@@ -169,6 +169,46 @@ def _unit(xs: Sequence[str], side: float, level: int) -> Column:
     return F.concat_ws("_", *[F.floor(F.col(x) / F.lit(side / FINER**level)).cast("long").cast("string") for x in xs])
 
 
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cell, label): smallest ``own`` of the connected part of every node (cell, own, leaf).
+
+    Edges inside a leaf are contracted in one task per leaf, which holds a
+    bounded number of cells; parts of different leaves are joined in rounds.
+    """
+    at = nodes.select("cell", "own", "leaf")
+    ends = edges.join(at.toDF("a_cell", "a_own", "a_leaf"), "a_cell").join(at.toDF("b_cell", "b_own", "b_leaf"), "b_cell")
+    ends = materialize(ends.select("a_own", "b_own", "a_leaf", "b_leaf"), "ends")
+    kind = nodes.schema["own"].dataType.simpleString()
+
+    def contract(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = left.column("own").to_numpy()
+        order = np.argsort(own, kind="stable")
+        a, b = (order[np.searchsorted(own[order], right.column(c).to_numpy())] for c in ("a_own", "b_own")) if right.num_rows else (np.zeros(0, np.int64),) * 2
+        label = own.copy()
+        while len(a):
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[order[np.searchsorted(own[order], new)]]  # the label of the label's own node
+            if (new == label).all():
+                break
+            label = new
+        return pa.table([left.column("cell"), left.column("own"), pa.array(label)], names=["cell", "own", "part"])
+
+    inner = ends.where("a_leaf = b_leaf").select("a_own", "b_own", F.col("a_leaf").alias("leaf"))
+    parts = nodes.groupBy("leaf").cogroup(inner.groupBy("leaf")).applyInArrow(contract, f"cell {nodes.schema['cell'].dataType.simpleString()}, own {kind}, part {kind}")
+    parts = materialize(parts, "parts")
+    of = parts.select("own", "part")
+    crossing = ends.where("a_leaf != b_leaf").join(of.toDF("a_own", "a_cell"), "a_own").join(of.toDF("b_own", "b_cell"), "b_own")
+    crossing = materialize(crossing.select(F.least("a_cell", "b_cell").alias("a_cell"), F.greatest("a_cell", "b_cell").alias("b_cell")).where("a_cell != b_cell").distinct(), "crossing")
+    if not crossing.limit(1).count():
+        return parts.select("cell", F.col("part").alias("label"))
+    met = crossing.select(F.col("a_cell").alias("cell")).unionByName(crossing.select(F.col("b_cell").alias("cell"))).distinct()
+    joined = components(materialize(met.withColumn("own", F.col("cell")), "met"), crossing)
+    return parts.join(joined.select(F.col("cell").alias("part"), "label"), "part", "left").select("cell", F.coalesce("label", "part").alias("label"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest ``own`` value of the connected part of every node (cell, own).
 

@@ -9,7 +9,7 @@ from assaylake.functions.columns import rnd
 from assaylake.operators import classify as CL
 from assaylake.operators import cluster as K
 from assaylake.operators.dbscan import dbscan
-from assaylake.operators.neighbors import classify_nearest, k_distance
+from assaylake.operators.neighbors import classify_nearest, k_distance, neighbour_counts
 from assaylake.operators.pca import fit_pca
 from assaylake.plans.registry import query, sql_round as R
 from assaylake.plans.regression import event_features
@@ -84,8 +84,9 @@ def _(spark, sf):
 
 @query("jon_11_eps_neighbours", f"WITH {DB} SELECT src AS event_id, count(*) >= 6 AS is_core FROM nb GROUP BY src")
 def _(spark, sf):
-    """Rows with at least six rows (itself included) within eps, by the grid join."""
-    return dbscan(event_features(spark, sf), ["a", "y"], "event_id", 2.5, 6).select("event_id", "is_core")
+    """Rows with at least six rows (itself included) within eps, by counting neighbours."""
+    found = neighbour_counts(event_features(spark, sf), ["a", "y"], "event_id", 2.5)
+    return found.select("event_id", (F.col("neighbours") >= 6).alias("is_core"))
 
 
 PT = "pt AS (SELECT p_partkey AS id, p_size / 50 AS s, p_retailprice / 2000 AS r FROM part)"

@@ -26,10 +26,13 @@ def brute_dbscan(x, eps, m):
     return label, core
 
 
-@pytest.mark.parametrize("dims,eps,m", [(2, 0.1, 4), (3, 0.35, 5)])
+@pytest.mark.parametrize("dims,eps,m", [(2, 0.1, 4), (3, 0.35, 5), (8, 0.9, 4)])
 def test_dbscan_equals_brute_force_with_a_third_of_copies(spark, dims, eps, m, monkeypatch):
+    import assaylake.operators.boxes as boxes
     import assaylake.operators.dbscan as module
 
+    monkeypatch.setattr(boxes, "LEAF_BOXES", 20)  # forces several leaves
+
     monkeypatch.setattr(module, "POINT_PAIRS", 4)  # forces finer parts
     monkeypatch.setattr(module, "BUCKET_ROWS", 5)  # forces several buckets per cell
     rng = np.random.default_rng(7)
@@ -55,6 +58,41 @@ def test_nearest_over_many_blocks(spark):
     assert np.allclose(kd["k_distance"], np.sort(d, axis=1)[:, 4])
 
 
+def test_nearest_in_clusters_ties_nulls_and_small_tables(spark, monkeypatch):
+    import assaylake.operators.neighbors as module
+
+    monkeypatch.setattr(module, "QUERY_ROWS", 50)  # forces several crowds per block
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.05, (60, 5)) for c in range(6)] + [np.full((90, 5), 2.5)])
+    x = x[rng.permutation(len(x))]
+    names = list("abcde")
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(len(x))))
+    odd = spark.createDataFrame([(900, None, 0.0, 0.0, 0.0, 0.0), (901, float("nan"), 0.0, 0.0, 0.0, 0.0)], "id long, a double, b double, c double, d double, e double")
+    both = df.unionByName(odd)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for k in (1, 7):
+        got = nearest(both, both, names, "id", "id", k, block_rows=20).toPandas().sort_values(["query_id", "rank"])
+        assert (got["base_id"].to_numpy().reshape(-1, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+    few = nearest(df, df.where("id < 3"), names, "id", "id", 5, block_rows=1).toPandas()
+    assert len(few) == 3 * len(x) and nearest(df, df.limit(0), names, "id", "id").count() == 0
+    assert module.block_share(df, df, names, "id", "id", 0.1, block_rows=20) < 0.4
+    counts = {r["id"]: r["neighbours"] for r in module.neighbour_counts(both, names, "id", 0.12, block_rows=20).collect()}
+    assert counts.pop(900) == counts.pop(901) == 0 and counts == dict(enumerate((d <= 0.12).sum(1).tolist()))
+
+
+def test_near_boxes_equal_all_pairs():
+    from assaylake.operators.boxes import near
+
+    rng = np.random.default_rng(5)
+    for d in (1, 3, 8):
+        low = rng.uniform(0, 3, (700, d)).round(1)
+        high = low + rng.uniform(0, 0.3, (700, d))
+        gap = np.maximum(np.maximum(low[None] - high[:, None], low[:, None] - high[None]), 0)
+        want = {(a, b) for a, b in zip(*np.nonzero((gap**2).sum(2) <= 0.25))}
+        got = [(a, b) for x, y in near(low, high, low, high, 0.5) for a, b in zip(x.tolist(), y.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_kmeans_assignment_paths_agree(spark, monkeypatch):
     rng = np.random.default_rng(10)
     pdf = pd.DataFrame(rng.normal(size=(200, 2)), columns=["a", "b"])
