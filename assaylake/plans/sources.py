@@ -71,6 +71,19 @@ def _(spark, sf):
     return RD.read_json(spark, path, df.schema)
 
 
+@query("src_03_json_array", 'SELECT doc_id AS id, source AS "from.source", n_chars AS "from.size", text AS "body.text" FROM documents')
+def _(spark, sf):
+    """Whole texts in files that each hold one array of objects, with and without line breaks between them."""
+    path = new_path(spark, "arrays")
+    docs = table(spark, sf, "documents")
+    row = F.to_json(F.struct(F.col("doc_id").alias("id"), F.struct("source", F.col("n_chars").alias("size")).alias("from"), F.struct("text").alias("body")))
+    lists = docs.groupBy(F.floor(F.col("doc_id") / 500).alias("file")).agg(F.collect_list(row).alias("rows"))
+    inside = F.when(F.col("file") % 2 == 0, F.array_join("rows", ",")).otherwise(F.array_join("rows", ",\n  "))
+    array = F.concat(F.lit("["), inside, F.lit("]")).alias("value")
+    lists.select(array).write.option("maxRecordsPerFile", 1).text(path)
+    return RD.read_json(spark, path, "id long, from struct<source: string, size: long>, body struct<text: string>", lines=False)
+
+
 @query("src_04_flatten", NESTED)
 def _(spark, sf):
     return RD.flatten(_nested(spark, sf))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
@@ -10,23 +11,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylake.functions.text import coerce_numeric_text
-from assaylake.operators.clean import tokens_to_null
+from assaylake.operators.clean import MISSING_TOKENS, tokens_to_null
+from assaylake.session import new_path
+from assaylake.sources.ranges import Brackets, Delimited, records
 
 ENCODINGS = ("utf-8", "latin1", "cp1252", "iso-8859-1")  # fixed values, tried in this order
 
 
+SINGLE_BYTE = {"UTF-8": None, "US-ASCII": None, "ISO-8859-1": "ISO-8859-1", "WINDOWS-1252": "windows-1252"}  # encodings in which quotes and breaks are plain bytes
+
+
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True, split: bool = True
 ) -> DataFrame:
     """Delimited text with a header; quoted fields may hold separators, line breaks and doubled quotes.
 
-    Give a schema where one is known: inference reads the data twice. Files that
-    have no quoted line break can be read with ``multi_line=False``, which lets
-    Spark split them.
+    Files of any size are read range by range (``ranges``), also where quoted
+    fields hold line breaks; quotes must then be used as RFC 4180 has them. With
+    ``split=False`` Spark's own parser reads each file in one task, with
+    ``multi_line=False`` it splits files at all line breaks. Give a schema where
+    one is known: inference reads the data once more.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"')
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return tokens_to_null(reader.csv(path))
+    if not (multi_line and split and encoding.upper() in SINGLE_BYTE):
+        reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"')
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+        return tokens_to_null(reader.csv(path))
+    found = records(spark, path, Delimited(), closing=False)
+    charset = SINGLE_BYTE[encoding.upper()]
+    text = F.decode("record", charset) if charset else F.col("record").cast("string")
+    rows = found.select("first", F.regexp_replace(text, r"\r\z", "").alias("text")).where(F.trim("text") != "")
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}
+    body = rows.where(~F.col("first"))
+    if schema is None:
+        names = _header(rows, sep)
+        plain = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        as_text = body.select(F.from_csv("text", _ddl(plain), options).alias("r")).select("r.*")
+        return tokens_to_null(_typed(as_text))
+    ddl = schema if isinstance(schema, str) else _ddl(schema)
+    return tokens_to_null(body.select(F.from_csv("text", ddl, options).alias("r")).select("r.*"))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in schema.fields)
+
+
+def _header(rows: DataFrame, sep: str) -> list[str]:
+    """Column names from the header of the first file; blank ones get a number, repeated ones too."""
+    row = rows.where("first").limit(1).collect()
+    if not row:
+        return []
+    head = next(csv.reader([row[0]["text"]], delimiter=sep))
+    names = [n.lstrip("\ufeff") or f"_c{k}" for k, n in enumerate(head)]
+    lower = [n.lower() for n in names]
+    return [f"{n}{k}" if lower.count(n.lower()) > 1 else n for k, n in enumerate(names)]
+
+
+INFERRED = ("int", "bigint", "double", "date", "timestamp", "boolean")  # the first type that fits all values is taken
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """Text columns cast to the first of ``INFERRED`` that holds every value, in one pass; columns without values stay text."""
+    if not df.columns:
+        return df
+    tests = []
+    for k, c in enumerate(df.columns):
+        v = F.col(f"`{c}`")
+        known = F.when(~v.isin(*MISSING_TOKENS), v)
+        tests.append(F.count(known).alias(f"n{k}"))
+        tests += [F.sum((known.isNotNull() & known.try_cast(t).isNull()).cast("long")).alias(f"{t}{k}") for t in INFERRED]
+    seen = df.agg(*tests).first()
+    kinds = [next((t for t in INFERRED if seen[f"n{k}"] and not seen[f"{t}{k}"]), "string") for k in range(len(df.columns))]
+    return df.select(*[F.col(f"`{c}`") if t == "string" else F.col(f"`{c}`").try_cast(t).alias(c) for c, t in zip(df.columns, kinds)])
 
 
 def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
@@ -34,8 +89,19 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = True) -> DataFrame:
-    reader = spark.read.option("multiLine", not lines)
-    return flatten((reader.schema(schema) if schema is not None else reader).json(path))
+    """One object per line, or with ``lines=False`` documents that are an array of objects (or objects over many lines).
+
+    Such documents are read range by range, whatever their size; without a schema
+    their structure is inferred by a pass over the objects.
+    """
+    if lines:
+        return flatten((spark.read.schema(schema) if schema is not None else spark.read).json(path))
+    found = records(spark, path, Brackets(), closing=True)
+    # Raw line breaks are mere space in JSON, so every object fits on a line.
+    text = F.regexp_replace(F.regexp_replace(F.col("record").cast("string"), r"[\r\n]+", " "), r"^[\s,\[\x{FEFF}]+", "")
+    objects = new_path(spark, "objects")
+    found.select(text.alias("value")).where(F.col("value").startswith("{")).write.text(objects)
+    return flatten((spark.read.schema(schema) if schema is not None else spark.read).json(objects))
 
 
 def flatten(df: DataFrame) -> DataFrame:
