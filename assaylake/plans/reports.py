@@ -273,27 +273,29 @@ def _(spark, sf):
 
 @query(
     "chm_07_domain_verdicts",
-    f"""WITH {V}, x AS (SELECT *, CAST(mw AS DOUBLE) AS w, CAST(kow AS DOUBLE) AS k, CAST(printf('%.4f', (size - 25) / 43.0) AS DOUBLE) + 0.01 - 0.05 + 3.1992 AS r3 FROM v)
-        SELECT file, w <= 991.15 AS kow_in, CASE WHEN w > 991.15 THEN 3 WHEN w > 719.92 THEN 2 ELSE 1 END + (abs(w - 199.98) > 3 * 199.98)::INT - (w > 991.15)::INT AS kow_warnings,
-        w <= 697.7 AND n <= 3 AS bio12_in, w <= 697.65 AND n <= 4 AND r3 BETWEEN 1.44 AND 3.89 AS bio3_in, w <= 697.7 AND n <= 2 AS bio56_in,
-        w BETWEEN 68.08 AND 991.8 AND k BETWEEN -6.5 AND 11.26 AS bcf_in, w BETWEEN 68.08 AND 959.17 AND k BETWEEN 0.31 AND 8.7 AS baf_in,
-        w BETWEEN 32.04 AND 665.02 AS koc_in FROM x""",
+    f"""WITH {V}, x AS (SELECT *, CAST(mw AS DOUBLE) AS w, CAST(kow AS DOUBLE) AS k, CAST(printf('%.4f', (size - 25) / 43.0) AS DOUBLE) + 0.01 - 0.05 + 3.1992 AS r3 FROM v),
+        two AS (SELECT *, 1::INT AS ri FROM x UNION ALL SELECT *, 2 FROM x WHERE key % 5 = 0)
+        SELECT file, ri AS record_index, w <= 991.15 AS kow_in, CASE WHEN w > 991.15 THEN 3 WHEN w > 719.92 THEN 2 ELSE 1 END + (abs(w - 199.98) > 3 * 199.98)::INT - (w > 991.15)::INT AS kow_warnings,
+        CASE WHEN ri = 1 THEN w <= 697.7 AND n <= 3 END AS bio12_in, CASE WHEN ri = 1 THEN w <= 697.65 AND n <= 4 AND r3 BETWEEN 1.44 AND 3.89 END AS bio3_in,
+        CASE WHEN ri = 1 THEN w <= 697.7 AND n <= 2 END AS bio56_in, CASE WHEN ri = 1 THEN w BETWEEN 68.08 AND 991.8 AND k BETWEEN -6.5 AND 11.26 END AS bcf_in,
+        CASE WHEN ri = 1 THEN w BETWEEN 68.08 AND 959.17 AND k BETWEEN 0.31 AND 8.7 END AS baf_in, CASE WHEN ri = 1 THEN w BETWEEN 32.04 AND 665.02 END AS koc_in FROM two""",
 )
 def _(spark, sf):
     files = report_files(spark, sf)
-    kow = RP.parse_kowwin(files).where("record_index = 1").select("file", D.kowwin_domain(F.col("mol_weight"), F.col("fragments")).alias("v")).select(
-        "file", F.col("v.in_ad").alias("kow_in"), F.size("v.warnings").alias("kow_warnings"))
+    key = ["file", "record_index"]
+    kow = RP.parse_kowwin(files).select(*key, D.kowwin_domain(F.col("mol_weight"), F.col("fragments")).alias("v")).select(
+        *key, F.col("v.in_ad").alias("kow_in"), F.size("v.warnings").alias("kow_warnings"))
     bio = RP.parse_biowin(files)
     names = {"Biowin1_2": "bio12_in", "Biowin3": "bio3_in", "Biowin5_6": "bio56_in"}
     bio = bio.withColumns({f"chk_{g}": D.biowin_checked(g) for g in names})
     bio = bio.withColumns({n: D.biowin_group_domain(g, F.col("mol_weight"), F.col("metal_note"), F.col(f"chk_{g}"))["in_ad"] for g, n in names.items()})
     bcf = RP.parse_bcfbaf(files).select(
-        "file", D.bcf_domain(F.col("mol_weight"), F.col("log_kow_used"), F.col("corrections"), F.col("metal_note"))["in_ad"].alias("bcf_in"),
+        *key, D.bcf_domain(F.col("mol_weight"), F.col("log_kow_used"), F.col("corrections"), F.col("metal_note"))["in_ad"].alias("bcf_in"),
         D.baf_domain(F.col("mol_weight"), F.col("log_kow_used"), F.col("fragments"), F.col("metal_note"))["in_ad"].alias("baf_in"))
     no_note = F.lit(None).cast("string")
     koc = RP.parse_kocwin(files).withColumn("chk", D.kocwin_checked(F.col("logkow_corrections")))
-    koc = koc.select("file", D.kocwin_domain(F.col("mol_weight"), F.col("chk"), F.col("chk"), no_note)["in_ad"].alias("koc_in"))
-    return kow.join(bio.select("file", "bio12_in", "bio3_in", "bio56_in"), "file").join(bcf, "file").join(koc, "file")
+    koc = koc.select(*key, D.kocwin_domain(F.col("mol_weight"), F.col("chk"), F.col("chk"), no_note)["in_ad"].alias("koc_in"))
+    return kow.join(bio.select(*key, "bio12_in", "bio3_in", "bio56_in"), key, "full").join(bcf, key, "full").join(koc, key, "full")
 
 
 @query(
@@ -328,22 +330,48 @@ def _(spark, sf):
     )
 
 
+TABLE_SQL = f"""{V}, two AS (SELECT *, 1::INT AS ri FROM v UNION ALL SELECT * REPLACE ('second compound' AS name), 2 FROM v WHERE key % 5 = 0)"""
+FIRST = lambda sql, name: f'CASE WHEN ri = 1 THEN {sql} END AS "{name}"'
+
+
 @query(
     "chm_09_compound_table",
-    f"""WITH {V} SELECT file AS "Filename", 1::INT AS "Record_Index", CASE WHEN salt THEN 'NOTE: METAL (Na) HAS BEEN REMOVED to allow estimation' ELSE 'None' END AS "BIOWIN_Metal_Note",
-        'Ester [-C(=O)-O-C]: ' || n || ', ' || brand || ' [unlisted]: 1' AS "BIOWIN_Fragment_Summary", brand || ' rule -0.150' AS "BCFBAF_BCF_Corrections",
-        'Ester (-C-CO-O-C-) or (HCO-O-C) (count ' || n || '); ' || brand || ' rule (count 1)' AS "KOCWIN_MCI_Corrections", 'None' AS "KOCWIN_LogKow_Corrections",
-        '-1.0000' AS "BCFBAF_Log_Bio_Half_Life" FROM v""",
+    f"""WITH {TABLE_SQL} SELECT file AS "Filename", ri AS "Record_Index", name AS "Chemical_ID", {FIRST("CASE WHEN salt THEN 'NOTE: METAL (Na) HAS BEEN REMOVED to allow estimation' ELSE 'None' END", "BIOWIN_Metal_Note")},
+        {FIRST("'Ester [-C(=O)-O-C]: ' || n || ', ' || brand || ' [unlisted]: 1'", "BIOWIN_Fragment_Summary")}, {FIRST("brand || ' rule -0.150'", "BCFBAF_BCF_Corrections")},
+        {FIRST("'Ester (-C-CO-O-C-) or (HCO-O-C) (count ' || n || '); ' || brand || ' rule (count 1)'", "KOCWIN_MCI_Corrections")}, {FIRST("'None'", "KOCWIN_LogKow_Corrections")},
+        {FIRST("'-1.0000'", "BCFBAF_Log_Bio_Half_Life")} FROM two""",
 )
 def _(spark, sf):
-    t = D.compound_table(report_files(spark, sf)).where("Record_Index = 1")
+    t = D.compound_table(report_files(spark, sf))
     one_space = lambda c: F.regexp_replace(c, r" +", " ").alias(c)
     return t.select(
-        "Filename", "Record_Index", "BIOWIN_Metal_Note", one_space("BIOWIN_Fragment_Summary"), "BCFBAF_BCF_Corrections", "KOCWIN_MCI_Corrections",
+        "Filename", "Record_Index", "Chemical_ID", "BIOWIN_Metal_Note", one_space("BIOWIN_Fragment_Summary"), "BCFBAF_BCF_Corrections", "KOCWIN_MCI_Corrections",
         "KOCWIN_LogKow_Corrections", "BCFBAF_Log_Bio_Half_Life",
     )
 
 
+FOUR = lambda sql: f"printf('%.4f', CAST({sql} AS DOUBLE))"
+
+
+@query(
+    "src_13_advanced_export",
+    f"""WITH {TABLE_SQL} SELECT file AS "Filename", ri AS "Record_Index", name AS "Chemical_ID", {_smiles('size', 'key')} AS "SMILES", 'C' || size || ' H10' AS "Molecular_Formula", CAST(mw AS DOUBLE) AS "Molecular_Weight",
+        {FOUR("kow")} AS "KOWWIN_Log_Kow", {FIRST(FOUR("kow"), "BCFBAF_Log_BCF_Regression")}, {FIRST(FOUR("mw"), "BCFBAF_BCF_Regression_L_per_kg")}, {FIRST(FOUR("kow"), "BCFBAF_Log_BAF_Upper_Trophic")},
+        {FIRST(FOUR("mw"), "BCFBAF_BAF_Upper_Trophic_L_per_kg")}, {FIRST(FOUR("coef"), "BCFBAF_Biotrans_Half_Life_Days")}, {FIRST(FOUR("kow"), "BCFBAF_LogKow_Used")}, {FIRST("'N/A'", "BCFBAF_LogKow_Experimental")},
+        {FIRST(FOUR("kow"), "BCFBAF_ArnotGobas_UPPER_TROPHIC_LOG_BCF")}, {FIRST(FOUR("coef"), "BCFBAF_ArnotGobas_MID_TROPHIC_LOG_BCF")}, {FIRST("'12.2500'", "BCFBAF_ArnotGobas_UPPER_TROPHIC_BCF_NO_BIO")},
+        {FIRST(FOUR("coef"), "KOCWIN_MCI_Index")}, {FIRST(FOUR("kow"), "KOCWIN_LogKoc_MCI_NonCorrected")}, {FIRST(FOUR("mw"), "KOCWIN_Koc_MCI_L_per_kg")}, {FIRST(FOUR("kow"), "KOCWIN_LogKow_Input")},
+        {FIRST(FOUR("coef"), "KOCWIN_LogKoc_LogKow_Corrected")}, false AS has_empty_column FROM two""",
+)
+def _(spark, sf):
+    """All columns are worked out; those whose values plain SQL can state are compared."""
+    t = D.advanced_export(D.compound_table(report_files(spark, sf)))
+    names = [*D.BASIC_COLUMNS[:6], "KOWWIN_Log_Kow", *[f"BCFBAF_{c}" for c in (
+        "Log_BCF_Regression", "BCF_Regression_L_per_kg", "Log_BAF_Upper_Trophic", "BAF_Upper_Trophic_L_per_kg", "Biotrans_Half_Life_Days", "LogKow_Used", "LogKow_Experimental",
+        "ArnotGobas_UPPER_TROPHIC_LOG_BCF", "ArnotGobas_MID_TROPHIC_LOG_BCF", "ArnotGobas_UPPER_TROPHIC_BCF_NO_BIO",
+    )], *[f"KOCWIN_{c}" for c in ("MCI_Index", "LogKoc_MCI_NonCorrected", "Koc_MCI_L_per_kg", "LogKow_Input", "LogKoc_LogKow_Corrected")]]
+    return t.select(*names, F.lit("BCFBAF_ArnotGobas_LOWER_TROPHIC_BCF" in t.columns).alias("has_empty_column"))
+
+
 @query(
     "jon_07_align_records",
     """SELECT coalesce(d.doc_id, l.doc_id) AS id, coalesce(d.lang, CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END) AS tag, d.source AS a__source, l.toxic AS b__toxic

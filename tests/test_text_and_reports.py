@@ -172,3 +172,48 @@ def test_half_response(spark):
     df = spark.createDataFrame(rows, "id string, c double, v double")
     got = {r["id"]: r["ic50"] for r in SC.half_response(df, ["id"], "c", "v").collect()}
     assert got == {"falling": 55.0, "flat": None, "rising": None}
+
+
+def kow_report(n, short=False):
+    """``n`` KOWWIN sections, each named by the text in front of its header."""
+    gap = "" if short else "x" * 40 + "\n"
+    return "".join(f"SMILES : C{k}\nCHEM   : name {k}\nMOL FOR: C1\nMOL WT : {k}.5\n{gap}KOWWIN Program (v1.68) Results:\n   Log Kow(version 1.68 estimate): {k}.25\n{gap}" for k in range(n))
+
+
+def test_sections_with_short_pieces_keep_their_context(spark):
+    content = "KOWWIN Program" * 90 + "tail"
+    rows = RP.sections(spark.createDataFrame([("f", content)], "file string, content string"), "KOWWIN").orderBy("record_index").collect()
+    assert len(rows) == 90
+    for k, r in enumerate(rows):
+        assert r["context"] == ("KOWWIN Program" * k)[-1000:] and r["section"] == "KOWWIN Program" + ("tail" if k == 89 else "")
+
+
+def test_ten_thousand_sections_in_one_file(spark):
+    import time
+
+    took = {}
+    for n in (2_500, 10_000):
+        df = spark.createDataFrame([("f", kow_report(n))], "file string, content string")
+        start = time.perf_counter()
+        got = RP.parse_kowwin(df).select("record_index", "chem_id", "log_kow").collect()
+        took[n] = time.perf_counter() - start
+        assert {(r["record_index"], r["chem_id"], r["log_kow"]) for r in got} == {(k + 1, f"name {k}", k + 0.25) for k in range(n)}
+    assert took[10_000] < 10 * took[2_500] + 5  # four times the sections, far from sixteen times the time
+
+
+def test_sections_read_over_many_ranges_equal_whole_files(spark, tmp_path):
+    for k, n in enumerate((0, 1, 30)):
+        (tmp_path / f"r{k}.txt").write_text("intro\n" + kow_report(n) + ("BIOWIN (v4) tail\n" if k else ""))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {x: spark.conf.get(x, None) for x in names}
+    want = sorted(map(tuple, RP.sections(RD.read_reports(spark, str(tmp_path)), "KOWWIN").collect()))
+    try:
+        for x, v in zip(names, ("90", "0", "1")):
+            spark.conf.set(x, v)
+        got = RP.read_sections(spark, str(tmp_path), "KOWWIN")
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 30
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 31
+        assert RP.parse_kowwin(got).where("chem_id = concat('name ', record_index - 1)").count() == 31
+    finally:
+        for x, v in before.items():
+            spark.conf.unset(x) if v is None else spark.conf.set(x, v)
