@@ -1,6 +1,7 @@
 """p-values and quantiles without an external statistics package.
 
-Used on one value per column or model, never per row.
+The plain functions serve one value per column or model; the column expressions
+(``*_of``) serve one value per row or group, inside Spark.
 """
 
 from __future__ import annotations
@@ -8,6 +9,9 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def beta_inc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction (Lentz)."""
@@ -57,3 +61,63 @@ def pearson_p(r: float | None, n: int) -> float | None:
 
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
+
+
+# ------------------------------------------------------------------ column expressions
+
+TERMS = 300  # steps of the continued fraction; it needs about the square root of the larger parameter
+
+
+def log_gamma_of(x: Column) -> Column:
+    """Logarithm of the gamma function for positive values: Stirling's series eight places further up."""
+    up = x + 8.0
+    series = (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi)
+    for power, divisor in ((1, 12.0), (3, -360.0), (5, 1260.0), (7, -1680.0), (9, 1188.0), (11, -360360.0 / 691)):
+        series = series + 1.0 / (divisor * F.pow(up, F.lit(float(power))))
+    for k in range(8):
+        series = series - F.log(x + float(k))
+    return series
+
+
+def beta_inc_of(a: Column, b: Column, x: Column, terms: int = TERMS) -> Column:
+    """Regularised incomplete beta function by its continued fraction, stepped by ``aggregate`` over a fixed sequence."""
+    turned = x > (a + 1.0) / (a + b + 2.0)  # the fraction converges fast below this place
+    p, q = F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b)
+    z = F.when(turned, 1.0 - x).otherwise(x)
+    safe = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(1e-300)
+    first = F.struct(F.lit(1.0).alias("c"), (1.0 / safe(1.0 - (p + q) * z / (p + 1.0))).alias("d"), (1.0 / safe(1.0 - (p + q) * z / (p + 1.0))).alias("f"), F.lit(False).alias("done"))
+
+    def half(acc: Column, num: Column) -> Column:
+        d, c = 1.0 / safe(1.0 + num * acc["d"]), safe(1.0 + num / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["f"] * c * d).alias("f"), (F.abs(c * d - 1.0) < 1e-15).alias("done"))
+
+    def step(acc: Column, m: Column) -> Column:
+        even = m * (q - m) * z / ((p + 2.0 * m - 1.0) * (p + 2.0 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))
+        # The first half goes through an array, so that it is worked out once.
+        both = F.element_at(F.transform(F.array(half(acc, even)), lambda h: half(h, odd)), 1)
+        return F.when(acc["done"], acc).otherwise(both)
+
+    fraction = F.aggregate(F.sequence(F.lit(1.0).cast("int"), F.lit(terms)), first, lambda acc, m: step(acc, m.cast("double")), lambda acc: acc["f"])
+    front = F.exp(log_gamma_of(p + q) - log_gamma_of(p) - log_gamma_of(q) + p * F.log(z) + q * F.log1p(-z)) / p
+    value = F.when(z <= 0, 0.0).otherwise(front * fraction)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(turned, 1.0 - value).otherwise(value))
+
+
+def t_two_sided_of(t: Column, df: Column) -> Column:
+    """Two-sided p-value of a t statistic; null where there are no degrees of freedom."""
+    df = df.cast("double")
+    return F.when(df > 0, beta_inc_of(df / 2.0, F.lit(0.5), df / (df + t * t)))
+
+
+def f_upper_of(f: Column, d1: Column, d2: Column) -> Column:
+    """Upper tail of the F distribution."""
+    d1, d2 = d1.cast("double"), d2.cast("double")
+    return F.when((d1 > 0) & (d2 > 0), F.when(f <= 0, 1.0).otherwise(beta_inc_of(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))))
+
+
+def pearson_p_of(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation; null below three rows, 0 for a perfect one."""
+    df = n.cast("double") - 2.0
+    left = 1.0 - r * r
+    return F.when(n >= 3, F.when(left <= 0, 0.0).otherwise(beta_inc_of(df / 2.0, F.lit(0.5), left)))

@@ -114,6 +114,11 @@ def cross_validated(df: DataFrame, fit: Predictor, key: Sequence[str], k: int =
     return out
 
 
+def external(train: DataFrame, test: DataFrame, fit: Predictor) -> DataFrame:
+    """Predictions for an external table by a model of the whole training table; columns are matched by name."""
+    return fit(train, test.select(*train.columns))
+
+
 def fold_accuracy(predictions: DataFrame, label: str) -> DataFrame:
     """Mean and population standard deviation of the accuracy over folds."""
     per = predictions.groupBy("fold").agg(F.avg((F.col(label).cast("double") == F.col("prediction")).cast("double")).alias("a"))

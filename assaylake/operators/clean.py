@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from assaylake.functions.columns import complete_rows, numeric_columns, safe_div, sum_columns
 from assaylake.operators.gram import Gram, gram
-from assaylake.operators.ordered import with_global_index
+from assaylake.operators.ordered import forward_fill, join_group_rows, with_global_index
 from assaylake.operators.quantiles import exact_quantiles, grouped_quantiles
 
 # Texts that mean "missing".
@@ -61,8 +61,58 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def fill_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Most frequent value per column, the smallest of several."""
-    cols = list(cols or df.columns)
-    return _fill_values(df, {c: mode_value(df, c) for c in cols})
+    return _fill_values(df, mode_values(df, list(cols or df.columns)))
+
+
+TRACKED, SURVIVORS = 4096, 1000  # counters per column and task, and values that a column's summary gives back
+
+
+def mode_values(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
+    """Most frequent value of every column (the smallest of several), nulls skipped, by two aggregates for any number of columns.
+
+    A mergeable summary of frequent values is kept for all columns at once; its
+    error is at most 3.5 / ``TRACKED`` of the rows. The values that may be the
+    mode are then counted exactly. A count above three times the error proves the mode,
+    because every value left out has less. Columns without such a value (nearly
+    all values differ) are counted with a shuffle on the value.
+    """
+    plain = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    others = [c for c in cols if not isinstance(df.schema[c].dataType, plain)]
+    cols = [c for c in cols if c not in others]
+    quoted = {c: F.col(f"`{c}`") for c in cols}
+    if not quoted:
+        return {c: mode_value(df, c) for c in others}
+    tracked = {c: F.expr(f"approx_top_k(`{c}`, {SURVIVORS}, {TRACKED})").alias(f"top{i}") for i, c in enumerate(cols)}
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(quoted[c]).alias(f"n{i}") for i, c in enumerate(cols)], *tracked.values()).first()
+    error = 3.5 / TRACKED * first["n"]
+    likely: dict[str, list] = {}
+    for i, c in enumerate(cols):
+        found = [(r["item"], r["count"]) for r in first[f"top{i}"] or [] if r["item"] is not None]
+        most = max((n for _, n in found), default=0)
+        likely[c] = [v for v, n in found if n + 2 * error >= most]
+    asked = [(c, k, v) for c in cols for k, v in enumerate(likely[c])]
+    counts = df.agg(*[F.count_if(quoted[c] == F.lit(v).cast(df.schema[c].dataType)).alias(f"c{j}") for j, (c, _, v) in enumerate(asked)]).first() if 0 < len(asked) <= 512 else None
+    exact: dict[str, list] = {c: [] for c in cols}
+    if counts is not None:
+        for j, (c, _, v) in enumerate(asked):
+            exact[c].append((-counts[f"c{j}"], v))
+    elif asked:
+        marks = F.array_compact(F.array(*[
+            F.when(quoted[c].isin(*likely[c]), F.struct(F.lit(i).alias("i"), F.array_position(F.array(*[F.lit(v).cast(df.schema[c].dataType) for v in likely[c]]), quoted[c]).alias("k")))
+            for i, c in enumerate(cols) if likely[c]
+        ]))
+        for r in df.select(F.explode(marks).alias("m")).groupBy("m.i", "m.k").agg(F.count(F.lit(1)).alias("n")).collect():
+            c = cols[r["i"]]
+            exact[c].append((-r["n"], likely[c][int(r["k"]) - 1]))
+    out: dict[str, object] = {c: mode_value(df, c) for c in others}
+    for i, c in enumerate(cols):
+        if not first[f"n{i}"]:
+            out[c] = None
+        elif exact[c] and -min(exact[c])[0] > 3 * error:
+            out[c] = min(exact[c])[1]
+        else:
+            out[c] = mode_value(df, c)
+    return out
 
 
 def mode_value(df: DataFrame, col: str):
@@ -75,6 +125,33 @@ def mode_value(df: DataFrame, col: str):
     return top[0]["v"] if top else None
 
 
+def impute(df: DataFrame, how: Mapping[str, object], order: Sequence[str] | None = None) -> DataFrame:
+    """Fill each column its own way: "mean", "median", "mode", "ffill" (in row order ``order``, ending in a unique key), or a constant.
+
+    A text constant is given as ("constant", value) where it equals one of these
+    names; a number for a text column is written as text.
+    """
+    ways = {c: w[1] if isinstance(w, tuple) else w for c, w in how.items()}
+    named = lambda name: [c for c, w in how.items() if isinstance(w, str) and w == name]
+    values: dict[str, object] = {}
+    if named("mean"):
+        values |= df.agg(*[F.avg(f"`{c}`").alias(c) for c in named("mean")]).first().asDict()
+    if named("median"):
+        values |= {c: q[0] for c, q in exact_quantiles(df, named("median"), [0.5]).items()}
+    if named("mode"):
+        values |= mode_values(df, named("mode"))
+    computed = {c for name in ("mean", "median", "mode", "ffill") for c in named(name)}
+    for c, w in ways.items():
+        if c not in computed:
+            values[c] = str(w) if isinstance(df.schema[c].dataType, T.StringType) else w
+    out = df
+    for c in named("ffill"):
+        if not order:
+            raise ValueError("a forward fill needs the row order")
+        out = forward_fill(out, list(order), c, "__filled").drop(c).withColumnRenamed("__filled", c)
+    return _fill_values(out, values).select(*df.columns)
+
+
 def _fill(df: DataFrame, cols: list[str], agg) -> DataFrame:
     row = df.agg(*[agg(F.col(c)).alias(c) for c in cols]).first().asDict()
     return _fill_values(df, row)
@@ -299,8 +376,8 @@ def outlier_flag_by(df: DataFrame, target: str, by: str, k: float = 1.5) -> Data
     )
     y, iqr = F.col(target), F.col("__q3") - F.col("__q1")
     flag = (y < F.col("__q1") - k * iqr) | (y > F.col("__q3") + k * iqr)
-    joined = df.join(q, F.col(by).eqNullSafe(F.col("__by")), "left")
-    return joined.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("__by", "__q1", "__q3")
+    joined = join_group_rows(df, q.withColumnRenamed("__by", by), [by])
+    return joined.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("__q1", "__q3")
 
 
 def box_stats(df: DataFrame, by: str, target: str) -> DataFrame:
@@ -311,7 +388,7 @@ def box_stats(df: DataFrame, by: str, target: str) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     y = F.col(target)
     return (
-        df.select(by, target).join(q, by)
+        join_group_rows(df.select(by, target).where(F.col(by).isNotNull()), q, [by], "inner")
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.count(y).alias("n"),

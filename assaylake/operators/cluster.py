@@ -18,7 +18,8 @@ from pyspark.storagelevel import StorageLevel
 from assaylake.functions.columns import complete_rows, first_true, sum_columns
 from assaylake.operators.pca import PcaModel, project
 from assaylake.operators.profile import group_mode
-from assaylake.operators.split import Sizes, hash_at_ranks, row_hash
+from assaylake.operators.ordered import join_group_rows
+from assaylake.operators.split import row_hash, stratum_cuts
 from assaylake.session import materialize
 
 RESTARTS = 10  # fixed value: k-means restarts
@@ -137,18 +138,16 @@ def cluster_sizes(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def label_sample(df: DataFrame, label: str, key: Sequence[str], density: float, seed: int = 42) -> DataFrame:
-    """Rows to label in a plot: max(1, int(share * total)) per cluster, total = max(5, int(n * density / 100))."""
-    h = row_hash(key, seed)
-
-    def last_labelled(sizes: Sizes) -> list[tuple[object, int]]:
-        n = sum(sizes.values())
-        total = max(5, int(n * density / 100))
-        return [(c, min(max(1, int(m / n * total)), m) - 1) for c, m in sizes.items()]
-
-    keep = F.lit(False)
-    for (c, _), top in hash_at_ranks(df, h, last_labelled, by=F.col(label)).items():
-        keep = keep | ((F.col(label) == F.lit(c)) & (h <= F.lit(top)))
-    return df.where(keep)
+    """Rows to label in a plot: max(1, int(share * total)) per cluster, total = max(5, int(n * density / 100)).
+
+    Any number of clusters: the cuts are a table with one row per cluster.
+    """
+    n = df.count()
+    total = max(5, int(n * density / 100))
+    m = F.col("size")
+    wanted = F.least(F.greatest(F.lit(1), F.floor(m / F.lit(n) * F.lit(total))), m)
+    cuts = stratum_cuts(df, key, label, wanted, seed)
+    return join_group_rows(df.withColumn("__h", row_hash(key, seed)), cuts, [label], "inner").where(F.col("__h") <= F.col("__cut")).drop("__h", "__cut")
 
 
 def pca_view(df: DataFrame, result: KMeansResult, model: PcaModel, keep: Sequence[str]) -> DataFrame:

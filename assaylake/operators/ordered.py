@@ -128,6 +128,54 @@ def forward_fill(
     )
 
 
+def running_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, total: str) -> DataFrame:
+    """Inclusive running sum of ``value`` inside every group, and the group's total; null is a group.
+
+    A group of any size lies in as many ranges as it needs; what is joined back
+    is one row per range and group.
+    """
+    by = list(by)
+    ranged = _range_sorted(df, [*by, *order])
+    local = F.sum(value).over(Window.partitionBy(_PART).orderBy(_ROW))
+    ranged = ranged.withColumn("__local", local)
+    names = [f"__by{k}" for k in range(len(by))]
+    spans = ranged.groupBy(F.col(_PART).alias("__p"), *[F.col(b).alias(n) for b, n in zip(by, names)]).agg(
+        F.min(F.col("__local") - F.col(value)).alias("__start"), F.sum(value).alias("__sum")
+    )
+    group = Window.partitionBy(*names)
+    earlier = group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumns({"__before": F.coalesce(F.sum("__sum").over(earlier), F.lit(0)), total: F.sum("__sum").over(group)})
+    same = F.col(_PART) == F.col("__p")
+    for b, n in zip(by, names):
+        same = same & F.col(b).eqNullSafe(F.col(n))
+    return (
+        ranged.join(spans, same).withColumn(out, F.col("__local") - F.col("__start") + F.col("__before"))
+        .drop(_PART, _ROW, "__local", "__p", "__start", "__sum", "__before", *names)
+    )
+
+
+def rank_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank", size: str = "size") -> DataFrame:
+    """Add the 1-based place inside the group and the rows of the group."""
+    return running_in_group(df.withColumn("__one", F.lit(1).cast("long")), by, order, "__one", out, size).drop("__one")
+
+
+SALTS = 32  # parts into which the rows of a group are dealt when one row per group is joined to them
+
+
+def join_group_rows(df: DataFrame, per_group: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Join one row per group to the rows of ``df``; null is a group. A large group is dealt to ``SALTS`` tasks.
+
+    Spark still broadcasts ``per_group`` where it finds it small.
+    """
+    names = [f"__by{k}" for k in range(len(by))]
+    small = per_group.withColumnsRenamed(dict(zip(by, names))).withColumn("__dealt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int"))
+    same = F.col("__salt") == F.col("__dealt")
+    for b, n in zip(by, names):
+        same = same & F.col(b).eqNullSafe(F.col(n))
+    return dealt.join(small, same, how).drop("__salt", "__dealt", *names)
+
+
 def durbin_watson(df: DataFrame, order: Sequence[str], residual: str) -> DataFrame:
     """Sum of squared successive differences over sum of squares."""
     lagged = with_previous(df.select(*order, residual), order, residual, "__prev_e")

@@ -1,4 +1,4 @@
-"""Exact quantiles and order statistics whose state stays bounded.
+"""Exact quantiles and order statistics whose state stays bounded; the same bits whichever way they are found.
 
 ``percentile`` keeps every distinct value of a group in one task, so it is used
 only where the group is counted first and found small. Larger columns go
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.operators.ordered import running_total
+from assaylake.operators.ordered import running_in_group
 
 SMALL = 200_000  # values per group that one aggregate may hold
 BRACKET = 20_000  # distinct values brought to the driver to end a search
@@ -38,10 +38,15 @@ def exact_quantiles(
     found = order_statistics(data, {c: {r for x in xs for r in (math.floor(x), math.ceil(x))} for c, xs in ranks.items()}, large)
     for c, xs in ranks.items():
         low, high = [found[c, math.floor(x)] for x in xs], [found[c, math.ceil(x)] for x in xs]
-        out[c] = [a + (x - math.floor(x)) * (b - a) for x, a, b in zip(xs, low, high)]
+        out[c] = [interpolate(x, a, b) for x, a, b in zip(xs, low, high)]
     return out
 
 
+def interpolate(rank: float, low: float, high: float) -> float:
+    """Value at a fractional rank, in the form that the ``percentile`` aggregate uses, so both ways give the same bits."""
+    return low if low == high else (math.ceil(rank) - rank) * low + (rank - math.floor(rank)) * high
+
+
 def order_statistics(df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int]) -> dict[tuple[str, int], float]:
     """Values at 0-based ranks of several double columns in three passes.
 
@@ -136,22 +141,16 @@ def grouped_quantiles(
     long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(by, cols, "__col", "__v")
     keys = by + ["__col"]
     counted = long.where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    running = running_total(counted, keys + ["__v"], "__c", "__cum")
-    span = running.groupBy(*keys).agg(
-        F.min(F.col("__cum") - F.col("__c")).alias("__base"), F.sum("__c").alias("__n")
-    )
-    wanted = span.withColumn("__p", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])))
-    rank = F.col("__p.p") * (F.col("__n") - 1)
-    wanted = wanted.select(
-        *keys, "__base", F.col("__p.i").alias("__i"), (rank - F.floor(rank)).alias("__frac"),
-        F.floor(rank).alias("__k0"), F.ceil(rank).alias("__k1"),
-    )
-    start, end = F.col("__cum") - F.col("__c") - F.col("__base"), F.col("__cum") - F.col("__base")
-    picked = running.join(wanted, keys).where(
-        ((F.col("__k0") >= start) & (F.col("__k0") < end)) | ((F.col("__k1") >= start) & (F.col("__k1") < end))
-    )
-    q = picked.groupBy(*keys, "__i").agg(
-        (F.min("__v") + F.max("__frac") * (F.max("__v") - F.min("__v"))).alias("__q")
-    )
+    # Running counts know their group's total, so ranks are compared row by row; only the rows hit go to their group.
+    running = running_in_group(counted, keys, ["__v"], "__c", "__cum", "__n")
+    start = F.col("__cum") - F.col("__c")
+    rank = lambda p: F.lit(p) * (F.col("__n") - 1)
+    hits = F.array_compact(F.array(*[
+        F.when(((F.floor(rank(p)) >= start) & (F.floor(rank(p)) < F.col("__cum"))) | ((F.ceil(rank(p)) >= start) & (F.ceil(rank(p)) < F.col("__cum"))), F.struct(F.lit(i).alias("i"), rank(p).alias("r")))
+        for i, p in enumerate(probs)
+    ]))
+    picked = running.select(*keys, "__v", F.explode(hits).alias("__h"))
+    low, high, r = F.min("__v"), F.max("__v"), F.max("__h.r")
+    q = picked.groupBy(*keys, F.col("__h.i").alias("__i")).agg(F.when(low == high, low).otherwise((F.ceil(r) - r) * low + (r - F.floor(r)) * high).alias("__q"))
     arr = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda s: s["__q"])
     return q.groupBy(*by, "__col").agg(arr.alias("__arr")).groupBy(*by).pivot("__col", cols).agg(F.first("__arr"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from assaylake.functions.columns import first_true, safe_div, sum_columns
 from assaylake.functions.distributions import f_upper, t_two_sided
 from assaylake.operators.gram import Gram, gram, gram_by
+from assaylake.operators.split import kfold
 
 RESIDUAL_LIMIT = 3.0  # fixed value: |standardised residual| of an outlier
 EXPRESSION_LIMIT = 16  # features up to which leverage is one plain expression
@@ -150,6 +151,18 @@ def cross_validate(folds: Mapping[object, Gram], target: str, features: Sequence
     return {"r2cv": float(np.mean(r2)), "rmse_cv": float(np.mean(rmse))}
 
 
+def cross_validate_external(test: DataFrame, target: str, features: Sequence[str], key: Sequence[str], k: int = 5, intercept: bool = True, seed: int = 42) -> dict[str, float | None]:
+    """Q2 and RMSE of k-fold validation inside an external table, one Gram per fold.
+
+    A table of fewer than ``k`` rows gives one fold per row; fewer than two rows give none.
+    """
+    folds = gram_by(kfold(test, key, k, seed), [*features, target], "fold")
+    if sum(g.n > 0 for g in folds.values()) < 2:
+        return {"q2cv_ext": None, "rmse_cv_ext": None}
+    cv = cross_validate(folds, target, features, intercept)
+    return {"q2cv_ext": cv["r2cv"], "rmse_cv_ext": cv["rmse_cv"]}
+
+
 # ------------------------------------------------------------------ scoring passes
 
 

@@ -15,8 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.operators.ordered import with_global_index
+from assaylake.operators.ordered import rank_in_group, with_global_index
 from assaylake.operators.quantiles import _select, exact_quantiles
+from assaylake.session import materialize
 
 PREFIX = 3  # hex digits counted per pass: 4096 counters per stratum
 HASH_DIGITS = 32
@@ -85,6 +86,22 @@ def hash_at_ranks(
     return found
 
 
+def stratum_cuts(df: DataFrame, key: Sequence[str], by: str, wanted: Column, seed: int = 42) -> DataFrame:
+    """(by, __cut): the hash of the last row taken in every stratum, for any number of strata.
+
+    ``wanted`` says, from the column ``size``, how many rows of a stratum are
+    taken; strata that give none are absent. Only hashes are sorted, in ranges,
+    so a stratum may hold any share of the rows. Null is a stratum. Raises if
+    equal keys lie on both sides of a cut.
+    """
+    hashes = df.select(F.col(by).alias(by), row_hash(key, seed).alias("__h"))
+    placed = rank_in_group(hashes, [by], ["__h"]).withColumn("__take", wanted.cast("long"))
+    edge = materialize(placed.where(F.col("rank").between(F.col("__take"), F.col("__take") + 1) & (F.col("__take") > 0)).select(by, "__h", "rank", "__take"), "cuts")
+    if edge.groupBy(by, "__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("the key of a split must be unique: equal keys lie on both sides of the cut")
+    return edge.where(F.col("rank") == F.col("__take")).select(by, F.col("__h").alias("__cut"))
+
+
 def random_split(df: DataFrame, key: Sequence[str], test_size: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
     """Exactly ceil(n * test_size) test rows."""
     h = row_hash(key, seed)

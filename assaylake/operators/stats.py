@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.columns import numeric_columns, safe_div
-from assaylake.functions.distributions import normal_quantile, pearson_p
+from assaylake.functions.distributions import normal_quantile, pearson_p, pearson_p_of
 from assaylake.operators.gram import Gram, gram, matrix_frame
 from assaylake.operators.quantiles import exact_quantiles
 
@@ -45,6 +45,15 @@ def target_correlations(
     )
 
 
+def correlation_by_group(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """(by, n, correlation, p_value) per group over the rows complete in the pair; groups of fewer than three rows or a constant side have none."""
+    a, b = F.col(y).cast("double"), F.col(x).cast("double")
+    m = df.groupBy(*by).agg(F.regr_count(a, b).alias("n"), F.regr_sxx(a, b).alias("sxx"), F.regr_syy(a, b).alias("syy"), F.regr_sxy(a, b).alias("sxy"))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))))
+    m = m.withColumn("correlation", F.when((F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("syy") > 0), r))
+    return m.select(*by, "n", "correlation", F.when(F.col("correlation").isNotNull(), pearson_p_of(F.col("correlation"), F.col("n"))).alias("p_value"))
+
+
 def pairwise_correlation(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Correlation matrix where each pair uses the rows complete in that pair.
 

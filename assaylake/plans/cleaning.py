@@ -245,15 +245,22 @@ def _(spark, sf):
 
 @query(
     "sca_07_column_imputation",
-    f"""WITH {HOLEY}, h AS (SELECT *, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS flag FROM holey),
+    f"""WITH {HOLEY}, h AS (SELECT *, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS flag, CASE WHEN l_quantity % 3 = 0 THEN NULL ELSE l_quantity END AS q,
+            CASE WHEN l_quantity % 4 = 0 THEN NULL ELSE l_extendedprice END AS price, CASE WHEN l_quantity % 5 = 0 THEN NULL ELSE l_returnflag END AS word FROM holey),
         m AS (SELECT flag FROM h WHERE flag IS NOT NULL GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1)
-        SELECT l_orderkey, l_linenumber, {R('coalesce(l_tax, (SELECT avg(l_tax) FROM h))')} AS l_tax, l_discount,
-        coalesce(flag, (SELECT flag FROM m)) AS flag FROM h""",
+        SELECT l_orderkey, l_linenumber, l_extendedprice, {R('coalesce(l_tax, (SELECT avg(l_tax) FROM h))')} AS l_tax, {R('coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM h))')} AS l_discount,
+        coalesce(flag, (SELECT flag FROM m)) AS flag, last_value(q IGNORE NULLS) OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice ROWS UNBOUNDED PRECEDING) AS q,
+        coalesce(price, -1.5) AS price, coalesce(word, '0') AS word FROM h""",
 )
 def _(spark, sf):
-    h = holey(spark, sf).withColumn("flag", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
-    h = C.fill_mode(C.fill_mean(h, ["l_tax"]), ["flag"])
-    return h.select(*LKEY, rnd("l_tax").alias("l_tax"), "l_discount", "flag")
+    """Every way of filling, one column each: mean, median, mode, forward fill in row order, a number, and a number in a text column."""
+    q = F.col("l_quantity")
+    h = holey(spark, sf).withColumns({
+        "flag": F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), "q": F.when(q % 3 != 0, q), "price": F.when(q % 4 != 0, F.col("l_extendedprice")), "word": F.when(q % 5 != 0, F.col("l_returnflag")),
+    })
+    how = {"l_tax": "mean", "l_discount": "median", "flag": "mode", "q": "ffill", "price": -1.5, "word": 0}
+    h = C.impute(h, how, ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    return h.select(*LKEY, "l_extendedprice", rnd("l_tax").alias("l_tax"), rnd("l_discount").alias("l_discount"), "flag", "q", "price", "word")
 
 
 @query(

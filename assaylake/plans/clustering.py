@@ -232,6 +232,16 @@ def _(spark, sf):
     return CL.hold_out(embedding_columns(spark, sf), CL.naive_bayes(EMB, "label", ["vec_id"]), ["vec_id"])
 
 
+@query(
+    "cls_07_external",
+    f"""WITH s AS (SELECT vec_id, label::DOUBLE AS label, embedding AS x, vec_id % 5 = 0 AS test FROM embeddings), {_nb_sql('s')} SELECT * FROM nb""",
+)
+def _(spark, sf):
+    """A model of one table judged on another one."""
+    e = embedding_columns(spark, sf)
+    return CL.external(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), CL.naive_bayes(EMB, "label", ["vec_id"]))
+
+
 @query("cls_01_logistic")
 def _(spark, sf):
     return CL.report(CL.hold_out(embedding_columns(spark, sf), CL.logistic_regression(EMB, "label", ["vec_id"]), ["vec_id"]), "label")

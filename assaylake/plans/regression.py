@@ -132,6 +132,20 @@ def _(spark, sf):
     return _cv_row(spark, gram_by(P.kfold(charges(spark, sf), LROW, 5), [*X, "y"], "fold"))
 
 
+@query(
+    "reg_04_external_kfold",
+    _cv_sql(
+        f"""{BASE}, hs AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || l_extendedprice)) - 1 AS rn,
+        count(*) OVER () AS total FROM base), te AS (SELECT *, count(*) OVER () AS n FROM hs WHERE rn < ceil(total * 0.2 - 1e-9)),
+        fo AS (SELECT * EXCLUDE (n, total), CASE WHEN rn < (n // 5 + 1) * (n % 5) THEN rn // (n // 5 + 1) ELSE n % 5 + (rn - (n // 5 + 1) * (n % 5)) // (n // 5) END AS fold FROM te)""", 5,
+    ).replace("AS r2cv", "AS q2cv_ext").replace("AS rmse_cv", "AS rmse_cv_ext"),
+)
+def _(spark, sf):
+    """Five-fold validation inside the external set: the rows that a random split puts aside."""
+    cv = G.cross_validate_external(split_charges(spark, sf).where("split = 'test'").drop("split"), "y", X, LROW)
+    return spark.createDataFrame([(round(cv["q2cv_ext"], 8) + 0.0, round(cv["rmse_cv_ext"], 6) + 0.0)], "q2cv_ext double, rmse_cv_ext double")
+
+
 LEV = "1 / fit.n + ((a - ma) ** 2 * sbb - 2 * (a - ma) * (b - mb) * sab + (b - mb) ** 2 * saa) / det"
 
 

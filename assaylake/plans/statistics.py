@@ -269,3 +269,15 @@ def _(spark, sf):
     mean = ev.agg(F.avg("value")).first()[0]
     d = O.durbin_watson(ev.select("ts", "event_id", (F.col("value") - F.lit(mean)).alias("e")), ["ts", "event_id"], "e")
     return d.withColumn("durbin_watson", rnd("durbin_watson", 8))
+
+
+@query(
+    "sta_02_group_p_values",
+    f"""WITH g AS (SELECT l_orderkey, count(*) AS n, corr(l_extendedprice, l_quantity) AS r FROM lineitem GROUP BY 1 HAVING count(*) BETWEEN 3 AND 6 AND var_pop(l_quantity) > 0 AND var_pop(l_extendedprice) > 0),
+        t AS (SELECT *, n - 2 AS df, CASE WHEN abs(r) >= 1 THEN pi() / 2 ELSE atan(abs(r) / sqrt(1 - r * r)) END AS a FROM g)
+        SELECT l_orderkey, n, {R('r', 8)} AS correlation, {R("CASE df WHEN 1 THEN 1 - 2 / pi() * a WHEN 2 THEN 1 - abs(r) WHEN 3 THEN 1 - 2 / pi() * (a + sin(a) * cos(a)) ELSE 1 - abs(r) * (3 - r * r) / 2 END", 6)} AS p_value FROM t""",
+)
+def _(spark, sf):
+    """Correlation and p-value per order; for one to four degrees of freedom the distribution has a closed form."""
+    g = S.correlation_by_group(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity", "l_extendedprice").where("n BETWEEN 3 AND 6 AND correlation IS NOT NULL")
+    return g.select("l_orderkey", "n", rnd("correlation", 8).alias("correlation"), rnd("p_value", 6).alias("p_value"))
