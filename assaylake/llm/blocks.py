@@ -55,6 +55,18 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
+def white_cuts(data: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``size`` that end in front of white space, so no word is cut; a longer word is one range."""
+    at = 0
+    while at < len(data):
+        to = min(at + size, len(data))
+        while to < len(data) and not WHITE[data[to]]:
+            ahead = np.flatnonzero(WHITE[data[to : to + size]])
+            to = min(to + (int(ahead[0]) if len(ahead) else size), len(data))
+        yield at, to
+        at = to
+
+
 @lru_cache(maxsize=8)
 def _table(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
@@ -104,6 +116,36 @@ class SpanHash:
         return mix((self._sum[width:] - self._sum[:n]) * self._down[:n] + np.uint64(width))
 
 
+def before(mask: np.ndarray, points: np.ndarray, step: int = BLOCK_BYTES) -> np.ndarray:
+    """How many entries of ``mask`` are true in front of each of the ascending ``points``, without a running sum over all entries."""
+    out, carry = np.zeros(len(points), np.int64), 0
+    for a in range(0, len(mask), step):
+        part = np.cumsum(mask[a : a + step])
+        lo, hi = np.searchsorted(points, [a + 1, a + len(part)], "left")[0], np.searchsorted(points, a + len(part), "right")
+        out[lo:hi] = carry + part[points[lo:hi] - a - 1]
+        carry += int(part[-1])
+    return out
+
+
+def long_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, step: int = BLOCK_BYTES) -> np.ndarray:
+    """Hashes of ascending spans of any length, equal for equal bytes, with memory for one step of the data."""
+    points = np.unique(np.concatenate([starts, ends]))
+    total, unit = np.zeros(len(points), np.uint64), np.ones(len(points), np.uint64)
+    carry, up, down = 0, 1, 1
+    powers_up, powers_down = _powers(min(step, len(data)))
+    table, every = _table(seed), 1 << 64
+    for a in range(0, len(data) + 1, step):
+        part = np.concatenate([[np.uint64(0)], np.cumsum(table[data[a : a + step]] * powers_up[: len(data[a : a + step])], dtype=np.uint64)])
+        lo, hi = np.searchsorted(points, a, "left"), np.searchsorted(points, a + step, "left")
+        here = points[lo:hi] - a
+        total[lo:hi] = part[here] * np.uint64(up) + np.uint64(carry)
+        unit[lo:hi] = powers_down[here] * np.uint64(down)
+        carry = (carry + int(part[-1]) * up) % every
+        up, down = up * pow(_BASE, step, every) % every, down * pow(_INVERSE, step, every) % every
+    first, last = np.searchsorted(points, starts), np.searchsorted(points, ends)
+    return mix((total[last] - total[first]) * unit[first] + (ends - starts).astype(np.uint64))
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all words of a block; words end at document borders."""
     if len(data) == 0:

@@ -4,7 +4,8 @@ A document is covered by overlapping chunks of ``WIDTH`` bytes, ``STRIDE``
 apart. Every byte has a learned vector, every filter is a learned weight over
 the vectors of one chunk. Filter responses are max-pooled over segments of
 ``SEGMENT`` chunks; the mean and the maximum over all segments enter one
-logistic unit. The network is fitted by gradient descent on a bounded sample of
+logistic unit. Prediction goes through a long text ``GROUP`` segments at a time and
+keeps only the running sum and maximum, so memory does not follow its length. The network is fitted by gradient descent on a bounded sample of
 labelled rows; prediction is one pass without a shuffle.
 
 Special cases: a null or empty text is one chunk of zero bytes and gets a score
@@ -23,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm.blocks import blocks
-from assaylake.llm.frames import labelled_sample
+from assaylake.llm.frames import SAMPLE_BYTES, labelled_sample
 
 WIDTH, STRIDE, SEGMENT = 12, 4, 32
+GROUP = 2048  # segments of a long text that are worked on together (256 kB)
 
 
 @dataclass
@@ -78,6 +80,21 @@ def forward(net: ByteNet, window: np.ndarray, bounds: np.ndarray) -> tuple[np.nd
     return mean @ net.mean_weight + most @ net.max_weight + net.offset[0], (vec, z, top, act, mean, most)
 
 
+def logits(net: ByteNet, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``forward`` without what the gradient needs, in bounded memory for one long text."""
+    step = GROUP * SEGMENT * STRIDE
+    if len(offsets) != 2 or len(data) <= step:
+        return forward(net, *chunks(data, offsets))[0].astype(np.float64)
+    total, most, count = np.zeros(net.filters.shape[1]), np.zeros(net.filters.shape[1], np.float32), 0
+    for at in range(0, len(data), step):
+        if at and len(data) - at <= WIDTH - STRIDE:
+            break  # these bytes belong to the last chunk of the group before
+        part = data[at : at + step + WIDTH - STRIDE]
+        act = forward(net, *chunks(part, np.array([0, len(part)])))[1][3]
+        total, most, count = total + act.sum(axis=0, dtype=np.float64), np.maximum(most, act.max(axis=0)), count + len(act)
+    return np.array([(total / count).astype(np.float32) @ net.mean_weight + most @ net.max_weight + net.offset[0]], np.float64)
+
+
 def _gradients(net: ByteNet, window: np.ndarray, bounds: np.ndarray, gold: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     logit, (vec, z, top, act, mean, most) = forward(net, window, bounds)
     d = ((1 / (1 + np.exp(-logit)) - gold) * weight / weight.sum()).astype(np.float32)
@@ -102,12 +119,25 @@ def _gradients(net: ByteNet, window: np.ndarray, bounds: np.ndarray, gold: np.nd
     return [d_vec, d_filters, d_top.sum(axis=0), mean.T @ d, most.T @ d, np.array([d.sum()], np.float32)]
 
 
+def batches_of(order: np.ndarray, sizes: list[int], most: int, most_bytes: int = 1 << 19) -> Iterator[np.ndarray]:
+    """Rows in order, at most ``most`` and about ``most_bytes`` at a time; a longer text is a batch of its own."""
+    taken, total = [], 0
+    for k in order.tolist():
+        if taken and (len(taken) == most or total + sizes[k] > most_bytes):
+            yield np.array(taken)
+            taken, total = [], 0
+        taken.append(k)
+        total += sizes[k]
+    if taken:
+        yield np.array(taken)
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, *, label: str = "quality", only: Column | None = None, max_rows: int = 2400, max_chars: int = 20_000,
+    docs: DataFrame, labels: DataFrame, *, label: str = "quality", only: Column | None = None, max_rows: int = 2400, max_bytes: int = SAMPLE_BYTES,
     epochs: int = 14, batch: int = 48, rate: float = 0.01, seed: int = 5,
 ) -> ByteNet | None:
-    """Fit on at most ``max_rows`` labelled documents of at most ``max_chars`` characters; both classes weigh the same."""
-    rows = labelled_sample(docs, labels, [label], max_rows, max_chars, F.col(label).isin(0, 1) if only is None else only & F.col(label).isin(0, 1))
+    """Fit on at most ``max_rows`` labelled documents of ``max_bytes`` together; both classes weigh the same."""
+    rows = labelled_sample(docs, labels, [label], max_rows, max_bytes, F.col(label).isin(0, 1) if only is None else only & F.col(label).isin(0, 1))
     gold = np.array([r[label] for r in rows], np.float32)
     if len(gold) == 0 or min(gold.sum(), (1 - gold).sum()) < 10:
         return None
@@ -117,8 +147,7 @@ def fit(
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     for epoch in range(epochs):
         order = rng.permutation(len(raw))
-        for i in range(0, len(order), batch):
-            pick = order[i : i + batch]
+        for pick in batches_of(order, [len(r) for r in raw], batch):
             data = np.concatenate([raw[k] for k in pick])
             offsets = np.concatenate([[0], np.cumsum([len(raw[k]) for k in pick])])
             window, bounds = chunks(data, offsets)
@@ -142,7 +171,7 @@ def score(docs: DataFrame, net: ByteNet | None, *, text: str = "text", key: str
             for i, j, data, offsets in blocks(batch.column(1), 1 << 18):
                 p = np.full(j - i, 0.5)
                 if shared.value is not None:
-                    logit = forward(shared.value, *chunks(data, offsets))[0].astype(np.float64)
+                    logit = logits(shared.value, data, offsets)
                     p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[key, "score", "predicted"]

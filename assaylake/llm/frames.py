@@ -55,13 +55,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, max_chars: int, only: Column | None = None) -> list[dict]:
+SAMPLE_BYTES = 32 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, max_bytes: int = SAMPLE_BYTES, only: Column | None = None) -> list[dict]:
     """At most ``max_rows`` labelled documents, picked by a hash of their id, collected for fitting.
 
     Rows with a null id or label are left out; of a repeated id the smallest
-    labels count, and the smallest text. Texts over ``max_chars`` characters do
-    not take part in fitting (they are predicted like all others). Only the
-    bounded list of ids is sent to the scan of the texts; texts are not shuffled.
+    labels count, and the smallest text. The texts together hold at most
+    ``max_bytes``: they are taken in the order of the hash while they fit, whatever
+    their length; only a text of more than a sixteenth of the bound is passed over, so
+    that one text can not take the place of all others. Only the bounded list of ids
+    is sent to the scan of the texts; texts are not shuffled.
     """
     spark = docs.sparkSession
     wanted = labels.where(F.col("doc_id").isNotNull())
@@ -75,10 +80,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     )
     if not picked:
         return []
-    ids = spark.createDataFrame([(r["doc_id"],) for r in picked], f"doc_id {dict(labels.dtypes)['doc_id']}")
     label = {r["doc_id"]: r["label"].asDict() for r in picked}
+    kind = dict(labels.dtypes)["doc_id"]
+    texts_of = lambda ids, *c: docs.where("text is not null").select("doc_id", *c).join(F.broadcast(spark.createDataFrame([(k,) for k in ids], f"doc_id {kind}")), "doc_id")
+    size: dict = {}
+    for r in texts_of(label, F.octet_length("text").alias("n")).collect():
+        size[r["doc_id"]] = max(size.get(r["doc_id"], 0), r["n"])
+    chosen, total = [], 0
+    for k in label:
+        if k in size and size[k] <= max_bytes // 16:
+            if total + size[k] > max_bytes:
+                break
+            chosen.append(k)
+            total += size[k]
     texts: dict = {}
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    for r in rows.collect():
+    for r in texts_of(chosen, "text").collect() if chosen else []:
         texts[r["doc_id"]] = min(texts.get(r["doc_id"], r["text"]), r["text"])
-    return [{"doc_id": k, "text": texts[k], **label[k]} for k in label if k in texts]
+    return [{"doc_id": k, "text": texts[k], **label[k]} for k in chosen]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.blocks import batch_of, blocks, mix, sums
+from assaylake.llm.blocks import BLOCK_BYTES, batch_of, blocks, mix, sums
 
 GRAM = 4  # bytes
 
@@ -137,7 +137,14 @@ def fit(
 
 
 def counts(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per document: number of n-grams, and how many of them each language's filter contains."""
+    """Per document: number of n-grams, and how many of them each language's filter contains; a long text is counted piece by piece."""
+    if len(offsets) == 2 and len(data) > 2 * BLOCK_BYTES:
+        total, hits = np.zeros(1, np.int64), np.zeros((1, len(model.languages)))
+        for at in range(0, len(data) - GRAM + 1, BLOCK_BYTES):
+            part = data[at : at + BLOCK_BYTES + GRAM - 1]  # pieces share what a gram needs
+            more = counts(model, part, np.array([0, len(part)]))
+            total, hits = total + more[0], hits + more[1]
+        return total, hits
     codes, bounds = grams(data, offsets)
     slots = _slots(codes, model.bits, model.hashes)
     hits = np.zeros((len(offsets) - 1, len(model.languages)))

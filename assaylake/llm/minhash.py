@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.blocks import SpanHash, blocks, fold_case, mix, signed, word_spans
+from assaylake.llm.blocks import BLOCK_BYTES, SpanHash, blocks, fold_case, mix, signed, white_cuts, word_spans
 from assaylake.llm.frames import written
 from assaylake.llm.graph import components
 
@@ -44,6 +44,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     A text of fewer than ``size`` words has its whole sequence as one shingle,
     one without words has none.
     """
+    if len(offsets) == 2 and len(data) > 2 * BLOCK_BYTES:
+        return _long_set(data, size)
     data = fold_case(data)
     starts, ends = word_spans(data, offsets)
     words = SpanHash(data, seed=3)(starts, ends)
@@ -66,6 +68,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return h[fresh], np.searchsorted(doc[fresh], np.arange(len(n) + 1))
 
 
+def _long_set(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set of one long text: word hashes piece by piece, then distinct shingles of runs of words."""
+    parts = []
+    for a, b in white_cuts(data):
+        piece = fold_case(data[a:b])
+        parts.append(SpanHash(piece, seed=3)(*word_spans(piece, np.array([0, b - a]))))
+    words = np.concatenate(parts)
+    step, found = 1 << 17, []
+    for at in range(0, max(len(words) - size + 1, 1), step):
+        run = words[at : at + step + size - 1]
+        n = len(run) - size + 1 if len(run) >= size else min(len(run), 1)
+        h = np.full(n, min(size, len(run)), np.uint64)
+        for k in range(min(size, len(run))):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + run[k : k + n])
+        found.append(np.unique(h))
+    items = np.unique(np.concatenate(found))
+    return items, np.array([0, len(items)])
+
+
 def signatures(h: np.ndarray, bounds: np.ndarray, permutations: int, seed: int = 11) -> np.ndarray:
     """(texts, 2 * permutations): minima first, then maxima; rows of empty sets stay 0."""
     out = np.zeros((len(bounds) - 1, 2 * permutations), np.uint64)

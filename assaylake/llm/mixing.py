@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.blocks import WHITE, SpanHash, blocks, fold_case, sums
-from assaylake.llm.frames import labelled_sample, written
+from assaylake.llm.blocks import BLOCK_BYTES, WHITE, SpanHash, blocks, fold_case, sums, white_cuts
+from assaylake.llm.frames import SAMPLE_BYTES, labelled_sample, written
 
 _KIND = np.full(256, 1, np.int8)  # letters, digits and all bytes above ASCII
 _KIND[:128] = [1 if chr(b).isalnum() else 2 for b in range(128)]  # punctuation runs are tokens too
@@ -47,6 +47,12 @@ class DomainModel:
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes, their documents, shape features per document, and words per document."""
+    token, doc, raw = _tokens(data, offsets)
+    return token, doc, _shape(raw), raw[:, 4].astype(np.int64)
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes, their documents, and per document: bytes, punctuation bytes, capitals, tokens that repeat the one before, words, tokens."""
     folded = fold_case(data)
     kind = _KIND[data]
     edge = np.ones(len(data) + 1, bool)
@@ -58,20 +64,21 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, ends = starts[real], ends[real]
     token = SpanHash(folded, seed=13)(starts, ends)
     doc = np.searchsorted(offsets, starts, "right") - 1
-    size = np.maximum(np.diff(offsets), 1)
     again = np.zeros(len(token), bool)
     again[1:] = (token[1:] == token[:-1]) & (doc[1:] == doc[:-1])
     n = len(offsets) - 1
-    counted = np.bincount(doc, minlength=n)
-    shape = np.stack([
-        np.ones(n), sums(kind == 2, offsets) / size * 10, sums((data >= 0x41) & (data <= 0x5A), offsets) / size * 5, np.bincount(doc, weights=again, minlength=n) / np.maximum(counted, 1) * 5,
-    ], axis=1)
     solid = kind > 0
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
     begin[first] = solid[first]
-    return token, doc, shape, sums(begin, offsets)
+    raw = [np.diff(offsets), sums(kind == 2, offsets), sums((data >= 0x41) & (data <= 0x5A), offsets), np.bincount(doc, weights=again, minlength=n), sums(begin, offsets), np.bincount(doc, minlength=n)]
+    return token, doc, np.stack(raw, axis=1).astype(np.float64)
+
+
+def _shape(raw: np.ndarray) -> np.ndarray:
+    size, tokens = np.maximum(raw[:, 0], 1), np.maximum(raw[:, 5], 1)
+    return np.stack([np.ones(len(raw)), raw[:, 1] / size * 10, raw[:, 2] / size * 5, raw[:, 3] / tokens * 5], axis=1)
 
 
 def _hits(tokens: np.ndarray, token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +91,27 @@ def _hits(tokens: np.ndarray, token: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     return pair // len(tokens), pair % len(tokens)
 
 
+def _long_text(tokens: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known tokens and counts of one long text, piece by piece."""
+    known, raw, last = np.zeros(0, np.int64), np.zeros((1, 6)), None
+    for a, b in white_cuts(data):
+        token, doc, more = _tokens(data[a:b], np.array([0, b - a]))
+        known = np.union1d(known, _hits(tokens, token, doc)[1])
+        raw += more
+        if len(token):
+            raw[0, 3] += last is not None and token[0] == last
+            last = token[-1]
+    return np.zeros(len(known), np.int64), known, raw
+
+
 def posteriors_of(model: DomainModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    token, doc, shape, words = _features(data, offsets)
-    d, t = _hits(model.tokens, token, doc)
-    logit = shape @ model.shape_weights
+    if len(offsets) == 2 and len(data) > 2 * BLOCK_BYTES:
+        d, t, raw = _long_text(model.tokens, data)
+    else:
+        token, doc, raw = _tokens(data, offsets)
+        d, t = _hits(model.tokens, token, doc)
+    words = raw[:, 4].astype(np.int64)
+    logit = _shape(raw) @ model.shape_weights
     for k in range(len(model.domains)):
         logit[:, k] += np.bincount(d, weights=model.weights[t, k], minlength=len(offsets) - 1)
     p = np.exp(logit - logit.max(axis=1, keepdims=True))
@@ -107,13 +131,13 @@ def telling(counts: np.ndarray, sizes: np.ndarray, least: int, evidence: float)
     return ((counts >= least) & (cells[0] > by_chance[0]) & (ratio >= evidence)).any(axis=1)
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", max_rows: int = 5000, max_chars: int = 20_000, least: int = 5, evidence: float = 15.0, steps: int = 60, ridge: float = 0.01) -> DomainModel | None:
+def fit_domains(docs: DataFrame, labels: DataFrame, *, domain: str = "domain", max_rows: int = 5000, max_bytes: int = SAMPLE_BYTES, least: int = 5, evidence: float = 15.0, steps: int = 60, ridge: float = 0.01) -> DomainModel | None:
     """Fit on at most ``max_rows`` labelled documents; ``labels`` has (doc_id, domain).
 
     Only tokens tied to a domain take part (see ``telling``), however rare they
     are in the sample; all others would let the fit learn documents by heart.
     """
-    rows = labelled_sample(docs, labels, [domain], max_rows, max_chars)
+    rows = labelled_sample(docs, labels, [domain], max_rows, max_bytes)
     names = tuple(sorted({str(r[domain]) for r in rows}))
     if len(names) < 2:
         return None

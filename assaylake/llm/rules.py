@@ -10,6 +10,9 @@ The weights are fitted on a bounded sample of ``labels.quality``: every line of
 a labelled document carries the document's label. Without usable labels the
 prior weights below apply.
 
+Memory is that of the words and lines of a text (about 20 bytes per byte), not of
+running sums over its bytes.
+
 Special cases: a null or empty text has no words, fails the base rules and is
 not kept. Lines without a word belong to the sequence but hold no characters.
 Ties of the Viterbi path go to content. Repeated rows give repeated results;
@@ -26,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.blocks import SpanHash, blocks, mix, sums, word_spans
-from assaylake.llm.frames import labelled_sample
+from assaylake.llm.blocks import WHITE, before, blocks, long_spans, mix, sums, word_spans
+from assaylake.llm.frames import SAMPLE_BYTES, labelled_sample
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True  # fixed value: the symbol rule
@@ -64,16 +67,12 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Lines:
     n = len(offsets) - 1
     starts, ends = word_spans(data, offsets)
     word_bounds = np.searchsorted(starts, offsets, "left")
-    solid = np.zeros(len(data) + 1, np.int32)
-    solid[starts] += 1
-    solid[ends] -= 1
-    chars = (np.cumsum(solid)[:-1] > 0) & ((data & 0xC0) != 0x80)
+    chars = ~WHITE[data] & ((data & 0xC0) != 0x80)
     symbols = SYMBOLS[data]
     doc_of_word = np.repeat(np.arange(n), np.diff(word_bounds))
 
     # Windows of eight words found twice or more in their document.
-    hashed = SpanHash(data)
-    words = hashed(starts, ends)
+    words = long_spans(data, starts, ends)
     covered = np.zeros(len(words) + 1, np.int32)
     if len(words) >= WINDOW:
         first = np.arange(len(words) - WINDOW + 1)
@@ -101,34 +100,34 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Lines:
     first_word, last_word = np.searchsorted(starts, line_start), np.searchsorted(starts, line_end)
     with_word = last_word > first_word
     doc_of_line = np.repeat(np.arange(n), per_doc)
-    key = mix(hashed(line_start, line_end) ^ (doc_of_line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    key = mix(long_spans(data, line_start, line_end) ^ (doc_of_line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.lexsort((np.arange(len(key)), key))
     same = np.zeros(len(key), bool)
     same[order[1:]] = key[order[1:]] == key[order[:-1]]
     dup = same & with_word
 
     total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-    over = lambda t: t[line_end] - t[line_start]
-    line_chars = over(total(chars)).astype(np.float64)
+    over = lambda mask: (before(mask, line_end) - before(mask, line_start)).astype(np.float64)
+    line_chars, line_symbols = over(chars), over(symbols)
     size = np.maximum(line_chars, 1)
     n_line_words = (last_word - first_word).astype(np.float64)
     tail = np.where(with_word, data[np.maximum(ends[np.maximum(last_word - 1, 0)] - 1, 0)] if len(ends) else 0, 0) if len(data) else np.zeros(len(key))
     features = np.stack([
         np.ones(len(key)),
-        np.minimum(over(total(symbols)) / size, 1.0),
-        over(total((data >= 0x30) & (data <= 0x39))) / size,
-        over(total((data >= 0x41) & (data <= 0x5A))) / size,
+        np.minimum(line_symbols / size, 1.0),
+        over((data >= 0x30) & (data <= 0x39)) / size,
+        over((data >= 0x41) & (data <= 0x5A)) / size,
         np.isin(tail, [ord("."), ord("?"), ord("!"), ord(",")]).astype(float),
         (n_line_words < 4).astype(float),
         (line_chars / np.maximum(n_line_words, 1) > 12).astype(float),
         dup.astype(float),
         (total(repeated)[last_word] - total(repeated)[first_word]) / np.maximum(n_line_words, 1),
         (~with_word).astype(float),
-        (over(total(symbols)) > 0.04 * size).astype(float),
+        (line_symbols > 0.04 * size).astype(float),
         (total(stutter)[last_word] - total(stutter)[first_word]) / np.maximum(n_line_words, 1),
     ], axis=1)
     return Lines(
-        np.diff(word_bounds), sums(chars, offsets), sums(symbols, offsets), sums(dup, line_bounds), sums(repeated, word_bounds),
+        np.diff(word_bounds), np.diff(before(chars, offsets)), np.diff(before(symbols, offsets)), sums(dup, line_bounds), sums(repeated, word_bounds),
         line_bounds, features, line_chars,
     )
 
@@ -203,9 +202,9 @@ def _gradient(model: LineModel, features: np.ndarray, bounds: np.ndarray, gold:
     return features.T @ (gold - p[:, 1]) / n, (seen - pair) / n
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, max_chars: int = 30_000, rounds: int = 200, ridge: float = 1e-3, transition_ridge: float = 1e-2) -> LineModel:
-    """Fit on at most ``max_rows`` labelled documents of at most ``max_chars`` characters. (Adam on the log-likelihood)."""
-    rows = labelled_sample(docs, labels, ["quality"], max_rows, max_chars, F.col("quality").isin(0, 1))
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, max_bytes: int = SAMPLE_BYTES, rounds: int = 200, ridge: float = 1e-3, transition_ridge: float = 1e-2) -> LineModel:
+    """Fit on at most ``max_rows`` labelled documents of ``max_bytes`` together (Adam on the log-likelihood)."""
+    rows = labelled_sample(docs, labels, ["quality"], max_rows, max_bytes, F.col("quality").isin(0, 1))
     good, bad = [r["text"] for r in rows if r["quality"] == 1], [r["text"] for r in rows if r["quality"] == 0]
     if len(good) < 10 or len(bad) < 10:
         return PRIOR
