@@ -4,8 +4,8 @@
    document posterior probabilities of the domains (multinomial logistic
    regression on the presence of tokens tied to a domain and three shape features).
 2. Nonnegative rates per document are fitted so that expected domain totals
-   sum(rate * tokens * posterior) match the targets: least squares, a miss
-   measured by the supply of its domains, by projected gradient from rate 1 on. A gradient
+   sum(rate * tokens * posterior) match the targets: least squares by
+   projected gradient from rate 1 on, each rate's step bounded by its own curvature. A gradient
    is a few numbers per domain, so a step is one Spark aggregate, and a document's
    rate is found again from the list of steps: no per-document state is kept.
 
@@ -33,7 +33,6 @@ _KIND = np.full(256, 1, np.int8)  # letters, digits and all bytes above ASCII
 _KIND[:128] = [1 if chr(b).isalnum() else 2 for b in range(128)]  # punctuation runs are tokens too
 _KIND[WHITE] = 0
 ROWS_A_TASK = 100_000
-FLAT = 1e-6  # smallest eigenvalue of the domains' correlation that counts, relative to the largest
 TARGET_TOLERANCE = 1e-3  # of a domain's own target; a larger miss is a warning of ``mix``
 
 
@@ -190,18 +189,25 @@ def posteriors(docs: DataFrame, model: DomainModel, *, text: str = "text", key:
 
 @dataclass(frozen=True)
 class RateSteps:
-    """The way from rate 1 to the fitted rates: what every step takes off per unit of posterior, and the momentum behind it."""
+    """The way from rate 1 to the fitted rates: the domains' misses at every step, and the momentum behind it.
 
-    gradients: np.ndarray  # (steps, domains)
+    A step takes (posterior . miss) / (posterior . supply) off a rate. That is the
+    gradient over a bound of its own curvature, so a document of a rare domain
+    moves as fast as one of a common domain.
+    """
+
+    misses: np.ndarray  # (steps, domains)
     momentum: np.ndarray  # (steps,)
-    shrink: float = 0.0  # share of its distance to 1 that a rate loses per step (the pull)
+    supply: np.ndarray  # (domains,)
+    pull: float = 0.0
 
     def follow(self, p: np.ndarray, max_rate: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rates of rows with posteriors ``p``: the point where the next gradient is taken, the last rates, and those before."""
         ahead, rate, earlier = (np.ones(len(p)) for _ in range(3))
-        for gradient, momentum in zip(self.gradients, self.momentum):
+        bound = np.maximum(p @ self.supply, 1e-300)
+        for miss, momentum in zip(self.misses, self.momentum):
             earlier = rate
-            rate = np.clip(ahead - p @ gradient - self.shrink * (ahead - 1), 0, max_rate)
+            rate = np.clip(ahead - (p @ miss / bound + self.pull * (ahead - 1)) / (1 + self.pull), 0, max_rate)
             ahead = rate + momentum * (rate - earlier)
         return ahead, rate, earlier
 
@@ -232,11 +238,9 @@ def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], *
 
     ``targets`` are shares per domain (missing: 0) of ``total`` tokens; ``total``
     None means the expected tokens of the domains with a target. What is made
-    small is miss' G^-1 miss + pull * sum over documents tokens * (rate - 1)^2,
-    with the miss = expected - wanted and G = sum of tokens * posterior posterior'.
-    In that measure a miss counts by how far rates would have to move for it, so
-    how common a domain is does not matter, and without bounds on the rates one step
-    arrives. Steps carry momentum, which starts anew when the objective rises.
+    small is sum over domains (expected - wanted)^2 + ``pull`` * sum over documents
+    tokens * (posterior . supply) * (rate - 1)^2. Steps carry momentum, which starts
+    anew when the objective rises.
 
     The work ends when all targets are met to ``tolerance`` of their domain's
     wanted and given tokens, or when a step without momentum moves no domain by
@@ -247,39 +251,33 @@ def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], *
     """
     k = len(model.domains)
     table = table.coalesce(max(1, -(-table.count() // ROWS_A_TASK)))
-    first = _aggregate(table, k + k * k, lambda p, n: np.concatenate([n @ p, ((p * n[:, None]).T @ p).reshape(-1)]))
-    supply, cross = first[:k], first[k:].reshape(k, k)
+    supply = _aggregate(table, k, lambda p, n: n @ p)
     share = np.array([targets.get(name, 0.0) for name in model.domains])
-    none = RateSteps(np.zeros((0, k)), np.zeros(0))
+    none = RateSteps(np.zeros((0, k)), np.zeros(0), supply, pull)
     if share.sum() <= 0 or supply.sum() <= 0:
         return none, supply, supply
     share = share / share.sum()
     wanted = share * (supply[share > 0].sum() if total is None else total)
-    own = np.sqrt(np.maximum(np.diag(cross), 1e-12 * supply.sum()))
-    values, vectors = np.linalg.eigh(cross / own[:, None] / own)
-    inverse = (vectors / np.maximum(values, FLAT * values.max())) @ vectors.T / own[:, None] / own
-    step = 1 / (1 + pull)
     allowed = tolerance * np.maximum(np.maximum(supply, wanted), 1e-12 * supply.sum())
 
-    gradients, momentum = [], []
-    ahead, reached, strayed = supply, supply, 0.0
-    best, best_value, age = (none, supply), np.inf, 1.0
-    value_before = float((supply - wanted) @ inverse @ (supply - wanted))
+    misses, momentum = [], []
+    ahead, reached, best, best_value, age = supply, supply, (none, supply), np.inf, 1.0
+    value_before = float(((supply - wanted) ** 2).sum())
     for _ in range(rounds):
         if not pull and (np.abs(reached - wanted) <= allowed).all():
             break
-        gradients.append(step * inverse @ (ahead - wanted))
+        misses.append(ahead - wanted)
         following = (1 + np.sqrt(1 + 4 * age * age)) / 2
         momentum.append((age - 1) / following)
-        steps = RateSteps(np.array(gradients), np.array(momentum), step * pull)
+        steps = RateSteps(np.array(misses), np.array(momentum), supply, pull)
 
         def sums_of(p: np.ndarray, n: np.ndarray, steps: RateSteps = steps) -> np.ndarray:
             here, rate, earlier = steps.follow(p, max_rate)
-            return np.concatenate([(n * here) @ p, (n * rate) @ p, (n * np.abs(rate - earlier)) @ p, [n @ (rate - 1) ** 2]])
+            return np.concatenate([(n * here) @ p, (n * rate) @ p, (n * np.abs(rate - earlier)) @ p, [(n * (p @ supply)) @ (rate - 1) ** 2]])
 
         found = _aggregate(table, 3 * k + 1, sums_of)
-        ahead, reached, moved, strayed = found[:k], found[k : 2 * k], found[2 * k : 3 * k], float(found[-1])
-        value = float((reached - wanted) @ inverse @ (reached - wanted)) + pull * strayed
+        ahead, reached, moved = found[:k], found[k : 2 * k], found[2 * k : 3 * k]
+        value = float(((reached - wanted) ** 2).sum()) + pull * float(found[-1])
         if value < best_value:
             best, best_value = (steps, reached), value
         plain = len(momentum) == 1 or momentum[-2] == 0  # the last step began where the rates were
