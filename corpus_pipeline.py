@@ -15,7 +15,7 @@ from assaylake.llm import minhash, mixing, packing, repeats, rules
 from assaylake.llm.frames import documents, table, written
 from assaylake.llm.queries import domains_of
 
-PULL = 0.2  # weight of a document's distance to rate 1 against the domains' misses
+PULL = 0.02  # weight of a document's distance to rate 1 against the domains' misses
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
