@@ -9,6 +9,7 @@ not follow the batch size; one document longer than that forms its own block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -129,6 +130,8 @@ def before(mask: np.ndarray, points: np.ndarray, step: int = BLOCK_BYTES) -> np.
 
 def long_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, step: int = BLOCK_BYTES) -> np.ndarray:
     """Hashes of ascending spans of any length, equal for equal bytes, with memory for one step of the data."""
+    if len(data) <= 2 * step:
+        return SpanHash(data, seed)(starts, ends)
     points = np.unique(np.concatenate([starts, ends]))
     total, unit = np.zeros(len(points), np.uint64), np.ones(len(points), np.uint64)
     carry, up, down = 0, 1, 1
@@ -181,6 +184,15 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are used again, and what an earlier stage held would count against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.blocks import BLOCK_BYTES, WHITE, SpanHash, blocks, fold_case, sums, white_cuts
+from assaylake.llm.blocks import BLOCK_BYTES, WHITE, SpanHash, blocks, fold_case, give_back, sums, white_cuts
 from assaylake.llm.frames import SAMPLE_BYTES, labelled_sample, written
 
 _KIND = np.full(256, 1, np.int8)  # letters, digits and all bytes above ASCII
@@ -178,6 +178,7 @@ def posteriors(docs: DataFrame, model: DomainModel, *, text: str = "text", key:
     k = len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(1)):
                 p, words = posteriors_of(shared.value, data, offsets)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.llm.blocks import give_back
 from assaylake.llm.frames import written
 from assaylake.llm.tokens import encoder
 
@@ -37,6 +38,7 @@ def tokenise(docs: DataFrame, path: str, *, capacity: int = 2048, closing: int =
     end = np.array([closing], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

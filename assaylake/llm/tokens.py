@@ -21,7 +21,7 @@ _PARTS = re.compile(
 )
 _WORD = re.compile(rf" [{_LETTERS}]+\Z")
 _ODD = re.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
-CACHED_PARTS, CACHED_LENGTH, TOGETHER = 1_200_000, 48, 512
+CACHED_PARTS, CACHED_LENGTH, TOGETHER = 600_000, 48, 512
 
 _LOADED: dict = {}
 
