@@ -18,6 +18,9 @@ filled one 0. Repeated rows are fingerprinted alike; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ ANCHORS = (
 ).split()
 ANCHOR_SET = sorted(set(ANCHORS))
 CHAIN = 2
+ROWS_PER_RANGE = 2000
+CUTS = 256
+LARGEST = 2**63 - 1  # of a bigint
 _MARK, _END = "\u0001", "\u0002"
 
 
@@ -74,27 +80,70 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
-def with_next(docs: DataFrame, buckets: int = 256) -> DataFrame:
+def _cut(quantiles: list[int]) -> tuple[list[int], list[int]]:
+    """Cuts at the quantiles, and the slices of each range between them.
+
+    A range has one slice; an id that fills several ranges stands alone between two
+    cuts, and its range has as many slices as it fills.
+    """
+    times = Counter(quantiles)
+    cuts = sorted({*times, *(c + 1 for c, n in times.items() if n > 1 and c < LARGEST)})
+    return cuts, [1, *(times[c] + 1 if times[c] > 1 else 1 for c in cuts)]
+
+
+def _quantiles(ranges: int) -> Column:
+    return F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000) if ranges > 1 else F.array().cast("array<bigint>")
+
+
+def _ranged(rows: DataFrame, order: Column, rows_per_range: int, cuts: int) -> DataFrame:
+    """Adds ``bucket``, which ascends with (doc_id, null last; ``order``) and holds about ``rows_per_range`` rows.
+
+    Ids are cut at approximate quantiles, and where one list of cuts does not do,
+    every range once more by a list of its own. Null ids, and ids that fill ranges
+    alone, are sliced by ``order``, a 64-bit hash. There are at most about
+    7 * cuts ** 2 buckets; beyond cuts ** 2 * rows_per_range rows they grow.
+    """
+    total, filled = rows.agg(F.count("*"), F.count("doc_id")).first()
+    wanted = max(1, -(-filled // rows_per_range))
+    listed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    passed = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.when(F.col("doc_id") >= x, 1).otherwise(0))
+
+    coarse, slices = _cut(rows.agg(_quantiles(min(wanted, cuts))).first()[0] or [])
+    place = passed(listed(coarse, "array<bigint>"))
+    fine = {c: ([], [1]) for c in range(len(coarse) + 1)}
+    if wanted > cuts:  # one row per range, with at most ``cuts`` numbers
+        again = rows.where("doc_id is not null").groupBy(place.alias("place")).agg(_quantiles(min(cuts, -(-wanted // cuts))).alias("q"))
+        fine |= {r["place"]: _cut(r["q"]) for r in again.collect()}
+    width = max(len(f) for f, _ in fine.values()) + 1
+    parts = [[slices[c] * n for n in fine[c][1]] for c in sorted(fine)]
+    nulls = min(cuts**2, -(-(total - filled) // rows_per_range))
+    most = max(nulls, *(max(p) for p in parts)) + 2
+    inner = passed(F.get(listed([fine[c][0] for c in sorted(fine)], "array<array<bigint>>"), place))
+    slice_of = lambda n: F.when(n > 1, F.floor((order.cast("double") / 2.0**64 + 0.5) * n)).otherwise(0)
+    own = F.get(F.get(listed(parts, "array<array<bigint>>"), F.col("__place").cast("int")), F.col("__inner"))
+    return (
+        rows.withColumn("__place", place).withColumn("__inner", inner)
+        .withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(fine) * width * most) + slice_of(F.lit(nulls))).otherwise((F.col("__place").cast("long") * width + F.col("__inner")) * most + slice_of(own)))
+        .drop("__place", "__inner")
+    )
+
+
+def with_next(docs: DataFrame, *, rows_per_range: int = ROWS_PER_RANGE, cuts: int = CUTS) -> DataFrame:
     """(doc_id, text, items: its signatures) and next_text, next_items: those of the next document in ascending id, after the last the first.
 
-    Ids are cut into ranges at approximate quantiles, and the first document of
-    every range also goes to the range before it. So each text moves once, and
-    no range needs another one. Null ids come last; equal ids go by their text.
+    Rows are cut into ranges of the order, as many as their number asks for, and
+    the first document of every range also goes to the range before it. So each
+    text moves once, and no range needs another one. Null ids come last; equal
+    ids go by the hash of their text.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = F.xxhash64("text")
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []))
-    place = (F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col("doc_id") >= c, 1).otherwise(0)) if cuts else F.lit(0))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place)
-    ranged = rows.withColumn("bucket", bucket)
-    ends = [r["bucket"] for r in ranged.groupBy("bucket").agg(F.count("*")).orderBy("bucket").collect()]
-    if not ends:
-        return with_signatures(rows, "text", "items").withColumn("next_text", F.col("text")).withColumn("next_items", F.col("items"))
-    before = F.create_map(*[F.lit(x) for k, b in enumerate(ends) for x in (b, ends[k - 1])])  # the range before; the first one's is the last
+    ranged = _ranged(rows, order, rows_per_range, cuts)
+    every = Window.orderBy("bucket")  # one row per range, a number bounded by ``cuts``
     firsts = ranged.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id"), order.alias("order"))).alias("first"))
-    # One row per range, at most ``buckets`` + 1: small by construction.
+    firsts = firsts.select("bucket", "first", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     heads = ranged.join(F.broadcast(firsts), "bucket").where((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (order == F.col("first.order")))
-    heads = heads.groupBy("bucket").agg(F.first("text").alias("text")).select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", before[F.col("bucket")].alias("bucket"), F.lit(True).alias("ghost"))
+    heads = heads.groupBy("before").agg(F.first("text").alias("text")).select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("before").alias("bucket"), F.lit(True).alias("ghost"))
     both = with_signatures(ranged.withColumn("ghost", F.lit(False)).unionByName(heads), "text", "items")
     window = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_last(), order)
     ahead = F.lead(F.struct("text", "items")).over(window)

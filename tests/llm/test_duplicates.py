@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-
+from pyspark.sql import functions as F
 
 from assaylake.llm import minhash, repeats, spotsigs
 from assaylake.llm.graph import components
@@ -185,6 +185,23 @@ def test_fingerprint_cases(spark):
     assert one["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("cuts", [2, 16, 256])
+def test_next_document_in_many_ranges(spark, cuts):
+    """A third of the rows under one id, a third without an id, copies among both, ids far apart."""
+    rng = random.Random(cuts)
+    ids = [7] * 40 + [None] * 40 + [rng.choice((1, 10**6, 10**15)) * rng.randrange(-50, 50) for _ in range(38)] + [2**63 - 1] * 2
+    df = spark.createDataFrame([(k, f"text {rng.randrange(90)}") for k in ids], "doc_id bigint, text string").repartition(5)
+    got = spotsigs.with_next(df, rows_per_range=3, cuts=cuts).collect()
+    order = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    rows = sorted(((k is None, k or 0, order[t], t) for k, t in ((r["doc_id"], r["text"]) for r in df.collect())))
+    want = [(None if null else k, t, rows[(i + 1) % len(rows)][3]) for i, (null, k, _, t) in enumerate(rows)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((r["doc_id"], r["text"], r["next_text"]) for r in got), key=key) == sorted(want, key=key)
+    buckets = spotsigs._ranged(df, F.xxhash64("text"), 3, cuts).groupBy("bucket").count()
+    if cuts**2 * 3 >= 120:  # as many ranges as the rows ask for
+        assert buckets.agg(F.max("count")).first()[0] <= 12
+
+
 def test_similar_pairs_against_brute_force(spark):
     rng = random.Random(2)
     texts = []
