@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,40 +70,57 @@ def normal_quantile(p: float) -> float:
 TERMS = 300  # steps of the continued fraction; it needs about the square root of the larger parameter
 
 
-def log_gamma_of(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for positive values: Stirling's series eight places further up."""
     up = x + 8.0
-    series = (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi)
+    series = (up - 0.5) * np.log(up) - up + 0.5 * math.log(2 * math.pi)
     for power, divisor in ((1, 12.0), (3, -360.0), (5, 1260.0), (7, -1680.0), (9, 1188.0), (11, -360360.0 / 691)):
-        series = series + 1.0 / (divisor * F.pow(up, F.lit(float(power))))
+        series = series + 1.0 / (divisor * up**power)
     for k in range(8):
-        series = series - F.log(x + float(k))
+        series = series - np.log(x + float(k))
     return series
 
 
+def _fraction(p: np.ndarray, q: np.ndarray, z: np.ndarray, terms: int) -> np.ndarray:
+    """The continued fraction of all rows of a batch; a row leaves when it has converged."""
+    safe = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    out = np.empty(len(z))
+    at, c, d = np.arange(len(z)), np.ones(len(z)), 1.0 / safe(1.0 - (p + q) * z / (p + 1.0))
+    f = d.copy()
+    for m in range(1, terms + 1):
+        for num in (m * (q - m) * z / ((p + 2.0 * m - 1.0) * (p + 2.0 * m)), -(p + m) * (p + q + m) * z / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))):
+            d, c = 1.0 / safe(1.0 + num * d), safe(1.0 + num / c)
+            f = f * c * d
+        done = np.abs(c * d - 1.0) < 1e-15
+        if done.any():
+            out[at[done]] = f[done]
+            at, p, q, z, c, d, f = (v[~done] for v in (at, p, q, z, c, d, f))
+        if not len(at):
+            break
+    out[at] = f
+    return out
+
+
 def beta_inc_of(a: Column, b: Column, x: Column, terms: int = TERMS) -> Column:
-    """Regularised incomplete beta function by its continued fraction, stepped by ``aggregate`` over a fixed sequence."""
-    turned = x > (a + 1.0) / (a + b + 2.0)  # the fraction converges fast below this place
-    p, q = F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b)
-    z = F.when(turned, 1.0 - x).otherwise(x)
-    safe = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(1e-300)
-    first = F.struct(F.lit(1.0).alias("c"), (1.0 / safe(1.0 - (p + q) * z / (p + 1.0))).alias("d"), (1.0 / safe(1.0 - (p + q) * z / (p + 1.0))).alias("f"), F.lit(False).alias("done"))
-
-    def half(acc: Column, num: Column) -> Column:
-        d, c = 1.0 / safe(1.0 + num * acc["d"]), safe(1.0 + num / acc["c"])
-        return F.struct(c.alias("c"), d.alias("d"), (acc["f"] * c * d).alias("f"), (F.abs(c * d - 1.0) < 1e-15).alias("done"))
-
-    def step(acc: Column, m: Column) -> Column:
-        even = m * (q - m) * z / ((p + 2.0 * m - 1.0) * (p + 2.0 * m))
-        odd = -(p + m) * (p + q + m) * z / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))
-        # The first half goes through an array, so that it is worked out once.
-        both = F.element_at(F.transform(F.array(half(acc, even)), lambda h: half(h, odd)), 1)
-        return F.when(acc["done"], acc).otherwise(both)
-
-    fraction = F.aggregate(F.sequence(F.lit(1.0).cast("int"), F.lit(terms)), first, lambda acc, m: step(acc, m.cast("double")), lambda acc: acc["f"])
-    front = F.exp(log_gamma_of(p + q) - log_gamma_of(p) - log_gamma_of(q) + p * F.log(z) + q * F.log1p(-z)) / p
-    value = F.when(z <= 0, 0.0).otherwise(front * fraction)
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(turned, 1.0 - value).otherwise(value))
+    """Regularised incomplete beta function by its continued fraction, over Arrow batches that end when all their rows have converged."""
+
+    @F.pandas_udf("double")
+    def inside(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
+        a, b, x = (v.to_numpy(float, na_value=np.nan) for v in (a, b, x))
+        value = np.full(len(x), np.nan)
+        with np.errstate(all="ignore"):
+            rows = np.flatnonzero((x > 0) & (x < 1) & ~np.isnan(a) & ~np.isnan(b))
+            a, b, x = a[rows], b[rows], x[rows]
+            turned = x > (a + 1.0) / (a + b + 2.0)  # the fraction converges fast below this place
+            p, q, z = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1.0 - x, x)
+            front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
+            v = np.where(z <= 0, 0.0, front * _fraction(p, q, z, terms))
+            value[rows] = np.where(turned, 1.0 - v, v)
+        return pd.Series(value)
+
+    a, b, x = (c.cast("double") for c in (a, b, x))
+    known = a.isNotNull() & b.isNotNull() & x.isNotNull()
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(known, F.coalesce(inside(a, b, x), F.lit(math.nan)))
 
 
 def t_two_sided_of(t: Column, df: Column) -> Column:

@@ -128,3 +128,17 @@ def test_p_values_as_columns(spark):
     g = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 6.0), ("b", 1.0, 1.0), ("b", 2.0, 1.0), ("b", 3.0, 1.0), ("c", 1.0, 1.0), ("c", None, 2.0)], "g string, x double, y double")
     got = {r["g"]: (r["n"], r["correlation"], r["p_value"]) for r in S.correlation_by_group(g, ["g"], "x", "y").collect()}
     assert got == {"a": (3, 1.0, 0.0), "b": (3, None, None), "c": (1, None, None)}
+
+
+def test_p_values_end_with_their_batch_and_keep_nulls(spark):
+    rows = [(a, b, x) for a in (0.5, 1.0, 2.5, 40.0, 5000.0) for b in (0.5, 1.5, 300.0) for x in (0.0, 1e-12, 0.2, 0.5, 0.97, 1.0, 1.5, -1.0)]
+    df = spark.createDataFrame([*rows, (None, 0.5, 0.5), (0.5, None, 0.5), (0.5, 0.5, None)], "a double, b double, x double")
+    got = df.withColumn("v", DI.beta_inc_of(F.col("a"), F.col("b"), F.col("x")))
+    assert "aggregate(" not in got._jdf.queryExecution().executedPlan().toString()  # no fixed number of steps per row
+    for r in got.collect():
+        if None in (r["a"], r["b"], r["x"]):
+            assert r["v"] is None
+        else:
+            assert r["v"] == pytest.approx(DI.beta_inc(r["a"], r["b"], min(max(r["x"], 0.0), 1.0)), rel=1e-9, abs=1e-300)
+    few = spark.createDataFrame([(0.5, float("nan")), (None, 0.5)], "r double, n double")
+    assert [r[0] for r in few.select(DI.beta_inc_of(F.lit(2.0), F.lit(0.5), F.col("n"))).collect()][0] == 1.0
