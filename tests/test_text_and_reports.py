@@ -1,5 +1,8 @@
 """Numbers in text, keys, rules, reports, sheets and scoring on hand-made fixtures."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +183,47 @@ def kow_report(n, short=False):
     return "".join(f"SMILES : C{k}\nCHEM   : name {k}\nMOL FOR: C1\nMOL WT : {k}.5\n{gap}KOWWIN Program (v1.68) Results:\n   Log Kow(version 1.68 estimate): {k}.25\n{gap}" for k in range(n))
 
 
+def test_blanks_are_trimmed_in_linear_work(spark):
+    forms = [" a\t\n", "\u2003a ", "", "  ", "a \u0085", "a \u0085 ", None, "a" + " " * 400_000 + "b "]
+    begin = time.monotonic()
+    got = column(spark, forms, X.strip_all)
+    assert time.monotonic() - begin < 60
+    assert got == ["a", "\u2003a", "", "", "a\u0085", "a \u0085", None, "a" + " " * 400_000 + "b"]
+
+
+def test_sections_of_mixed_lengths_equal_plain_cutting(spark):
+    header = "KOWWIN Program"
+    pieces = ["head é"] + [header + "x" * n for n in (0, 5, 2000, 0, *[0] * 90, 300, 700, 999, 1, 986, 40, 0)]
+    texts = {"a": "".join(pieces), "b": "".join(pieces[1:]), "c": "none", "d": "", "e": "m\u0001" + header, "f": None}
+    got = RP.sections(spark.createDataFrame(list(texts.items()), "file string, content string"), "KOWWIN").collect()
+    want = set()
+    for file, text in texts.items():
+        text = (text or "").replace("\u0001", " ")
+        starts = [m.start() for m in re.finditer(header, text)]
+        for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(text)]), 1):
+            want.add((file, k, text[:a][-1000:], text[a:z]))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_field_values_end_where_their_lines_do(spark):
+    values = ["CCO\nNEXT", "CC \n  O\n\nX : 1", "A\n \t\n\n  B\nC", "A  \nB", "A\n\n\nB\n", "", "A\n\x0b\nB", "A\r\nB", "A\n\r\n B\n"]
+    texts = ["SMILES : x\nSMILES : " + v for v in values]
+
+    def plain(text):
+        value = re.split(r"SMILES\s*:\s*", text)[-1]
+        return re.split(r"(?<!\n)\n(?=\S)", re.sub(r"\n[ \t\r]+(?=\n)", "\n", value), maxsplit=1)[0]
+
+    assert column(spark, texts, lambda c: RP.raw_field(c, "SMILES")) == [plain(t) for t in texts]
+
+
+def test_report_parsers_search_texts_once(spark):
+    """Each field pattern stands once in the plan, not once per use of its value."""
+    files = spark.createDataFrame([("f", "")], "file string, content string")
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert text(RP.parse_bcfbaf(files)).count("Half-Life \\(days\\)") == 1
+    assert text(RP.parse_kocwin(files)).count("Fragment Correction\\(s\\)") == 2
+
+
 def test_sections_with_short_pieces_keep_their_context(spark):
     content = "KOWWIN Program" * 90 + "tail"
     rows = RP.sections(spark.createDataFrame([("f", content)], "file string, content string"), "KOWWIN").orderBy("record_index").collect()
