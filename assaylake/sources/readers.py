@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaylake.functions.text import coerce_numeric_text
+from assaylake.functions.text import coerce_numeric_text, strip_all
 from assaylake.operators.clean import MISSING_TOKENS, tokens_to_null
 from assaylake.session import new_path
 from assaylake.sources.ranges import Brackets, Delimited, records
@@ -174,18 +174,20 @@ def parse_groups(files: DataFrame) -> DataFrame:
     line ``Name``, one per line. Headers are carried down inside each text by
     array functions, so files are parsed side by side and never shuffled.
     """
-    lines = F.transform(F.split("content", "\n"), lambda l: F.regexp_replace(l, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split("content", "\n"), strip_all)
     text = F.array_join(F.filter(lines, lambda l: l != ""), "\n")
     # A marker before every header cuts the text into one piece per group.
     marked = F.regexp_replace(F.concat(F.lit("\n"), text), r"\n(?=\d[^\n]*?\. )", "\u0001")
-    blocks = F.slice(F.split(marked, "\u0001"), F.lit(2), F.size(F.split(marked, "\u0001")))
-    b = files.select("file", F.posexplode(F.when(F.size(F.split(marked, "\u0001")) > 1, blocks)).alias("g", "block"))
-    head = F.regexp_extract("block", r"^([^\n]*)", 1)
-    after = F.slice(F.split("block", "\n"), F.lit(2), F.size(F.split("block", "\n")))
-    start = F.array_position(after, F.lit("Name"))
-    items = F.filter(F.slice(after, start + 1, F.size(after)), lambda l: l != "Name")
+    # In steps, so that no text is cut twice.
+    b = files.select("file", F.split(marked, "\u0001").alias("pieces"))
+    n = F.size("pieces")
+    b = b.select("file", F.posexplode(F.when(n > 1, F.slice("pieces", F.lit(2), n))).alias("g", "block"))
+    b = b.select("file", F.split("block", "\n").alias("lines"))
+    b = b.select("file", F.get("lines", F.lit(0)).alias("head"), F.slice("lines", F.lit(2), F.size("lines")).alias("after"))
+    start = F.array_position("after", F.lit("Name"))
+    items = F.filter(F.slice("after", start + 1, F.size("after")), lambda l: l != "Name")
     rows = b.select(
-        "file", F.regexp_extract(head, r"^(.*?)\. ", 1).alias("group_id"), F.regexp_extract(head, r"^.*?\. (.*)$", 1).alias("group_name"),
+        "file", F.regexp_extract("head", r"^(.*?)\. ", 1).alias("group_id"), F.regexp_extract("head", r"^.*?\. (.*)$", 1).alias("group_name"),
         F.posexplode_outer(F.when(start > 0, items)).alias("item_no", "descriptor"),
     )
     return rows

@@ -80,6 +80,13 @@ def test_groups_file(spark):
     ]
 
 
+def test_groups_file_is_cut_once(spark):
+    df = spark.createDataFrame([("f", "x\n 1. A\t\nName\n  b  c \nName\n\n\n22. B\n"), ("g", ""), ("h", None)], "file string, content string")
+    groups = RD.parse_groups(df)
+    assert {tuple(r) for r in groups.collect()} == {("f", "1", "A", 0, "b  c"), ("f", "22", "B", None, None)}
+    assert groups._jdf.queryExecution().optimizedPlan().toString().count("split(") == 3  # lines, groups, lines of a group
+
+
 def test_probes(spark, tmp_path):
     for name, last, want in (("a", "zażółć".encode(), "utf-8"), ("b", "über".encode("latin1"), "latin1"), ("c", b"plain", "utf-8")):
         (tmp_path / name).write_bytes(b"id,text\n" + b"1,plain ascii\n" * 9000 + b"2," + last + b"\n")
