@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.blocks import WHITE, before, blocks, long_spans, mix, sums, word_spans
+from assaylake.llm.blocks import WHITE, before, blocks, give_back, long_spans, mix, sums, word_spans
 from assaylake.llm.frames import SAMPLE_BYTES, labelled_sample
+from assaylake.llm.tokens import forget
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True  # fixed value: the symbol rule
@@ -244,6 +245,8 @@ def apply(docs: DataFrame, model: LineModel, *, text: str = "text", key: str = "
     names = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_content_lines", "content_share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        give_back()
         m = shared.value
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(1)):
@@ -265,6 +268,8 @@ def keep(docs: DataFrame, model: LineModel, *, text: str = "text", min_words: in
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        give_back()
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(at)):
                 yield batch.slice(i, j - i).filter(pa.array(_decide(shared.value, data, offsets, min_words, max_repeat, min_share)[2]))

@@ -75,3 +75,9 @@ def encoder(path: str) -> Encoder:
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
     return _LOADED[path]
+
+
+def forget() -> None:
+    """Drop the cached parts of a worker that is used again by a stage which encodes nothing."""
+    for e in _LOADED.values():
+        e._cache.clear()

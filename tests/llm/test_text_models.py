@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.llm import convnet, language, queries, rules, suffix_tree
+from assaylake.llm import convnet, language, queries, rules, suffix_tree, tokens
 from assaylake.llm.frames import bucket_of
 from tests.llm.cases import awkward, empty, labels_of
 
@@ -118,6 +119,27 @@ def test_crf_gradient():
     assert h[0, 1] == pytest.approx((value(w, t + step) - value(w, t - step)) / 2e-5, abs=1e-6)
 
 
+def test_rules_stage_drops_cached_token_parts(spark):
+    """A worker that has packed texts holds no token parts any more while it works on rules."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.range(1).selectExpr("id AS doc_id", "'some words to be encoded and then dropped again' AS text").coalesce(1)
+
+    def encode(batches):
+        for batch in batches:
+            tokens.encoder(path)(batch.column(1).to_pylist())
+            assert tokens.encoder(path)._cache
+            yield batch
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(tokens.encoder(path)._cache)]})
+
+    # Whichever worker runs the last stage: either it was used by the first two, or its cache is empty anyway.
+    docs.mapInArrow(encode, docs.schema).count()
+    rules.keep(docs, rules.PRIOR).count()
+    assert [r["n"] for r in docs.mapInArrow(held, "n long").collect()] == [0]
+
+
 def test_rules_cases(spark):
     df = awkward(spark, with_null_id=True)
     model = rules.fit(df, labels_of(df, spark))
