@@ -6,12 +6,13 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.columns import safe_div
+from assaylake.operators.forest import RandomForestClassifier
 from assaylake.operators.neighbors import classify_nearest
 from assaylake.operators.split import kfold, random_split
 
@@ -53,9 +54,12 @@ def decision_tree(features, label, key, max_depth: int = 30, seed: int = 42) ->
 
 
 def random_forest(features, label, key, trees: int = 200, max_depth: int = 30, seed: int = 42) -> Predictor:
-    return _ml(
-        lambda _t: RandomForestClassifier(featuresCol="__x", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed), features, label, key
-    )
+    def run(train: DataFrame, test: DataFrame) -> DataFrame:
+        forest = RandomForestClassifier(featuresCol="__x", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed)
+        vectors = VectorAssembler(inputCols=list(features), outputCol="__x")
+        return forest.fit(vectors.transform(train)).transform(vectors.transform(test)).select(*key, label, "prediction")
+
+    return run
 
 
 def naive_bayes(features, label, key) -> Predictor:

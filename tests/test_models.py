@@ -233,3 +233,33 @@ def test_random_forest_separates_more_than_64_leaves(spark):
     df = spark.createDataFrame(rows * 4, "id int, a double, b double, y int")
     got = classify.random_forest(["a", "b"], "y", ["id"], trees=20)(df, df).collect()
     assert np.mean([r["y"] == r["prediction"] for r in got]) > 0.97
+
+
+def test_random_forest_sends_no_histogram_for_small_nodes(spark, monkeypatch):
+    """Nodes up to the limit are grown from their rows; splitting by histograms first gives the same trees."""
+    from assaylake.operators import forest
+
+    rng = np.random.default_rng(12)
+    rows = [(i, *map(float, rng.normal(size=5).round(1)), float(rng.integers(0, 3))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, e double, y double")
+    run = lambda: classify.random_forest(list("abcde"), "y", ["id"], trees=6)(df.where("id < 450"), df.where("id >= 450"))
+    calls = []
+    real = forest._histogram_splits
+    monkeypatch.setattr(forest, "_histogram_splits", lambda *a: calls.append(len(a[2])) or real(*a))
+    local = {r["id"]: r["prediction"] for r in run().collect()}
+    assert len(local) == 150 and not calls
+    monkeypatch.setattr(forest, "LOCAL_WEIGHT", 40)
+    monkeypatch.setattr(forest, "HISTOGRAM_NODES", 16)
+    assert {r["id"]: r["prediction"] for r in run().collect()} == local and sum(calls) > 60 and max(calls) <= 16
+
+
+def test_random_forest_leaves_constant_and_large_pure_nodes(spark, monkeypatch):
+    from assaylake.operators import forest
+
+    monkeypatch.setattr(forest, "LOCAL_WEIGHT", 20)
+    rows = [(i % 90, 1.0, float(i % 2), float(i % 2) if i < 280 else 1.0) for i in range(300)]  # keys repeat
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    got = classify.random_forest(["a", "b"], "y", ["id"], trees=9)(df, df).collect()
+    assert len(got) == 300 and np.mean([r["y"] == r["prediction"] for r in got]) > 0.9
+    with pytest.raises(ValueError, match="whole numbers"):
+        classify.random_forest(["a", "b"], "y", ["id"], trees=2)(df.withColumn("y", F.lit(0.5)), df)
