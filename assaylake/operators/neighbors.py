@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators.counting import LEAF_POINTS, neighbour_sums
 from assaylake.operators.ordered import with_global_index
 from assaylake.session import materialize
 
@@ -282,33 +283,11 @@ def block_share(queries: DataFrame, base: DataFrame, features: Sequence[str], qu
     return left / max(1, asked.count() * len(parts.size))
 
 
-def neighbour_counts(df: DataFrame, features: Sequence[str], key: str, eps: float, out: str = "neighbours", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbour_counts(df: DataFrame, features: Sequence[str], key: str, eps: float, out: str = "neighbours", block_rows: int = LEAF_POINTS) -> DataFrame:
     """(key, out): rows within ``eps`` of every row, itself included; 0 for rows with a null or NaN feature."""
-    rows = materialize(_vectors(df, features, key), "rows")
-    parts = partition(rows, block_rows)
-    if not len(parts.size):
-        return df.select(key, F.lit(0).cast("long").alias(out))
-    kind = rows.schema["id"].dataType.simpleString()
-    total = rows.count()
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = np.zeros(left.num_rows, np.int64)
-        if left.num_rows and right.num_rows:
-            x, y = _matrix(left.column("x")), _matrix(right.column("y"))
-            step = max(1, (1 << 21) // len(y))
-            edge = 1e-12 * ((x * x).sum(axis=1) + (y * y).sum(axis=1).max()) + SLACK * eps * eps
-            for s in range(0, len(x), step):
-                d2 = squared(x[s : s + step], y)
-                close = d2 <= eps * eps - edge[s : s + step, None]
-                n[s : s + step] = close.sum(axis=1)
-                q, r = np.nonzero(~close & (d2 <= eps * eps + edge[s : s + step, None]))  # too near the border to be left to rounding
-                for t in range(0, len(q), 1 << 16):
-                    a, b = q[t : t + (1 << 16)], r[t : t + (1 << 16)]
-                    n[s : s + step] += np.bincount(a, weights=((x[s + a] - y[b]) ** 2).sum(axis=1) <= eps * eps, minlength=len(d2)).astype(np.int64)
-        return pa.table([left.column("id"), pa.array(n)], names=["id", "n"])
-
-    visiting = visits(rows, parts, lambda b, x, _: b.within(x, np.full(len(x), eps)))
-    found = _met(visiting, parts, total, count, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias(out))
+    rows = materialize(_vectors(df, features, key).withColumn("x", F.transform("x", lambda v: v + 0.0)), "rows")
+    points = materialize(rows.groupBy("x").agg(F.count(F.lit(1)).alias("w")), "points")
+    found = rows.join(neighbour_sums(points, len(features), eps, block_rows), "x").groupBy("id").agg(F.sum("n").alias(out))
     return df.select(key).join(found.withColumnRenamed("id", key), key, "left").select(key, F.coalesce(out, F.lit(0)).alias(out))
 
 

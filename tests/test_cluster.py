@@ -123,3 +123,38 @@ def test_dbscan_keeps_rows_with_nulls_as_noise(spark):
     rows = [(i, 0.1 * (i % 3), 0.0) for i in range(12)] + [(12, None, 0.0), (13, float("nan"), 0.0)]
     got = {r["id"]: (r["cluster"], r["is_core"]) for r in dbscan(spark.createDataFrame(rows, "id int, a double, b double"), ["a", "b"], "id", 0.5, 3).collect()}
     assert len(got) == 14 and got[12] == got[13] == (-1, False) and got[0][0] == 0
+
+
+def test_neighbour_counts_list_no_pairs_of_rows(spark, monkeypatch):
+    """Copies, dense and thin places, several leaves and parts; no block of rows meets its queries pair by pair."""
+    import assaylake.operators.counting as counting
+    import assaylake.operators.neighbors as module
+
+    def stop(*_a):
+        raise AssertionError("rows were dealt to blocks")
+
+    monkeypatch.setattr(module, "visits", stop)
+    rng = np.random.default_rng(21)
+    for d, eps in ((1, 0.2), (2, 0.3), (3, 0.5)):
+        x = np.vstack([rng.uniform(0, 3, (300, d)), rng.normal(1, 0.05, (300, d)), np.tile(rng.normal(2, 0.1, (1, d)), (100, 1))]).round(2)
+        names = [f"f{j}" for j in range(d)]
+        df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(len(x))))
+        want = (sum((x[:, None, j] - x[None, :, j]) ** 2 for j in range(d)) <= eps * eps).sum(1)
+        for visitors in (1 << 19, 150):
+            monkeypatch.setattr(counting, "VISITORS", visitors)
+            got = {r["id"]: r["neighbours"] for r in module.neighbour_counts(df, names, "id", eps, block_rows=60).collect()}
+            assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_counting_measures_few_pairs_in_dense_places(monkeypatch):
+    import assaylake.operators.counting as counting
+
+    rng = np.random.default_rng(22)
+    x = rng.uniform(0, 1, (6000, 2))
+    seen = []
+    real = counting._reach
+    monkeypatch.setattr(counting, "_reach", lambda p, low, high: seen.append(len(p)) or real(p, low, high))
+    got = counting.count_within(x, x, np.full(6000, 3), 0.16)
+    some = rng.choice(6000, 50)
+    assert (got[some] == 3 * (((x[some, None] - x[None]) ** 2).sum(2) <= 0.16).sum(1)).all()
+    assert sum(seen) < 6000 * 6000 / 20
