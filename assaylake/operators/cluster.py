@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -22,8 +25,11 @@ from assaylake.operators.ordered import join_group_rows
 from assaylake.operators.split import row_hash, stratum_cuts
 from assaylake.session import materialize
 
+AT_ONCE = 5  # fits of starting centres that run side by side
 RESTARTS = 10  # fixed value: k-means restarts
 PLAN_LITERALS = 512  # centre values up to which the centres are written into the plan
+TOLERANCE = 1e-4  # fixed value: Spark's, a centre that moves less stands still
+ELBOW_STEPS = 20  # fixed value: Spark's default
 ZERO = 1e-12  # fixed value: a group mean this small counts as zero
 
 
@@ -70,19 +76,91 @@ def vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip").transform(df).select("__x")
 
 
-def kmeans(df: DataFrame, features: Sequence[str], k: int, restarts: int = RESTARTS, seed: int = 42, max_iter: int = 300) -> KMeansResult:
-    """The best of several restarts. Only the feature vectors are kept between the iterations."""
-    data = vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+def _starts(data: DataFrame, settings: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """Spark's starting centres for every (k, seed), several at a time."""
+    find = inheritable_thread_target(data.sparkSession)(
+        lambda s: np.array(KMeans(featuresCol="__x", k=s[0], seed=s[1], maxIter=0).fit(data).clusterCenters())
+    )
+    with ThreadPool(max(1, min(AT_ONCE, len(settings)))) as pool:
+        return pool.map(find, settings)
+
+
+def _blocks(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows without nulls and NaN as bytes of a matrix, one per Arrow batch."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64)
+            x = x[:, ~np.isnan(x).any(axis=0)]
+            if x.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["x"])
+
+    return df.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)]).mapInArrow(pack, "x binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def lloyd(blocks: DataFrame, starts: Sequence[np.ndarray], max_iter: int) -> list[tuple[np.ndarray, float]]:
+    """(centres, inertia at the last assignment) of every start; one pass over the rows moves all starts that still move.
+
+    A task sends k times d + 1 sums per start; ends as Spark's does, when no centre moves by more than ``TOLERANCE``.
+    """
+    centers, cost, moving = [s.copy() for s in starts], [math.inf] * len(starts), list(range(len(starts)))
+    for _ in range(max_iter):
+        now = [(r, centers[r]) for r in moving]
+
+        def add_up(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros((m.shape[1] + 1, len(m))) for _r, m in now]
+            costs = np.zeros(len(now))
+            for batch in batches:
+                for blob in batch.column(0):
+                    x = np.frombuffer(blob.as_buffer()).reshape(now[0][1].shape[1], -1)
+                    for at, (_r, m) in enumerate(now):
+                        dist = np.zeros((len(m), x.shape[1]))
+                        for axis, v in enumerate(x):
+                            gap = v[None] - m[:, axis, None]
+                            dist += gap * gap
+                        label = dist.argmin(axis=0)
+                        costs[at] += dist.min(axis=0).sum()
+                        for axis, v in enumerate(x):
+                            sums[at][axis] += np.bincount(label, v, len(m))
+                        sums[at][-1] += np.bincount(label, minlength=len(m))
+            rows = [np.append(s.ravel(), c) for s, c in zip(sums, costs)]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _m in now]), pa.array([v.tolist() for v in rows], pa.list_(pa.float64()))], names=["run", "sums"])
+
+        got = blocks.mapInArrow(add_up, "run long, sums array<double>").collect()  # a row per task and start
+        still = []
+        for r, old in now:
+            total = np.sum([g["sums"] for g in got if g["run"] == r], axis=0)
+            cost[r], sums = float(total[-1]), total[:-1].reshape(-1, len(old))
+            held = sums[-1] > 0
+            new = old.copy()
+            new[held] = (sums[:-1, held] / sums[-1, held]).T
+            if (((new - old) ** 2).sum(axis=1) > TOLERANCE**2).any():
+                still.append(r)
+            centers[r] = new
+        moving = still
+        if not moving:
+            break
+    return list(zip(centers, cost))
+
+
+def _fits(df: DataFrame, features: Sequence[str], settings: Sequence[tuple[int, int]] | None, max_iter: int, seed: int = 42) -> list[tuple[int, np.ndarray, float]]:
+    """(k, centres, inertia) for every (k, seed); without settings for k = 2 .. min(10, n - 1)."""
+    data, blocks = vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK), _blocks(df, features)
     try:
-        best, cost = None, math.inf
-        for i in range(restarts):
-            model = KMeans(featuresCol="__x", k=k, seed=seed + i, maxIter=max_iter).fit(data)
-            if model.summary.trainingCost < cost:
-                best, cost = model, model.summary.trainingCost
-        centers = np.array([c for c in best.clusterCenters()])
-        return KMeansResult(list(features), centers[np.lexsort(centers.T[::-1])], float(cost))
+        settings = settings or [(k, seed) for k in range(2, min(10, data.count() - 1) + 1)]
+        starts = _starts(data, settings)
+        data.unpersist()
+        return [(k, *found) for (k, _s), found in zip(settings, lloyd(blocks, starts, max_iter))]
     finally:
         data.unpersist()
+        blocks.unpersist()
+
+
+def kmeans(df: DataFrame, features: Sequence[str], k: int, restarts: int = RESTARTS, seed: int = 42, max_iter: int = 300) -> KMeansResult:
+    """The best of several restarts, which share every pass over the rows."""
+    fits = _fits(df, features, [(k, seed + i) for i in range(restarts)], max_iter)
+    _k, centers, cost = min(fits, key=lambda f: f[2])
+    return KMeansResult(list(features), centers[np.lexsort(centers.T[::-1])], float(cost))
 
 
 def lloyd_step(df: DataFrame, features: Sequence[str], centers: np.ndarray) -> KMeansResult:
@@ -98,13 +176,8 @@ def lloyd_step(df: DataFrame, features: Sequence[str], centers: np.ndarray) -> K
 
 def elbow(df: DataFrame, features: Sequence[str], ks: Sequence[int] | None = None, seed: int = 42) -> DataFrame:
     """Inertia for k = 2 .. min(10, n - 1)."""
-    data = vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        ks = list(ks) if ks else list(range(2, min(10, data.count() - 1) + 1))
-        rows = [(k, float(KMeans(featuresCol="__x", k=k, seed=seed).fit(data).summary.trainingCost)) for k in ks]
-    finally:
-        data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
+    fits = _fits(df, features, [(k, seed) for k in ks] if ks else None, ELBOW_STEPS, seed)
+    return df.sparkSession.createDataFrame([(k, cost) for k, _centers, cost in fits], "k int, inertia double")
 
 
 def labelled(df: DataFrame, label: Column, id_cols: Sequence[str], out: str = "cluster") -> DataFrame:

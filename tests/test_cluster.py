@@ -158,3 +158,21 @@ def test_counting_measures_few_pairs_in_dense_places(monkeypatch):
     some = rng.choice(6000, 50)
     assert (got[some] == 3 * (((x[some, None] - x[None]) ** 2).sum(2) <= 0.16).sum(1)).all()
     assert sum(seen) < 6000 * 6000 / 20
+
+
+def test_kmeans_restarts_share_their_passes_and_equal_spark(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    pdf = pd.DataFrame(np.vstack([rng.normal(c, 1, (60, 2)) for c in (0, 3, 7)]), columns=["a", "b"])
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(None, 1.0), (float("nan"), 2.0)], "a double, b double"))
+    real, iterations = K.KMeans, []
+    monkeypatch.setattr(K, "KMeans", lambda **s: iterations.append(s.get("maxIter")) or real(**s))
+    got = K.kmeans(df, ["a", "b"], 4, restarts=3)
+    assert iterations == [0, 0, 0]
+    data = K.vectors(df, ["a", "b"]).persist()
+    plain = [real(featuresCol="__x", k=4, seed=42 + i, maxIter=300).fit(data) for i in range(3)]
+    best = min(plain, key=lambda m: m.summary.trainingCost)
+    assert abs(best.summary.trainingCost - got.inertia) < 1e-6
+    want = np.array(best.clusterCenters())
+    assert np.allclose(want[np.lexsort(want.T[::-1])], got.centers, atol=1e-9)
+    costs = {r["k"]: r["inertia"] for r in K.elbow(df, ["a", "b"], [2, 5]).collect()}
+    assert all(abs(costs[k] - real(featuresCol="__x", k=k, seed=42).fit(data).summary.trainingCost) < 1e-6 for k in (2, 5))
