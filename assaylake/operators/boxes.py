@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, LEAVES, LEAF_BOXES, INNER = 1 << 17, 1 << 13, 2000, 128
@@ -125,13 +125,8 @@ def with_leaf(boxes: DataFrame, d: int) -> tuple[DataFrame, Split]:
     return boxes.mapInArrow(run, schema), split
 
 
-def near_pairs(boxes: DataFrame, split: Split, key: str, d: int, eps: float, widest: float) -> DataFrame:
-    """(a, b): names of all ordered pairs of different boxes whose gap is at most ``eps``.
-
-    ``boxes`` has the columns of ``with_leaf``; no box is wider than ``widest`` along an axis.
-    """
-    sides = [f"{s}{j}" for s in ("lo", "hi") for j in range(d)]
-    kind = boxes.schema[key].dataType.simpleString()
+def visitors(boxes: DataFrame, split: Split, d: int, eps: float, widest: float) -> DataFrame:
+    """Every box once for each leaf (column ``leaf``) that may hold a box within ``eps``; none is wider than ``widest`` along an axis."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +135,17 @@ def near_pairs(boxes: DataFrame, split: Split, key: str, d: int, eps: float, wid
             for s in range(0, len(box), 1 << 16):
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(box[s : s + (1 << 16)])).columns, pa.array(leaf[s : s + (1 << 16)])], names=[*batch.schema.names, "leaf"])
 
+    return boxes.mapInArrow(visit, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema) + ", leaf long")
+
+
+def near_pairs(boxes: DataFrame, split: Split, key: str, d: int, eps: float, widest: float, asking: Column | None = None) -> DataFrame:
+    """(a, b): names of all ordered pairs of different boxes whose gap is at most ``eps``; where ``asking`` is given, a is one of those.
+
+    ``boxes`` has the columns of ``with_leaf``; no box is wider than ``widest`` along an axis.
+    """
+    sides = [f"{s}{j}" for s in ("lo", "hi") for j in range(d)]
+    kind = boxes.schema[key].dataType.simpleString()
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column(key), right.column(key)
         found = list(near(*_sides(left, d), *_sides(right, d), eps)) if left.num_rows and right.num_rows else []
@@ -148,5 +154,6 @@ def near_pairs(boxes: DataFrame, split: Split, key: str, d: int, eps: float, wid
         out = pa.table([a.take(pa.array(x)), b.take(pa.array(y))], names=["a", "b"])
         return out.filter(pc.not_equal(out.column("a"), out.column("b")))
 
-    visitors = boxes.select(key, *sides).mapInArrow(visit, f"`{key}` {kind}, " + ", ".join(f"{c} double" for c in sides) + ", leaf long")
-    return boxes.select(key, *sides, "leaf").groupBy("leaf").cogroup(visitors.groupBy("leaf")).applyInArrow(compare, f"a {kind}, b {kind}")
+    left = boxes if asking is None else boxes.where(asking)
+    right = visitors(boxes.select(key, *sides), split, d, eps, widest)
+    return left.select(key, *sides, "leaf").groupBy("leaf").cogroup(right.groupBy("leaf")).applyInArrow(compare, f"a {kind}, b {kind}")

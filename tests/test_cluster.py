@@ -45,6 +45,39 @@ def test_dbscan_equals_brute_force_with_a_third_of_copies(spark, dims, eps, m, m
     assert (got["cluster"].to_numpy() == label).all() and (got["is_core"].to_numpy() == core).all()
 
 
+def test_dbscan_links_dense_cells_without_comparing_their_rows(spark, monkeypatch):
+    import assaylake.operators.dbscan as module
+
+    def stop(*_a):
+        raise AssertionError("rows of core cells were compared")
+
+    monkeypatch.setattr(module, "core_edges", stop)
+    x = np.random.default_rng(5).uniform(0, 1, (1500, 2))
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(id=range(len(x)))
+    got = dbscan(spark.createDataFrame(pdf), ["a", "b"], "id", 0.2, 4).toPandas().sort_values("id")
+    label, core = brute_dbscan(x, 0.2, 4)
+    assert (got["cluster"].to_numpy() == label).all() and (got["is_core"].to_numpy() == core).all()
+
+
+def test_dbscan_compares_all_rows_where_the_outermost_leave_cells_apart(spark, monkeypatch):
+    """One outermost row per cell, so most links are found only among the other rows; one key is null."""
+    import assaylake.operators.boxes as boxes
+    import assaylake.operators.dbscan as module
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(boxes, "LEAF_BOXES", 20)
+    monkeypatch.setattr(module, "POINT_PAIRS", 4)
+    monkeypatch.setattr(module, "_outer", lambda d: F.array(F.min("x0"), F.min_by("x1", "x0")).alias("outer"))
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(c, 0.25, (90, 2)) for c in ((0, 0), (1.1, 0.2), (0.1, 1.3), (3, 3))])
+    x = x[rng.permutation(len(x))]
+    rows = [(i if i != 100 else None, float(a), float(b)) for i, (a, b) in enumerate(x)]
+    got = dbscan(spark.createDataFrame(rows, "id int, a double, b double"), ["a", "b"], "id", 0.12, 4).toPandas().sort_values("id")
+    label, core = brute_dbscan(x, 0.12, 4)
+    keyed = np.arange(len(x)) != 100
+    assert (got["cluster"].to_numpy()[:-1] == label[keyed]).all() and (got["is_core"].to_numpy()[:-1] == core[keyed]).all()
+
+
 def test_nearest_over_many_blocks(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(0, 1, (150, 3)), np.zeros((70, 3))]).round(2)
