@@ -13,6 +13,7 @@ from assaylake.operators import reports as RP
 from assaylake.operators import rules as RU
 from assaylake.operators import scoring as SC
 from assaylake.operators import sheets as SH
+from assaylake.plans import QUERIES
 from assaylake.sources import readers as RD
 
 
@@ -163,6 +164,14 @@ def test_domain_messages(spark):
     assert not k["in_ad"] and "MCI correction over its limit of 2: Nitro (-NO2) x3" in k["warnings"]
 
 
+def test_domain_verdicts_look_at_both_kinds_of_corrections(spark, tmp_path):
+    """Corrections of the connectivity estimate: 2 of an ester are within the limit, 3 are not; a wrong weight decides alone."""
+    rows = [(1, 1, "in", "Brand#1", 400.0), (2, 2, "over", "Brand#1", 400.0), (5, 1, "heavy", "Brand#1", 4000.0)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_size int, p_name string, p_brand string, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r["file"], r["record_index"]): r["koc_in"] for r in QUERIES["chm_07_domain_verdicts"](spark, str(tmp_path)).collect()}
+    assert got == {("part-1.txt", 1): True, ("part-2.txt", 1): False, ("part-5.txt", 1): False, ("part-5.txt", 2): None}
+
+
 def test_rules_and_validation(spark):
     df = spark.createDataFrame([("Cube", "Yes", "No", "30", "A549", "24", "MTT", "abc"), ("Sphere", "Yes", None, "30", "A549", "24", "MTT", "1")],
                                ["shape", "Anatase", "rutile", "diameter", "celltype", "time", "assay", "conc"])
