@@ -1,5 +1,6 @@
 """Numbers in text, keys, rules, reports, sheets and scoring on hand-made fixtures."""
 
+import pathlib
 import re
 import time
 
@@ -14,6 +15,8 @@ from assaylake.operators import rules as RU
 from assaylake.operators import scoring as SC
 from assaylake.operators import sheets as SH
 from assaylake.plans import QUERIES
+from assaylake.plans.reports import report_files
+from assaylake.session import stage_root
 from assaylake.sources import readers as RD
 
 
@@ -277,3 +280,41 @@ def test_sections_read_over_many_ranges_equal_whole_files(spark, tmp_path):
     finally:
         for x, v in before.items():
             spark.conf.unset(x) if v is None else spark.conf.set(x, v)
+
+
+def test_sections_inside_a_range_are_not_shuffled(spark, tmp_path):
+    """Files that are not cut into ranges give their sections without a shuffle of texts."""
+    (tmp_path / "a.txt").write_text(kow_report(30))
+    got = RP.read_sections(spark, str(tmp_path), "KOWWIN")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, RP.sections(RD.read_reports(spark, str(tmp_path)), "KOWWIN").collect()))
+
+
+def test_report_files_take_little_room(spark, tmp_path):
+    """The texts laid out by src_08_report_files are compressed: less than a fifth of their bytes."""
+    rows = [(k, k % 50, f"name {k}", "Brand#1", 400.0) for k in range(1, 201)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_size int, p_name string, p_brand string, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    root, seen = pathlib.Path(stage_root(spark).removeprefix("file:")), set()
+    seen = set(root.glob("reports-*"))
+    got = {r["program"]: (r["n"], r["n_with_weight"]) for r in QUERIES["src_08_report_files"](spark, str(tmp_path)).collect()}
+    assert got == {"KOWWIN": (240, 240), "BIOWIN": (200, 200), "BCFBAF": (200, 200), "KOCWIN": (200, 200)}
+    (made,) = set(root.glob("reports-*")) - seen
+    texts = report_files(spark, str(tmp_path)).agg(F.sum(F.octet_length("content"))).first()[0]
+    assert sum(f.stat().st_size for f in made.glob("part-*")) < texts / 5
+
+
+def test_arrays_are_trimmed_as_single_texts(spark):
+    forms = [" a\t\n", "\u2003a ", "", "  ", "a \u0085", "a \u0085 ", None, "\u0085", " \u2028", "a\x0b\f\r\n", "a \u2029\n", "\u0085 a"]
+    df = spark.createDataFrame([(forms,)], "v array<string>")
+    got = df.select(X.strip_each(F.col("v")).alias("each"), F.transform("v", X.strip_all).alias("all")).first()
+    assert got["each"] == got["all"]
+
+
+def test_the_compound_table_is_worked_out_once_for_the_full_export(spark):
+    """The export reads a written table: its plan holds no parser."""
+    files = spark.createDataFrame([("a.txt", REPORT)], "file string, content string")
+    table = D.compound_table(files)
+    got = D.advanced_export(table)
+    assert "SMILES\\s*:" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = table.select(*got.columns).collect()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want)) and "BCFBAF_AD_Status" not in got.columns
