@@ -287,6 +287,24 @@ def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
         assert (a[there] == b[there]).all()
 
 
+def test_suffix_tree_asks_only_for_what_may_be_there(spark):
+    """A sieve holds all codes of its table and few others; texts ask for nothing else."""
+    codes = np.random.default_rng(5).integers(0, 1 << 64, 2_000, dtype=np.uint64)
+    for n in (0, 1, 1_000):
+        words = suffix_tree.sieve(spark.createDataFrame([(int(c),) for c in codes[:n].view(np.int64)], "code bigint"), "code")
+        found = suffix_tree.passes(words, codes)
+        assert found[:n].all() and found[n:].mean() < 0.2
+    corpus = suffix_tree.gather(prose(spark, 3), F.lit(True), block_bytes=5_000)
+    tree = suffix_tree.fit(corpus, depth=2, least=3, divergence=4.0, broadcast=0)
+    sieves = spark.sparkContext.broadcast([suffix_tree.sieve(tree.states.where(F.col("depth") == d), "code") for d in range(3)])
+    asked = corpus.rows.select("text", "block").mapInArrow(suffix_tree._asked(2, sieves), "block bigint, depth int, code bigint")
+    full = spark.sparkContext.broadcast([np.full(16, 2**64 - 1, np.uint64)] * 3)
+    every = corpus.rows.select("text", "block").mapInArrow(suffix_tree._asked(2, full), "block bigint, depth int, code bigint")
+    keys = ["depth", "code"]
+    assert asked.count() < every.count() * 2 / 3
+    assert asked.join(tree.states, keys, "left_semi").count() == every.join(tree.states, keys, "left_semi").count() > 0
+
+
 def test_suffix_tree_cases(spark):
     train = bucket_of("doc_id", 10) != 0
     corpus = suffix_tree.gather(empty(spark), train)
